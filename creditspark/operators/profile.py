@@ -69,7 +69,7 @@ def describe(df: DataFrame, columns: Sequence[str], decimals: int = 6) -> DataFr
     moments = long.groupBy("column_name").agg(
         F.count("value").alias("count"),
         F.sum(F.when(F.col("value").isNull(), 1).otherwise(0)).cast("bigint").alias("null_count"),
-        F.avg("value").alias("mean"),
+        (F.sum(F.col("value").cast("decimal(38,9)")).cast("double") / F.count("value")).alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
@@ -77,12 +77,17 @@ def describe(df: DataFrame, columns: Sequence[str], decimals: int = 6) -> DataFr
     q = exact_quantiles(long.where(F.col("value").isNotNull()), "value", [0.25, 0.5, 0.75],
                         group_cols=["column_name"])
     quart = q.groupBy("column_name").pivot("fraction", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
-    quart = quart.select("column_name", F.col("0.25").alias("q25"), F.col("0.5").alias("q50"),
-                         F.col("0.75").alias("q75"))
+    quart = quart.select("column_name", F.col("`0.25`").alias("q25"), F.col("`0.5`").alias("q50"),
+                         F.col("`0.75`").alias("q75"))
     out = moments.join(quart, "column_name", "left")
+    # The mean comes from an exact decimal sum and is rounded as a decimal; quartiles of
+    # few-decimal data interpolate to one or two extra digits, hence 8 places for them.
     return out.select(
-        "column_name", "count", "null_count",
-        *[F.bround(c, decimals).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")],
+        "column_name", F.col("count").cast("bigint").alias("count"), "null_count",
+        F.round(F.col("mean").cast("decimal(38,9)"), decimals).cast("double").alias("mean"),
+        *[F.bround(c, decimals).alias(c) for c in ("std", "min")],
+        *[F.bround(c, decimals + 2).alias(c) for c in ("q25", "q50", "q75")],
+        F.bround("max", decimals).alias("max"),
     )
 
 

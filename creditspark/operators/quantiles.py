@@ -42,10 +42,15 @@ def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float],
              F.floor(h).cast("bigint").alias("_lo"), F.ceil(h).cast("bigint").alias("_hi"))
     ends = targets.select(*group_cols, "fraction", "_h", F.explode(F.array("_lo", "_hi")).alias("_rank"))
     # targets: groups x fractions x 2 rows, a bounded broadcast.
-    cond = [ranked[g] == ends[g] for g in group_cols]
-    cond += [ranked["_first"] <= ends["_rank"], ends["_rank"] < ranked["_w_cum"]]
-    hit = F.broadcast(ends).join(ranked, cond, "inner").select(
-        *[ends[g] for g in group_cols], ends["fraction"], ends["_h"], ends["_rank"], ranked["_v"])
+    r, e = ranked.alias("r"), ends.alias("t")
+    cond = [F.col(f"r.{g}") == F.col(f"t.{g}") for g in group_cols]
+    cond += [F.col("r._first") <= F.col("t._rank"), F.col("t._rank") < F.col("r._w_cum")]
+    cond_all = cond[0]
+    for c in cond[1:]:
+        cond_all = cond_all & c
+    hit = F.broadcast(e).join(r, cond_all, "inner").select(
+        *[F.col(f"t.{g}").alias(g) for g in group_cols], F.col("t.fraction").alias("fraction"),
+        F.col("t._h").alias("_h"), F.col("t._rank").alias("_rank"), F.col("r._v").alias("_v"))
     lo_hi = hit.groupBy(*group_cols, "fraction", "_h").agg(
         F.min_by("_v", "_rank").alias("_a"), F.max_by("_v", "_rank").alias("_b"),
         F.min("_rank").alias("_lo"))
