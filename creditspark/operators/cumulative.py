@@ -56,10 +56,13 @@ def with_ranges(df: DataFrame, order_col: str, group_cols: Sequence[str] = (),
 
 def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
                 group_cols: Sequence[str] = (), n_ranges: int | None = None,
-                suffix: str = "_cum", descending: bool = False) -> DataFrame:
+                suffix: str = "_cum", descending: bool = False,
+                tiebreak: Sequence[str] = ()) -> DataFrame:
     """Adds ``<v><suffix>`` = sum of ``v`` over rows of the group with order <= current order.
 
-    With ``descending`` the order is reversed (sum over rows with order >= current).
+    With ``descending`` the order is reversed (sum over rows with order >= current). With
+    ``tiebreak`` columns the order is ``(order_col, *tiebreak)`` and assumed unique, so the
+    sum runs row by row (a rank when ``v`` is 1).
     """
     group_cols = list(group_cols)
     value_cols = list(value_cols)
@@ -76,8 +79,9 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
         F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in value_cols])
     # offsets has groups x ranges rows: a bounded broadcast.
     joined = ranged.join(F.broadcast(offsets), [*group_cols, "_range"], "left")
-    running = (Window.partitionBy(*group_cols, "_range").orderBy(F.col(order).asc())
-               .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    w = Window.partitionBy(*group_cols, "_range").orderBy(F.col(order).asc(), *[F.col(c).asc() for c in tiebreak])
+    running = (w.rowsBetween(Window.unboundedPreceding, Window.currentRow) if tiebreak
+               else w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     out = joined.select("*", *[
         (F.col(f"_o_{v}") + F.sum(v).over(running)).alias(f"{v}{suffix}") for v in value_cols])
     drop = ["_range", *[f"_o_{v}" for v in value_cols]] + ([order] if descending else [])
