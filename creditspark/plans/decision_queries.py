@@ -93,14 +93,17 @@ x AS (SELECT *, amt*(r-c)*(t/12e0) AS g, amt*(l+c*(t/12e0)) AS lo,
              ELSE LEAST(1e0, GREATEST(0e0, ((r-c)*(t/12e0)) / (((r-c)*(t/12e0)) + (l+c*(t/12e0))))) END AS be FROM d)"""
 
 
-@register("batch_decisions", oracle=f"""{DECISION_SQL_BASE}
+_BATCH_DECISIONS_SQL = f"""{DECISION_SQL_BASE}
 SELECT application_id,
   CASE WHEN COALESCE(CASE WHEN thr IS NOT NULL THEN pd <= thr ELSE ev > 0 AND pd <= be END, FALSE)
        THEN 'APROBADO' ELSE 'RECHAZADO' END AS decision,
   ROUND_EVEN(pd, 6) AS calibrated_pd, {money('ev')} AS expected_value, ROUND_EVEN(be, 6) AS breakeven_pd,
   ROUND_EVEN(COALESCE(thr, be), 6) AS decision_threshold, {money('g')} AS net_gain_performing,
   {money('lo')} AS net_loss_default
-FROM x""")
+FROM x"""
+
+
+@register("batch_decisions", oracle=_BATCH_DECISIONS_SQL)
 def q_batch_decisions(spark, sf_dir):
     return decision_frame(applicants(spark, sf_dir), with_factors=False).select(*DECISION_COLUMNS)
 
@@ -169,3 +172,20 @@ def q_ev_decomposition(spark, sf_dir):
     e = enriched(spark, sf_dir, "default")
     return e.select("application_id", *dz.ev_decomposition(
         F.col("pd"), F.col("net_gain_performing"), F.col("net_loss_default")))
+
+
+# ------------------------------------------------------------------------------ O14 on a stream
+
+@register("stream_decisions", oracle=lambda: _BATCH_DECISIONS_SQL)
+def q_stream_decisions(spark, sf_dir):
+    """S7 writes the applicant table, then the decision stream drains it into a parquet sink."""
+    import uuid
+
+    from creditspark.session import ensure_checkpoint_dir
+    from creditspark.sources.portfolio import write_portfolio
+    from creditspark.streaming.decisions import APPLICANT_SCHEMA, run_decision_stream
+
+    base = f"{ensure_checkpoint_dir(spark)}/creditspark-stream/{uuid.uuid4().hex}"
+    apps = applicants(spark, sf_dir).select(*[f.name for f in APPLICANT_SCHEMA.fields])
+    write_portfolio(apps, f"{base}/source")
+    return run_decision_stream(spark, f"{base}/source", f"{base}/sink", f"{base}/checkpoint")
