@@ -19,7 +19,7 @@ from creditspark.plans.sql_base import (
     rounded_policy,
     values_table,
 )
-from creditspark.sources.portfolio import PORTFOLIO_SEED, derive_portfolio, with_application_ref
+from creditspark.sources.portfolio import PORTFOLIO_SEED, materialized_portfolio, with_application_ref
 
 OVERRIDE = EconomicParameters()  # rate .18, CoF .05, LGD .45, term 12
 ENRICH_OUT = ["application_id", "pd", "loan_amount", "interest_rate", "cost_of_funds", "loan_term_months", "lgd",
@@ -30,11 +30,12 @@ ENRICH_SQL_OUT = """application_id, pd_ AS pd, amt_ AS loan_amount, rate_ AS int
 
 
 def portfolio(spark, sf_dir):
-    return derive_portfolio(spark, sf_dir)
+    """The derived portfolio, built once per source snapshot and scanned by every query."""
+    return materialized_portfolio(spark, sf_dir)
 
 
 def enriched(spark, sf_dir, mode="default", params=OVERRIDE):
-    return enrich_portfolio(derive_portfolio(spark, sf_dir), params, mode=mode)
+    return enrich_portfolio(portfolio(spark, sf_dir), params, mode=mode)
 
 
 # ------------------------------------------------------------------------------ S7 / A2

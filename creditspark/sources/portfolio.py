@@ -14,8 +14,6 @@ the order key, so the outer join only shuffles orders.
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,6 +155,41 @@ def load_or_derive(spark: SparkSession, path: str | None, sf_dir: str) -> DataFr
     return derive_portfolio(spark, sf_dir)
 
 
+def _signature(spark: SparkSession, sf_dir: str, tables=("orders", "customer", "lineitem")) -> str:
+    """Identity of the source tables (path, size, modification time) for the materialised build."""
+    import hashlib
+
+    from creditspark.sources.tables import table_path
+
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    parts = []
+    for t in tables:
+        p = jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, t))
+        fs = p.getFileSystem(conf)
+        st = fs.getContentSummary(p)
+        parts.append(f"{p.toString()}:{st.getLength()}:{fs.getFileStatus(p).getModificationTime()}")
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:20]
+
+
+def materialized_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 + S1: build the portfolio table once per source snapshot, then scan it.
+
+    The build (the join with the lineitem aggregate) is written as parquet under the
+    session's checkpoint folder -- a shared location on a cluster -- keyed by the source
+    tables' identity; every later query reads only the columns it needs from that table
+    instead of re-running the join. A failed or partial build has no ``_SUCCESS`` marker and
+    is rebuilt.
+    """
+    from creditspark.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark)}/creditspark-portfolio/{_signature(spark, sf_dir)}"
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        derive_portfolio(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_portfolio(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
     """Overwrite the portfolio as parquet (a directory of part files)."""
     writer = df.write.mode("overwrite")
@@ -179,13 +212,13 @@ def ingest_rows(spark: SparkSession, rows, schema: T.StructType | None = None) -
         known = {f.name: f for f in PORTFOLIO_SCHEMA.fields}
         fields = []
         for name in names:
-            if name in known:
+            sample = next((r.get(name) for r in rows if r.get(name) is not None), None)
+            if isinstance(sample, str):
+                fields.append(T.StructField(name, T.StringType()))
+            elif name in known:
                 fields.append(known[name])
             else:
-                sample = next((r.get(name) for r in rows if r.get(name) is not None), None)
-                dtype = (T.StringType() if isinstance(sample, str) else
-                         T.LongType() if isinstance(sample, bool) is False and isinstance(sample, int) else
-                         T.DoubleType())
+                dtype = T.LongType() if isinstance(sample, int) and not isinstance(sample, bool) else T.DoubleType()
                 fields.append(T.StructField(name, dtype))
         schema = T.StructType(fields)
         rows = [tuple(_coerce(r.get(f.name), f.dataType) for f in schema.fields) for r in rows]
@@ -201,6 +234,3 @@ def _coerce(value, dtype):
         return int(value)
     return value
 
-
-def local_path(path: str | Path) -> str:
-    return str(path)
