@@ -203,7 +203,7 @@ def stress_reoptimized(portfolio: DataFrame, scenarios: Sequence[Scenario] = REO
                                 term_months=term_months)
     grids = scenario_candidate_grids(expanded, scenario_grid)
     union = sorted(set().union(*grids.values()))
-    swept = sw.policy_sweep(expanded, union, group_cols=["scenario"])
+    swept = sw.policy_sweep(expanded, union, group_cols=["scenario"], groups=[(s.name,) for s in scenarios])
     allowed = spark.createDataFrame([(s, t) for s, ts in grids.items() for t in ts],
                                     "scenario string, threshold double")
     # allowed: scenarios x candidates rows (bounded by the grid sizes).
