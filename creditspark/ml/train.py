@@ -34,18 +34,22 @@ def split_portfolio(portfolio: DataFrame) -> DataFrame:
 
 
 def training_job(spark: SparkSession, portfolio: DataFrame, out_path: str | None = None,
-                 spec: ModelSpec | None = None, method: str = "isotonic") -> TrainingResult:
+                 spec: ModelSpec | None = None, method: str = "isotonic",
+                 model: PipelineModel | None = None) -> TrainingResult:
     """Split -> fit on train -> calibrate on validation -> compare on test -> save.
 
     The split frame is written once as a parquet table in the checkpoint folder (lineage cut,
     survives executor loss), so the three splits and every fitting pass read the same rows.
     """
     base = ensure_checkpoint_dir(spark)
-    split_path = f"{base}/creditspark-splits/{_key(str(id(portfolio)))}"
+    import uuid
+
+    split_path = f"{base}/creditspark-splits/{uuid.uuid4().hex}"
     split_portfolio(portfolio).write.mode("overwrite").parquet(split_path)
     split = spark.read.parquet(split_path)
     train = prepare(split.where("split = 'train'"))
-    model = fit_pipeline(train, spec)
+    if model is None:
+        model = fit_pipeline(train, spec)
     val = score(model, split.where("split = 'validation'"))
     cal = fit_calibrator(val, method)
     test = cal.transform(score(model, split.where("split = 'test'")))
