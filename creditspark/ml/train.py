@@ -97,12 +97,15 @@ def simulate_portfolio(model: PipelineModel, applications: DataFrame,
     enriched = enrich_portfolio(portfolio, EconomicParameters(), mode="default")
     evals = sw.round_policy(sw.policy_sweep(enriched, cutoffs))
     opt = sw.optimize_threshold(enriched, grid_size)
+    best = opt.select(F.struct(
+        F.col("optimal_threshold").alias("t"), F.col("optimal_policy.expected_pnl").alias("p"),
+        F.col("baseline_policy_05.expected_pnl").alias("b"), F.col("incremental_pnl_vs_baseline").alias("i"))).scalar()
     return evals.select(
         "*",
-        F.bround(opt.select("optimal_threshold").scalar(), 4).alias("optimal_threshold"),
-        sw.round_money(opt.select(F.col("optimal_policy.expected_pnl")).scalar()).alias("max_expected_pnl"),
-        sw.round_money(opt.select(F.col("baseline_policy_05.expected_pnl")).scalar()).alias("baseline_05_pnl"),
-        sw.round_money(opt.select("incremental_pnl_vs_baseline").scalar()).alias("incremental_pnl_vs_baseline"),
+        F.bround(best.getField("t"), 4).alias("optimal_threshold"),
+        sw.round_money(best.getField("p")).alias("max_expected_pnl"),
+        sw.round_money(best.getField("b")).alias("baseline_05_pnl"),
+        sw.round_money(best.getField("i")).alias("incremental_pnl_vs_baseline"),
     )
 
 

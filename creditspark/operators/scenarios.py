@@ -147,8 +147,10 @@ def stress_fixed_cutoff(portfolio: DataFrame, scenarios: Sequence[Scenario] = FI
 
     base = enrich_portfolio(portfolio, EconomicParameters(lgd=base_lgd), mode=mode)
     opt = sw.optimize_threshold(base, grid_size)
-    t_star = opt.select("optimal_threshold").scalar()
-    base_pnl = opt.select(F.col("optimal_policy.expected_pnl").cast("double")).scalar()
+    # One scalar subquery carries the whole base optimum (one evaluation of the base sweep).
+    best = opt.select(F.struct(F.col("optimal_threshold").alias("t"),
+                               F.col("optimal_policy.expected_pnl").cast("double").alias("p"))).scalar()
+    t_star, base_pnl = best.getField("t"), best.getField("p")
     expanded = expand_scenarios(portfolio, scenarios, mode=mode)
     ev = evaluate_grouped(expanded, t_star, ["scenario"])
     pnl = F.col("expected_pnl").cast("double")
@@ -209,9 +211,10 @@ def stress_reoptimized(portfolio: DataFrame, scenarios: Sequence[Scenario] = REO
     # allowed: scenarios x candidates rows (bounded by the grid sizes).
     own = swept.join(F.broadcast(allowed), ["scenario", "threshold"], "inner")
     best = sw.best_policy(own, "expected_pnl", group_cols=["scenario"])
-    b_t = base_opt.select("optimal_threshold").scalar()
-    b_rate = base_opt.select("optimal_policy.approval_rate").scalar()
-    b_pnl = base_opt.select(F.col("optimal_policy.expected_pnl").cast("double")).scalar()
+    base_best = base_opt.select(F.struct(
+        F.col("optimal_threshold").alias("t"), F.col("optimal_policy.approval_rate").alias("r"),
+        F.col("optimal_policy.expected_pnl").cast("double").alias("p"))).scalar()
+    b_t, b_rate, b_pnl = base_best.getField("t"), base_best.getField("r"), base_best.getField("p")
     return best.select(
         "scenario",
         F.bround("threshold", 10).alias("optimal_threshold"),
