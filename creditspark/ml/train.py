@@ -91,9 +91,8 @@ def simulate_portfolio(model: PipelineModel, applications: DataFrame,
     One row per evaluated cutoff (rounded as the simulation endpoint does) with the optimum
     attached as scalar-subquery columns.
     """
-    scored = score(model, applications, out_col="pd", keep=("application_id",))
-    terms = applications.select("application_id", "loan_amount", "interest_rate", "cost_of_funds", "loan_term_months")
-    portfolio = scored.join(terms, "application_id")
+    portfolio = score(model, applications, out_col="pd", keep=("application_id",),
+                      carry=("loan_amount", "interest_rate", "cost_of_funds", "loan_term_months"))
     enriched = enrich_portfolio(portfolio, EconomicParameters(), mode="default")
     evals = sw.round_policy(sw.policy_sweep(enriched, cutoffs))
     opt = sw.optimize_threshold(enriched, grid_size)
@@ -112,11 +111,9 @@ def simulate_portfolio(model: PipelineModel, applications: DataFrame,
 def selection_bias(portfolio: DataFrame, approved_rule, spec: ModelSpec | None = None) -> DataFrame:
     """A model fitted on the historically approved rows only vs one fitted on all rows,
     both scored on the whole population; AUC and ECE per model."""
-    all_rows = prepare(portfolio)
     biased = fit_pipeline(prepare(portfolio.where(approved_rule)), spec)
-    full = fit_pipeline(all_rows, spec)
-    sb = score(biased, portfolio, "biased_pd")
-    sf = score(full, portfolio, "population_pd").select("application_id", "population_pd")
-    both = sb.join(sf, "application_id")
-    long = mt.stack_scores(both, {"approved_only": "biased_pd", "full_population": "population_pd"}, LABEL)
+    full = fit_pipeline(prepare(portfolio), spec)
+    # Each model's scores are stacked long and unioned: no join of the two scorings on an id.
+    long = mt.stack_scores(score(biased, portfolio, "biased_pd"), {"approved_only": "biased_pd"}, LABEL).unionByName(
+        mt.stack_scores(score(full, portfolio, "population_pd"), {"full_population": "population_pd"}, LABEL))
     return mt.metrics_bundle(long).select("score_name", "roc_auc", "expected_calibration_error")

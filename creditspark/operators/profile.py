@@ -58,9 +58,12 @@ def default_counts(df: DataFrame, label: str = "default_flag") -> DataFrame:
     )
 
 
-def describe(df: DataFrame, columns: Sequence[str], decimals: int = 6) -> DataFrame:
-    """Count, nulls, mean, std, min, quartiles (linear), max per column; one row per column.
+def describe(df: DataFrame, columns: Sequence[str], decimals: int = 6,
+             quantile_method: str = "nearest") -> DataFrame:
+    """Count, nulls, mean, std, min, quartiles, max per column; one row per column.
 
+    Quartiles are order statistics at rank ``round((n-1) q)`` (``quantile_method="nearest"``,
+    what a dataframe ``describe()`` reports); ``"linear"`` interpolates as numpy does.
     Moments come from one aggregate; quartiles from the distributed exact quantile operator
     (no single task holds all values of a column).
     """
@@ -75,7 +78,7 @@ def describe(df: DataFrame, columns: Sequence[str], decimals: int = 6) -> DataFr
         F.max("value").alias("max"),
     )
     q = exact_quantiles(long.where(F.col("value").isNotNull()), "value", [0.25, 0.5, 0.75],
-                        group_cols=["column_name"])
+                        group_cols=["column_name"], method=quantile_method)
     quart = q.groupBy("column_name").pivot("fraction", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
     quart = quart.select("column_name", F.col("`0.25`").alias("q25"), F.col("`0.5`").alias("q50"),
                          F.col("`0.75`").alias("q75"))

@@ -1,4 +1,4 @@
-"""Exact, linearly interpolated quantiles (numpy's default) computed in a distributed way.
+"""Exact quantiles (linear as numpy's default, or nearest rank) computed in a distributed way.
 
 ``percentile`` keeps every distinct value of a group in one task's map. That is fine for
 columns with few distinct values (5-dp PDs: at most 100,001) but not for a continuous column
@@ -9,6 +9,9 @@ at scale. This operator instead:
 3. picks the order statistics at ``floor/ceil((n-1) q)`` with an equi-join on the group plus
    a rank-interval filter against the small broadcast table of target ranks,
 4. interpolates ``a + (b-a) t`` (``b - (b-a)(1-t)`` for ``t >= 0.5``, as numpy does).
+
+``method="nearest"`` picks the single order statistic at ``(n-1) q`` rounded half away from
+zero (the rule of a dataframe ``describe()`` with nearest interpolation); no interpolation.
 """
 
 from __future__ import annotations
@@ -22,8 +25,11 @@ from creditspark.operators.cumulative import prefix_sums
 
 
 def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float],
-                    group_cols: Sequence[str] = (), n_ranges: int | None = None) -> DataFrame:
+                    group_cols: Sequence[str] = (), n_ranges: int | None = None,
+                    method: str = "linear") -> DataFrame:
     """``(group..., fraction, quantile)`` for every requested fraction; nulls are ignored."""
+    if method not in ("linear", "nearest"):
+        raise ValueError(f"method must be 'linear' or 'nearest', got {method!r}")
     group_cols = list(group_cols)
     fractions = [float(f) for f in fractions]
     for f in fractions:
@@ -36,11 +42,16 @@ def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float],
 
     sizes = counts.groupBy(*group_cols).agg(F.sum("_w").alias("_n"))
     h = (F.col("_n") - 1).cast("double") * F.col("fraction")
+    if method == "nearest":
+        # (n-1) q >= 0, so half-up rounding is half away from zero; both ends are that rank.
+        near = F.round(h, 0).cast("bigint")
+        h, lo, hi = near.cast("double"), near, near
+    else:
+        lo, hi = F.floor(h).cast("bigint"), F.ceil(h).cast("bigint")
     targets = sizes.select(
         *group_cols, F.explode(F.array(*[F.lit(f) for f in fractions])).alias("fraction"), "_n",
-    ).select(*group_cols, "fraction", h.alias("_h"),
-             F.floor(h).cast("bigint").alias("_lo"), F.ceil(h).cast("bigint").alias("_hi"))
-    ends = targets.select(*group_cols, "fraction", "_h", F.explode(F.array("_lo", "_hi")).alias("_rank"))
+    ).select(*group_cols, "fraction", h.alias("_h"), lo.alias("_lo"), hi.alias("_hi"))
+    ends = targets.select(*group_cols, "fraction", "_h", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank"))
     # targets: groups x fractions x 2 rows, a bounded broadcast.
     r, e = ranked.alias("r"), ends.alias("t")
     cond = [F.col(f"r.{g}") == F.col(f"t.{g}") for g in group_cols]

@@ -35,15 +35,24 @@ def q_default_counts(spark, sf_dir):
     return pf.default_counts(portfolio(spark, sf_dir), "default_flag")
 
 
+# Quartiles are nearest-rank: the value at 0-based rank round((n-1) q) among non-null values,
+# found here by numbering every row (brute force), not by the Spark plan's rank-interval join.
 @register("describe_portfolio", oracle=lambda: f"""WITH {PORTFOLIO_CTE},
-l AS ({_long_sql(DESCRIBE_COLUMNS)})
-SELECT column_name, CAST(COUNT(value) AS BIGINT) AS count,
+l AS ({_long_sql(DESCRIBE_COLUMNS)}),
+r AS (SELECT column_name, value, ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY value) - 1 AS rk,
+        COUNT(*) OVER (PARTITION BY column_name) AS n FROM l WHERE value IS NOT NULL),
+qt AS (SELECT column_name,
+        MAX(CASE WHEN rk = ROUND((n - 1) * 25e-2) THEN value END) AS q25,
+        MAX(CASE WHEN rk = ROUND((n - 1) * 5e-1) THEN value END) AS q50,
+        MAX(CASE WHEN rk = ROUND((n - 1) * 75e-2) THEN value END) AS q75 FROM r GROUP BY column_name),
+m AS (SELECT column_name, CAST(COUNT(value) AS BIGINT) AS count,
   CAST(SUM(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_count,
   CAST(ROUND(CAST(CAST(SUM(CAST(value AS DECIMAL(38,9))) AS DOUBLE) / COUNT(value) AS DECIMAL(38,9)), 6) AS DOUBLE) AS mean,
-  ROUND_EVEN(STDDEV_SAMP(value), 6) AS std, ROUND_EVEN(MIN(value), 6) AS min,
-  ROUND_EVEN(QUANTILE_CONT(value, 25e-2), 8) AS q25, ROUND_EVEN(QUANTILE_CONT(value, 5e-1), 8) AS q50,
-  ROUND_EVEN(QUANTILE_CONT(value, 75e-2), 8) AS q75, ROUND_EVEN(MAX(value), 6) AS max
-FROM l GROUP BY column_name""")
+  ROUND_EVEN(STDDEV_SAMP(value), 6) AS std, ROUND_EVEN(MIN(value), 6) AS min, ROUND_EVEN(MAX(value), 6) AS max
+  FROM l GROUP BY column_name)
+SELECT m.column_name, count, null_count, mean, std, min,
+  ROUND_EVEN(q25, 8) AS q25, ROUND_EVEN(q50, 8) AS q50, ROUND_EVEN(q75, 8) AS q75, max
+FROM m LEFT JOIN qt ON m.column_name = qt.column_name""")
 def q_describe_portfolio(spark, sf_dir):
     return pf.describe(portfolio(spark, sf_dir), DESCRIBE_COLUMNS)
 

@@ -1,5 +1,6 @@
 """Score metrics, exact quantiles, prefix sums, WoE/IV and fairness goldens."""
 
+import math
 import random
 
 import numpy as np
@@ -64,6 +65,20 @@ def test_exact_quantiles_match_numpy(spark):
             assert got[(g, f)] == pytest.approx(q, abs=1e-12)
 
 
+def test_exact_quantiles_nearest_rank(spark):
+    # Brute force: sorted values at rank round((n-1) q), halves rounded away from zero.
+    rng = random.Random(5)
+    for n in (1, 2, 3, 4, 5, 9, 10, 401):
+        vals = [float(rng.randint(0, 40)) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in vals], "v double")
+        fr = [0.0, 0.125, 0.25, 0.5, 0.75, 1.0]
+        got = {r["fraction"]: r["quantile"]
+               for r in exact_quantiles(df, "v", fr, n_ranges=3, method="nearest").collect()}
+        s = sorted(vals)
+        for f in fr:
+            assert got[f] == s[int(math.floor((n - 1) * f + 0.5))], (n, f)
+
+
 def test_prefix_sums_match_cumsum(spark):
     rng = random.Random(1)
     rows = [(float(rng.randint(0, 50)), float(rng.randint(1, 5))) for _ in range(500)]
