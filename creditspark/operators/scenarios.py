@@ -165,26 +165,22 @@ def stress_fixed_cutoff(portfolio: DataFrame, scenarios: Sequence[Scenario] = FI
 
 
 def scenario_candidate_grids(expanded: DataFrame, grid_size: int) -> dict[str, list[float]]:
-    """O2 per scenario in one grouped aggregate (bounded: scenarios x grid_size doubles)."""
+    """O2 per scenario: one grouped stats job, one grouped quantile job (bounded: scenarios x
+    grid_size doubles reach the driver)."""
+    stats = {r["scenario"]: r for r in sw.grid_stats(expanded, ["scenario"])}
+    most = max([int(r["distinct"]) for r in stats.values()] + [0])
     fr = sw.linspace(0.0, 1.0, grid_size)
-    rows = expanded.groupBy("scenario").agg(
-        F.count("pd").alias("n"), F.min("pd").alias("lo"), F.max("pd").alias("hi"),
-        F.percentile("pd", F.array(*[F.lit(f) for f in fr])).alias("q")).collect()
-    grids = {}
-    for r in rows:
+    full = [s for s, r in stats.items() if int(r["n"]) >= grid_size]
+    q = {}
+    if full:
+        src = expanded if len(full) == len(stats) else expanded.where(F.col("scenario").isin(full))
+        q = {k[0]: v for k, v in sw.pd_quantiles(src, fr, most, ["scenario"]).items()}
+    for s, r in stats.items():
         n = int(r["n"])
-        if n == 0:
-            grids[r["scenario"]] = [0.0]
-            continue
-        q = list(r["q"])
-        if n < grid_size:
-            sub = expanded.where(F.col("scenario") == r["scenario"])
-            q = list(sub.agg(F.percentile("pd", F.array(*[F.lit(f) for f in sw.linspace(0.0, 1.0, n)]))
-                             .alias("q")).first()["q"])
-        vals = np.clip(np.array([0.0, 0.5, 1.0, r["lo"], r["hi"]] + sw.linspace(0.0, 1.0, grid_size) + q,
-                                dtype=float), 0.0, 1.0)
-        grids[r["scenario"]] = [float(v) for v in np.unique(vals)]
-    return grids
+        if 0 < n < grid_size:  # fewer rows than grid points: quantiles at n points
+            sub = expanded.where(F.col("scenario") == s)
+            q[s] = list(sw.pd_quantiles(sub, sw.linspace(0.0, 1.0, n), int(r["distinct"])).values())[0]
+    return {s: sw.grid_from(int(r["n"]), r["lo"], r["hi"], q.get(s, []), grid_size) for s, r in stats.items()}
 
 
 def stress_reoptimized(portfolio: DataFrame, scenarios: Sequence[Scenario] = REOPTIMIZED_SCENARIOS,
