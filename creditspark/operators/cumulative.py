@@ -57,12 +57,13 @@ def with_ranges(df: DataFrame, order_col: str, group_cols: Sequence[str] = (),
 def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
                 group_cols: Sequence[str] = (), n_ranges: int | None = None,
                 suffix: str = "_cum", descending: bool = False,
-                tiebreak: Sequence[str] = ()) -> DataFrame:
+                tiebreak: Sequence[str] = (), keep_range: bool = False) -> DataFrame:
     """Adds ``<v><suffix>`` = sum of ``v`` over rows of the group with order <= current order.
 
     With ``descending`` the order is reversed (sum over rows with order >= current). With
     ``tiebreak`` columns the order is ``(order_col, *tiebreak)`` and assumed unique, so the
-    sum runs row by row (a rank when ``v`` is 1).
+    sum runs row by row (a rank when ``v`` is 1). ``keep_range`` keeps the value-range index
+    ``_range`` (ranges ascend with the order, so callers can key joins on it).
     """
     group_cols = list(group_cols)
     value_cols = list(value_cols)
@@ -84,5 +85,5 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
                else w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     out = joined.select("*", *[
         (F.col(f"_o_{v}") + F.sum(v).over(running)).alias(f"{v}{suffix}") for v in value_cols])
-    drop = ["_range", *[f"_o_{v}" for v in value_cols]] + ([order] if descending else [])
+    drop = ([] if keep_range else ["_range"]) + [f"_o_{v}" for v in value_cols] + ([order] if descending else [])
     return out.drop(*drop)

@@ -6,8 +6,10 @@ at scale. This operator instead:
 
 1. counts rows per distinct value (partial aggregation: a hot value collapses map-side),
 2. turns counts into ranks with the range-partitioned prefix sum,
-3. picks the order statistics at ``floor/ceil((n-1) q)`` with an equi-join on the group plus
-   a rank-interval filter against the small broadcast table of target ranks,
+3. picks the order statistics at ``floor/ceil((n-1) q)``: each target rank is first placed in
+   its value range (a join of two small tables), then matched to the value rows of that range
+   only -- an equi-join on (group, range) plus a rank-interval filter against the small
+   broadcast table of target ranks, so no task compares every target with every value,
 4. interpolates ``a + (b-a) t`` (``b - (b-a)(1-t)`` for ``t >= 0.5``, as numpy does).
 
 ``method="nearest"`` picks the single order statistic at ``(n-1) q`` rounded half away from
@@ -37,8 +39,10 @@ def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float],
             raise ValueError(f"fraction must be in [0, 1], got {f}")
     values = df.where(F.col(col).isNotNull()).select(*group_cols, F.col(col).cast("double").alias("_v"))
     counts = values.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    ranked = prefix_sums(counts, "_v", ["_w"], group_cols, n_ranges)  # _w_cum: inclusive count
+    ranked = prefix_sums(counts, "_v", ["_w"], group_cols, n_ranges, keep_range=True)  # _w_cum: inclusive
     ranked = ranked.withColumn("_first", F.col("_w_cum") - F.col("_w"))  # 0-based first rank
+    # Rank span of every value range: groups x ranges rows.
+    spans = ranked.groupBy(*group_cols, "_range").agg(F.min("_first").alias("_rf"), F.max("_w_cum").alias("_rc"))
 
     sizes = counts.groupBy(*group_cols).agg(F.sum("_w").alias("_n"))
     h = (F.col("_n") - 1).cast("double") * F.col("fraction")
@@ -52,14 +56,16 @@ def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float],
         *group_cols, F.explode(F.array(*[F.lit(f) for f in fractions])).alias("fraction"), "_n",
     ).select(*group_cols, "fraction", h.alias("_h"), lo.alias("_lo"), hi.alias("_hi"))
     ends = targets.select(*group_cols, "fraction", "_h", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank"))
-    # targets: groups x fractions x 2 rows, a bounded broadcast.
-    r, e = ranked.alias("r"), ends.alias("t")
-    cond = [F.col(f"r.{g}") == F.col(f"t.{g}") for g in group_cols]
+    # Place each target rank in its value range (both sides are small: a bounded broadcast).
+    sp, en = spans.alias("s"), ends.alias("t")
+    placed = en.join(F.broadcast(sp), _all([F.col(f"s.{g}") == F.col(f"t.{g}") for g in group_cols] + [
+        F.col("s._rf") <= F.col("t._rank"), F.col("t._rank") < F.col("s._rc")]), "inner").select(
+        *[F.col(f"t.{g}").alias(g) for g in group_cols], "t.fraction", "t._h", "t._rank", "s._range")
+    # placed: groups x fractions x 2 rows, a bounded broadcast; equi-join on (group, range).
+    r, e = ranked.alias("r"), placed.alias("t")
+    cond = [F.col(f"r.{g}") == F.col(f"t.{g}") for g in group_cols] + [F.col("r._range") == F.col("t._range")]
     cond += [F.col("r._first") <= F.col("t._rank"), F.col("t._rank") < F.col("r._w_cum")]
-    cond_all = cond[0]
-    for c in cond[1:]:
-        cond_all = cond_all & c
-    hit = F.broadcast(e).join(r, cond_all, "inner").select(
+    hit = F.broadcast(e).join(r, _all(cond), "inner").select(
         *[F.col(f"t.{g}").alias(g) for g in group_cols], F.col("t.fraction").alias("fraction"),
         F.col("t._h").alias("_h"), F.col("t._rank").alias("_rank"), F.col("r._v").alias("_v"))
     lo_hi = hit.groupBy(*group_cols, "fraction", "_h").agg(
@@ -69,3 +75,10 @@ def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float],
     diff = F.col("_b") - F.col("_a")
     q = F.when(t >= 0.5, F.col("_b") - diff * (F.lit(1.0) - t)).otherwise(F.col("_a") + diff * t)
     return lo_hi.select(*group_cols, "fraction", F.when(diff == 0, F.col("_a")).otherwise(q).alias("quantile"))
+
+
+def _all(conds):
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return out
