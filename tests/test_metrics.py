@@ -139,3 +139,22 @@ def test_stratified_split_is_exact(spark, check_portfolio):
     assert sum(r["applications"] for r in rep.values()) == n
     assert rep["train"]["defaults"] == int(d * 0.6)
     assert rep["train"]["applications"] == int(d * 0.6) + int((n - d) * 0.6)
+
+
+def test_robust_stats_impute_nulls_with_median(spark):
+    from creditspark.ml.preprocess import robust_stats
+
+    rng = random.Random(11)
+    a = [float(rng.randint(0, 30)) if rng.random() > 0.3 else None for _ in range(300)]
+    b = [float(rng.randint(0, 9)) for _ in range(300)]
+    df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
+    got = {r["feature"]: r for r in robust_stats(df, ["a", "b"]).collect()}
+    for name, col in (("a", a), ("b", b)):
+        present = np.array([v for v in col if v is not None])
+        med = float(np.median(present))
+        filled = np.array([med if v is None else v for v in col])
+        q25, q75 = np.quantile(filled, [0.25, 0.75])
+        r = got[name]
+        assert r["median"] == pytest.approx(med, abs=1e-12)
+        assert r["q25"] == pytest.approx(q25, abs=1e-12) and r["q75"] == pytest.approx(q75, abs=1e-12)
+        assert r["scale"] == pytest.approx(q75 - q25 if q75 > q25 else 1.0, abs=1e-12)
