@@ -106,7 +106,8 @@ def calibration_bins(long: DataFrame, n_bins: int = 10, keep_empty: bool = True)
         F.sum(F.col("p").cast("decimal(38,9)")).alias("_psum"))
     filled = agg
     if keep_empty:
-        names = long.select("score_name").distinct()
+        # Score names from the (names x bins)-row aggregate, not from another pass over the data.
+        names = agg.select("score_name").distinct()
         grid = names.select("score_name", F.explode(F.sequence(F.lit(1), F.lit(n_bins))).alias("bin"))
         filled = grid.join(agg, ["score_name", "bin"], "left")
     cnt = F.coalesce(F.col("count"), F.lit(0)).cast("bigint")
