@@ -65,6 +65,17 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
     sum runs row by row (a rank when ``v`` is 1). ``keep_range`` keeps the value-range index
     ``_range`` (ranges ascend with the order, so callers can key joins on it).
     """
+    return prefix_sums_and_ranges(df, order_col, value_cols, group_cols, n_ranges, suffix,
+                                  descending, tiebreak, keep_range)[0]
+
+
+def prefix_sums_and_ranges(df: DataFrame, order_col: str, value_cols: Sequence[str],
+                           group_cols: Sequence[str] = (), n_ranges: int | None = None,
+                           suffix: str = "_cum", descending: bool = False,
+                           tiebreak: Sequence[str] = (), keep_range: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``prefix_sums`` plus its range table ``(group..., _range, _t_<v>, _o_<v>)``: per value
+    range the total of ``v`` and the exclusive running total before it (groups x ranges rows),
+    so callers get group sizes and range spans without another pass over the data."""
     group_cols = list(group_cols)
     value_cols = list(value_cols)
     work = df
@@ -76,7 +87,7 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
     totals = ranged.groupBy(*group_cols, "_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     before = (Window.partitionBy(*group_cols).orderBy("_range")
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*group_cols, "_range", *[
+    offsets = totals.select(*group_cols, "_range", *[f"_t_{v}" for v in value_cols], *[
         F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in value_cols])
     # offsets has groups x ranges rows: a bounded broadcast.
     joined = ranged.join(F.broadcast(offsets), [*group_cols, "_range"], "left")
@@ -85,5 +96,6 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
                else w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     out = joined.select("*", *[
         (F.col(f"_o_{v}") + F.sum(v).over(running)).alias(f"{v}{suffix}") for v in value_cols])
-    drop = ([] if keep_range else ["_range"]) + [f"_o_{v}" for v in value_cols] + ([order] if descending else [])
-    return out.drop(*drop)
+    drop = ([] if keep_range else ["_range"]) + [f"_o_{v}" for v in value_cols] + [f"_t_{v}" for v in value_cols] \
+        + ([order] if descending else [])
+    return out.drop(*drop), offsets

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditspark.operators.cumulative import prefix_sums
+from creditspark.operators.cumulative import prefix_sums_and_ranges
 
 
 def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float],
@@ -39,12 +39,13 @@ def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float],
             raise ValueError(f"fraction must be in [0, 1], got {f}")
     values = df.where(F.col(col).isNotNull()).select(*group_cols, F.col(col).cast("double").alias("_v"))
     counts = values.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    ranked = prefix_sums(counts, "_v", ["_w"], group_cols, n_ranges, keep_range=True)  # _w_cum: inclusive
+    ranked, ranges = prefix_sums_and_ranges(counts, "_v", ["_w"], group_cols, n_ranges, keep_range=True)
     ranked = ranked.withColumn("_first", F.col("_w_cum") - F.col("_w"))  # 0-based first rank
-    # Rank span of every value range: groups x ranges rows.
-    spans = ranked.groupBy(*group_cols, "_range").agg(F.min("_first").alias("_rf"), F.max("_w_cum").alias("_rc"))
-
-    sizes = counts.groupBy(*group_cols).agg(F.sum("_w").alias("_n"))
+    # Rank span of every value range and the group sizes, from the range table (groups x
+    # ranges rows), not from another pass over the values.
+    spans = ranges.select(*group_cols, "_range", F.col("_o__w").alias("_rf"),
+                          (F.col("_o__w") + F.col("_t__w")).alias("_rc"))
+    sizes = ranges.groupBy(*group_cols).agg(F.sum("_t__w").alias("_n"))
     h = (F.col("_n") - 1).cast("double") * F.col("fraction")
     if method == "nearest":
         # (n-1) q >= 0, so half-up rounding is half away from zero; both ends are that rank.
