@@ -58,7 +58,14 @@ def test_exact_quantiles_match_numpy(spark):
     vals = np.round(rng.normal(size=2000), 2)
     df = spark.createDataFrame([(float(v), "a" if i % 3 else "b") for i, v in enumerate(vals)], "v double, g string")
     fr = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = {(r["g"], r["fraction"]): r["quantile"] for r in exact_quantiles(df, "v", fr, ["g"], n_ranges=5).collect()}
+    dist = {(r["g"], r["fraction"]): r["quantile"]
+            for r in exact_quantiles(df, "v", fr, ["g"], n_ranges=5, max_local_distinct=None).collect()}
+    local = {(r["g"], r["fraction"]): r["quantile"] for r in exact_quantiles(df, "v", fr, ["g"]).collect()}
+    for got in (dist, local):
+        _check_groups(got, vals, fr)
+
+
+def _check_groups(got, vals, fr):
     for g, sel in (("a", [i % 3 != 0 for i in range(2000)]), ("b", [i % 3 == 0 for i in range(2000)])):
         ref = np.quantile(vals[np.array(sel)], fr)
         for f, q in zip(fr, ref):
@@ -72,11 +79,12 @@ def test_exact_quantiles_nearest_rank(spark):
         vals = [float(rng.randint(0, 40)) for _ in range(n)]
         df = spark.createDataFrame([(v,) for v in vals], "v double")
         fr = [0.0, 0.125, 0.25, 0.5, 0.75, 1.0]
-        got = {r["fraction"]: r["quantile"]
-               for r in exact_quantiles(df, "v", fr, n_ranges=3, method="nearest").collect()}
         s = sorted(vals)
-        for f in fr:
-            assert got[f] == s[int(math.floor((n - 1) * f + 0.5))], (n, f)
+        for local in (None, 10**6):
+            got = {r["fraction"]: r["quantile"] for r in exact_quantiles(
+                df, "v", fr, n_ranges=3, method="nearest", max_local_distinct=local).collect()}
+            for f in fr:
+                assert got[f] == s[int(math.floor((n - 1) * f + 0.5))], (n, f, local)
 
 
 def test_prefix_sums_match_cumsum(spark):
