@@ -1,8 +1,8 @@
 """Exact quantiles (linear as numpy's default, or nearest rank) computed in a distributed way.
 
-``percentile`` keeps every distinct value of a group in one task's map. That is fine for
-columns with few distinct values (5-dp PDs: at most 100,001) but not for a continuous column
-at scale. This operator instead:
+Built-in ``percentile`` keeps every distinct value of a group in one task's map and scans
+it once per requested fraction; a continuous column at scale does not fit that. For groups
+above a distinct-count bound this operator instead:
 
 1. counts rows per distinct value (partial aggregation: a hot value collapses map-side),
 2. turns counts into ranks with the range-partitioned prefix sum,
