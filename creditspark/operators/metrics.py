@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditspark.operators.cumulative import prefix_sums
+from creditspark.operators.quantiles import MAX_LOCAL_DISTINCT
 
 INT = "decimal(38,0)"
 
@@ -31,14 +32,33 @@ def stack_scores(df: DataFrame, scores: dict[str, Column | str], label: str = "d
     return long.where(F.col("score").isNotNull() & F.col("label").isNotNull())
 
 
-def distinct_scores(long: DataFrame) -> DataFrame:
-    """One row per (score_name, score) with counts and running counts from the top score down."""
+def distinct_scores(long: DataFrame, max_local_distinct: int | None = MAX_LOCAL_DISTINCT) -> DataFrame:
+    """One row per (score_name, score) with counts and running counts from the top score down.
+
+    When every score column has at most ``max_local_distinct`` distinct scores (approximate
+    count, one small job), each column's distinct-score table is cumulated in one pandas task
+    (integer cumulative sums, the same numbers); otherwise the range-partitioned prefix sum.
+    """
     d = long.groupBy("score_name", "score").agg(
         F.sum("label").cast("bigint").alias("pos"),
         (F.count(F.lit(1)) - F.sum("label")).cast("bigint").alias("neg"))
+    if max_local_distinct:
+        most = long.groupBy("score_name").agg(F.approx_count_distinct("score").alias("_d")).agg(
+            F.max("_d")).first()[0]
+        if most is not None and most <= max_local_distinct:
+            return d.groupBy("score_name").applyInPandas(
+                _running_counts, "score_name string, score double, pos bigint, neg bigint, "
+                                 "pos_cum bigint, neg_cum bigint")
     return prefix_sums(d, "score", ["pos", "neg"], group_cols=["score_name"], descending=True)
 
 
+def _running_counts(pdf):
+    """Counts of rows with score >= each distinct score (descending order, int64 sums)."""
+    pdf = pdf.sort_values("score", ascending=False, kind="stable")
+    pdf = pdf.assign(pos_cum=pdf["pos"].cumsum(), neg_cum=pdf["neg"].cumsum())
+    return pdf[["score_name", "score", "pos", "neg", "pos_cum", "neg_cum"]]
+
+
 def _totals(dist: DataFrame) -> DataFrame:
     return dist.groupBy("score_name").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
 

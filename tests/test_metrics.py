@@ -166,3 +166,19 @@ def test_robust_stats_impute_nulls_with_median(spark):
         assert r["median"] == pytest.approx(med, abs=1e-12)
         assert r["q25"] == pytest.approx(q25, abs=1e-12) and r["q75"] == pytest.approx(q75, abs=1e-12)
         assert r["scale"] == pytest.approx(q75 - q25 if q75 > q25 else 1.0, abs=1e-12)
+
+
+def test_distinct_score_running_counts_both_paths(spark):
+    rng = random.Random(13)
+    y = [int(rng.random() < 0.3) for _ in range(500)]
+    p = [round(rng.random(), 2) for _ in range(500)]
+    long = mt.stack_scores(spark.createDataFrame([(float(a), b, 1.0 - b) for a, b in zip(y, p)],
+                                                 "default_flag double, s double, t double"),
+                           {"m": "s", "n": "t"}, "default_flag")
+    cols = ["score_name", "score", "pos", "neg", "pos_cum", "neg_cum"]
+    local = sorted(tuple(r) for r in mt.distinct_scores(long).select(*cols).collect())
+    dist = sorted(tuple(r) for r in mt.distinct_scores(long, max_local_distinct=None).select(*cols).collect())
+    assert local == dist
+    for name, scores in (("m", p), ("n", [1.0 - b for b in p])):
+        for r in [t for t in local if t[0] == name][::17]:
+            assert r[4] == sum(a for a, s in zip(y, scores) if s >= r[1])
