@@ -32,3 +32,10 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if that path exists there."""
+    from pathlib import Path
+
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
