@@ -82,7 +82,7 @@ def decision_factors(dti: Column, delinq: Column, util: Column, amount: Column,
 
     ``with_text=False`` leaves ``description`` null (skips the string formatting).
     """
-    lti = amount / income
+    lti = F.try_divide(amount, income)
     spread = rate - cof
     dti_impact = _band3(dti, dti <= 0.30, dti > 0.45)
     util_impact = _band3(util, util <= 0.30, util > 0.60)
@@ -124,7 +124,7 @@ def decision_factors(dti: Column, delinq: Column, util: Column, amount: Column,
 
 def simple_factors(dti: Column, util: Column, delinq: Column, amount: Column, income: Column) -> Column:
     """The four-factor cockpit explanation (different cuts from P16)."""
-    lti = amount / income
+    lti = F.try_divide(amount, income)
     fav, unfav, neu = F.lit(FAVORABLE), F.lit(UNFAVORABLE), F.lit(NEUTRAL)
     return F.array(
         F.struct(F.lit(S_DTI).alias("name"), dti.cast("double").alias("value"),

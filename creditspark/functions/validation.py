@@ -75,8 +75,8 @@ APPLICANT_DEFAULTS = {
 
 
 def with_applicant_defaults(df: DataFrame) -> DataFrame:
-    """V3 defaults: add absent optional fields as literals; present columns are kept as is."""
-    missing = {k: F.lit(v) for k, v in APPLICANT_DEFAULTS.items() if k not in df.columns}
+    """V3 defaults for absent optional fields: a column that isn't there, or a null in one."""
+    missing = {k: F.coalesce(F.col(k), F.lit(v)) if k in df.columns else F.lit(v) for k, v in APPLICANT_DEFAULTS.items()}
     if "policy_threshold" not in df.columns:
         missing["policy_threshold"] = F.lit(None).cast("double")
     return df.withColumns(missing) if missing else df
@@ -97,11 +97,17 @@ def split_valid(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFr
     return checked.where("is_valid").drop("violations", "is_valid"), checked.where("NOT is_valid")
 
 
-def check_closed_schema(df: DataFrame, allowed: Sequence[str], required: Sequence[str] = ()) -> None:
-    """V5: unknown columns are rejected (closed schema); required columns must be present."""
+def check_closed_schema(df: DataFrame, allowed: Sequence[str], required: Sequence[str] = (),
+                        types: dict[str, str] | None = None) -> None:
+    """V5: unknown columns are rejected (closed schema); required columns must be present, and
+    columns named in ``types`` must have exactly that type (no coercion of text or booleans)."""
     extra = [c for c in df.columns if c not in set(allowed)]
     if extra:
         raise ValueError(f"unknown fields: {extra}")
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"missing required fields: {missing}")
+    found = dict(df.dtypes)
+    wrong = {c: found[c] for c, t in (types or {}).items() if c in found and found[c] != t}
+    if wrong:
+        raise TypeError(f"fields of another type than declared: {wrong}")

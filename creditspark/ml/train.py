@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -10,22 +11,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditspark.functions.economics import EconomicParameters, enrich_portfolio
-from creditspark.ml.calibrate import Calibrator, fit_calibrator
+from creditspark.functions.validation import applicant_rules, split_valid, with_applicant_defaults
+from creditspark.ml.calibrate import Calibrator, fit_calibrator, load_calibrator, save_calibrator
 from creditspark.ml.pipeline import LABEL, ModelSpec, fit_pipeline, prepare, score
 from creditspark.operators import metrics as mt
 from creditspark.operators import sweep as sw
 from creditspark.operators.audit import split_report, stratified_split
+from creditspark.operators.decisioning import decision_frame
 from creditspark.session import ensure_checkpoint_dir
 from creditspark.sources.artifacts import artifact_exists, load_pipeline_artifact, save_pipeline_artifact
+from creditspark.sources.portfolio import DERIVATION_VERSION, source_signature
+from creditspark.sources.storage import remove_path
 
 
 @dataclass
-class TrainingResult:
-    model: PipelineModel
+class CalibratedModel:
+    """A fitted pipeline, the calibrator of its scores, and their metadata."""
+
+    pipeline: PipelineModel
     calibrator: Calibrator
+    metadata: dict
+
+    def score(self, df: DataFrame, keep=("application_id", LABEL), carry=(), out_col: str = "calibrated_pd") -> DataFrame:
+        """M8 then M9: raw score and calibrated PD per row."""
+        return self.calibrator.transform(score(self.pipeline, df, keep=keep, carry=carry), out_col)
+
+    def save(self, spark: SparkSession, path: str) -> str:
+        """Calibrator first, metadata (the mark of a complete artifact) last."""
+        kept = save_calibrator(self.calibrator, f"{path}/calibrator")
+        return save_pipeline_artifact(spark, self.pipeline, path, {**self.metadata, **kept})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "CalibratedModel":
+        pipeline, metadata = load_pipeline_artifact(spark, path)
+        return cls(pipeline, load_calibrator(spark, f"{path}/calibrator", metadata), metadata)
+
+
+@dataclass
+class TrainingResult:
+    model: CalibratedModel
     split_report: DataFrame
     comparison: DataFrame
-    path: str | None
+    path: str
 
 
 def split_portfolio(portfolio: DataFrame) -> DataFrame:
@@ -38,61 +65,71 @@ def training_job(spark: SparkSession, portfolio: DataFrame, out_path: str | None
                  model: PipelineModel | None = None) -> TrainingResult:
     """Split -> fit on train -> calibrate on validation -> compare on test -> save.
 
-    The split frame is written once as a parquet table in the checkpoint folder (lineage cut,
-    survives executor loss), so the three splits and every fitting pass read the same rows.
+    The split frame is written once as a parquet table (lineage cut, survives executor loss), so
+    the three splits and every fitting pass read the same rows; it is removed at the end. The
+    artifact holds the pipeline, the calibrator, both reports, and metadata with the split
+    sizes and test metrics. Without ``out_path`` it goes to the checkpoint folder.
     """
     base = ensure_checkpoint_dir(spark)
-    import uuid
-
+    out_path = out_path or f"{base}/creditspark-models/{uuid.uuid4().hex}"
     split_path = f"{base}/creditspark-splits/{uuid.uuid4().hex}"
-    split_portfolio(portfolio).write.mode("overwrite").parquet(split_path)
+    split_portfolio(portfolio).write.parquet(split_path)
     split = spark.read.parquet(split_path)
     train = prepare(split.where("split = 'train'"))
     if model is None:
         model = fit_pipeline(train, spec)
-    val = score(model, split.where("split = 'validation'"))
-    cal = fit_calibrator(val, method)
+    cal = fit_calibrator(score(model, split.where("split = 'validation'")), method)
     test = cal.transform(score(model, split.where("split = 'test'")))
     long = mt.stack_scores(test, {"raw": "model_score_pd", "calibrated": "calibrated_pd"}, LABEL)
-    comparison = mt.calibration_comparison(long, before="raw", after="calibrated")
-    if out_path:
-        save_pipeline_artifact(spark, model, out_path, {"calibration": method,
-                                                        "features": list(train.columns)})
-    return TrainingResult(model, cal, split_report(split), comparison, out_path)
-
-
-def _key(text: str) -> str:
-    return hashlib.sha1(text.encode()).hexdigest()[:16]
-
-
-def model_path(spark: SparkSession, sf_dir: str, name: str = "gbt") -> str:
-    return f"{ensure_checkpoint_dir(spark)}/creditspark-models/{_key(sf_dir)}-{name}"
+    mt.calibration_comparison(long, before="raw", after="calibrated").write.mode("overwrite").parquet(f"{out_path}/comparison")
+    split_report(split).write.mode("overwrite").parquet(f"{out_path}/splits")
+    comparison, report = spark.read.parquet(f"{out_path}/comparison"), spark.read.parquet(f"{out_path}/splits")
+    metadata = {
+        "features": [c for c in train.columns if c not in ("application_id", LABEL)],
+        "spec": repr(spec or ModelSpec()), "splits": {r["split"]: r["applications"] for r in report.collect()},
+        "test_metrics": {k: float(v) for k, v in comparison.first().asDict().items() if isinstance(v, (int, float))},
+    }
+    trained = CalibratedModel(model, cal, metadata)
+    trained.save(spark, out_path)
+    remove_path(spark, split_path)
+    return TrainingResult(trained, report, comparison, out_path)
+
+
+def model_path(spark: SparkSession, sf_dir: str, name: str = "gbt", spec: ModelSpec | None = None, method: str = "isotonic") -> str:
+    """Artifact folder, keyed by the source tables' identity, model settings and calibration."""
+    text = f"{source_signature(spark, sf_dir)}|{spec or ModelSpec()!r}|{method}|{LABEL}|{DERIVATION_VERSION}"
+    return f"{ensure_checkpoint_dir(spark)}/creditspark-models/{hashlib.sha1(text.encode()).hexdigest()[:16]}-{name}"
 
 
 def load_or_train(spark: SparkSession, portfolio: DataFrame, path: str,
-                  spec: ModelSpec | None = None) -> PipelineModel:
-    """Use the artifact when present, else train on the training split and save it.
+                  spec: ModelSpec | None = None, method: str = "isotonic") -> CalibratedModel:
+    """The complete artifact when present, else the training job's.
 
     (The reference cold-starts on a small generated sample; here the cold start trains on the
     supplied portfolio's training split, so no rows are dropped.)
     """
     if artifact_exists(spark, path):
-        return load_pipeline_artifact(spark, path)[0]
-    split = split_portfolio(portfolio)
-    model = fit_pipeline(prepare(split.where("split = 'train'")), spec)
-    save_pipeline_artifact(spark, model, path, {"trained_on": "train split"})
-    return model
+        return CalibratedModel.load(spark, path)
+    return training_job(spark, portfolio, path, spec, method).model
+
+
+def score_and_decide(model: CalibratedModel, applicants: DataFrame, with_factors: bool = True) -> tuple[DataFrame, DataFrame]:
+    """M8 -> M9 -> O14: decisions on calibrated PDs for valid requests (V3), and the rejected rows."""
+    valid, rejected = split_valid(with_applicant_defaults(applicants), applicant_rules())
+    scored = model.score(valid, keep=("application_id",), carry=tuple(c for c in valid.columns if c != "application_id"))
+    return decision_frame(scored, "calibrated_pd", with_factors), rejected
 
 
-def simulate_portfolio(model: PipelineModel, applications: DataFrame,
+def simulate_portfolio(model: CalibratedModel, applications: DataFrame,
                        cutoffs=sw.DEFAULT_SIMULATION_CUTOFFS, grid_size: int = 500) -> DataFrame:
-    """Score -> enrich (row terms, LGD default) -> evaluations at the cutoffs + optimum.
+    """Calibrated score -> enrich (row terms and LGD, defaults where absent) -> evaluations at
+    the cutoffs + optimum.
 
     One row per evaluated cutoff (rounded as the simulation endpoint does) with the optimum
     attached as scalar-subquery columns.
     """
-    portfolio = score(model, applications, out_col="pd", keep=("application_id",),
-                      carry=("loan_amount", "interest_rate", "cost_of_funds", "loan_term_months"))
+    portfolio = model.score(applications, keep=("application_id",), out_col="pd",
+                            carry=("loan_amount", "interest_rate", "cost_of_funds", "loan_term_months", "lgd"))
     enriched = enrich_portfolio(portfolio, EconomicParameters(), mode="default")
     evals = sw.round_policy(sw.policy_sweep(enriched, cutoffs))
     opt = sw.optimize_threshold(enriched, grid_size)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from creditspark.functions import decision as dz
 from creditspark.functions.economics import breakeven_pd, net_gain, net_loss
-from creditspark.functions.validation import with_applicant_defaults
+from creditspark.functions.validation import applicant_rules, split_valid, with_applicant_defaults
 from creditspark.operators.sweep import round_money
 
 DECISION_COLUMNS = ["application_id", "decision", "calibrated_pd", "expected_value", "breakeven_pd",
@@ -58,3 +58,11 @@ def exploded_factors(decisions: DataFrame) -> DataFrame:
     """P16 flattened: one row per (application, factor), description kept apart."""
     return decisions.select("application_id", F.inline("key_factors")).select(
         "application_id", F.col("name").alias("factor"), "value", "impact", "description")
+
+
+def decide(applicants: DataFrame, pd_col: str = "pd", with_factors: bool = True,
+           factor_text: bool = True) -> tuple[DataFrame, DataFrame]:
+    """O14 behind V3: decisions for the valid requests, and the rejected rows with their
+    ``violations`` (nothing is dropped)."""
+    valid, rejected = split_valid(with_applicant_defaults(applicants), applicant_rules())
+    return decision_frame(valid, pd_col, with_factors, factor_text), rejected

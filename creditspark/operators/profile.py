@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditspark.operators.quantiles import exact_quantiles
+from creditspark.operators.sweep import money_sum, round_money
 
 SUMMARY_COLUMNS = [
     "total_applications", "total_exposure", "default_count", "default_rate", "avg_pd",
@@ -19,7 +20,7 @@ def portfolio_summary(df: DataFrame, seed: int | None = None) -> DataFrame:
     """A2: one aggregate pass; money to 2 dp and rates to 5 dp. Empty input is an error (V7)."""
     agg = df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("loan_amount").alias("exposure"),
+        money_sum("loan_amount").alias("exposure"),
         F.sum("default_flag").alias("defaults"),
         F.avg("pd").alias("avg_pd"),
         F.avg("loan_amount").alias("avg_amount"),
@@ -28,10 +29,10 @@ def portfolio_summary(df: DataFrame, seed: int | None = None) -> DataFrame:
         F.avg("cost_of_funds").alias("avg_cof"),
     )
     # V7: an empty portfolio has no summary; raise_error keeps the check inside the plan.
-    guard = F.when(F.col("n") == 0, F.raise_error(F.lit("Cannot compute summary on an empty DataFrame")))
+    guard = F.when(F.col("n") == 0, F.raise_error(F.lit("a summary needs at least one row")))
     return agg.select(
         F.coalesce(guard.cast("bigint"), F.col("n")).alias("total_applications"),
-        F.bround("exposure", 2).alias("total_exposure"),
+        round_money("exposure").alias("total_exposure"),
         F.col("defaults").cast("bigint").alias("default_count"),
         F.bround(F.col("defaults") / F.col("n"), 5).alias("default_rate"),
         F.bround("avg_pd", 5).alias("avg_pd"),

@@ -1,8 +1,7 @@
 """Exact quantiles (linear as numpy's default, or nearest rank) computed in a distributed way.
 
 Built-in ``percentile`` keeps every distinct value of a group in one task's map and scans
-it once per requested fraction; a continuous column at scale does not fit that. For groups
-above a distinct-count bound this operator instead:
+it once per requested fraction; a continuous column at scale does not fit that. Instead:
 
 1. counts rows per distinct value (partial aggregation: a hot value collapses map-side),
 2. turns counts into ranks with the range-partitioned prefix sum,
@@ -14,85 +13,22 @@ above a distinct-count bound this operator instead:
 
 ``method="nearest"`` picks the single order statistic at ``(n-1) q`` rounded half away from
 zero (the rule of a dataframe ``describe()`` with nearest interpolation); no interpolation.
-
-Groups whose approximate distinct count is at most ``MAX_LOCAL_DISTINCT`` skip the
-distributed plan: their value counts (partial aggregation) are reduced in one pandas task
-per group -- sort, cumulative counts, binary search -- which is bounded by that count, not by
-the number of rows. The choice is made per call from one small aggregate job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditspark.operators.cumulative import prefix_sums_and_ranges
 
 
-# Fixed bound: groups with at most this many distinct values are reduced in one task each.
-MAX_LOCAL_DISTINCT = 200_000
-
-
-def quantiles_from_counts(values: np.ndarray, counts: np.ndarray, fractions: Sequence[float],
-                          method: str = "linear") -> np.ndarray:
-    """Quantiles of the multiset ``values`` x ``counts``, exactly as ``numpy.quantile`` computes
-    them on the expanded array (linear: virtual index ``(n-1) q``, the order statistics on both
-    sides, numpy's two-sided interpolation); ``nearest``: rank ``(n-1) q`` rounded half up."""
-    order = np.argsort(values, kind="stable")
-    v = np.asarray(values, dtype=float)[order]
-    cum = np.cumsum(np.asarray(counts, dtype=np.int64)[order])
-    n = int(cum[-1])
-    h = (n - 1) * np.asarray(fractions, dtype=float)
-    if method == "nearest":
-        return v[np.searchsorted(cum, np.floor(h + 0.5).astype(np.int64), side="right")]
-    lo = np.floor(h)
-    lo_i = np.minimum(lo.astype(np.int64), n - 1)
-    hi_i = np.minimum(lo_i + 1, n - 1)
-    a = v[np.searchsorted(cum, lo_i, side="right")]  # value at 0-based rank r: first cum > r
-    b = v[np.searchsorted(cum, hi_i, side="right")]
-    t = h - lo
-    diff = b - a
-    return np.where(t >= 0.5, b - diff * (1.0 - t), a + diff * t)
-
-
-def local_quantiles(df: DataFrame, col: str, fractions: Sequence[float], group_cols: Sequence[str] = (),
-                    method: str = "linear") -> DataFrame:
-    """``(group..., fraction, quantile)`` with one pandas task per group over its value counts.
-
-    Only for groups whose distinct-value count is bounded (see ``MAX_LOCAL_DISTINCT``): the
-    counts are partially aggregated before the shuffle, so a task holds (value, count) pairs.
-    """
-    import pandas as pd
-
-    group_cols = list(group_cols)
-    keys = group_cols or ["_g"]
-    src = df if group_cols else df.withColumn("_g", F.lit(0))
-    counts = src.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_w"))
-    types = {f.name: f.dataType.simpleString() for f in src.schema.fields}
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["fraction double", "quantile double"])
-    fr = [float(f) for f in fractions]
-
-    def per_group(key, pdf):
-        q = quantiles_from_counts(pdf["_v"].to_numpy(), pdf["_w"].to_numpy(), fr, method)
-        out = {k: [key[j]] * len(fr) for j, k in enumerate(keys)}
-        out.update({"fraction": fr, "quantile": q})
-        return pd.DataFrame(out)
-
-    out = counts.groupBy(*keys).applyInPandas(per_group, schema)
-    return out.select(*group_cols, "fraction", "quantile")
-
-
 def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float],
                     group_cols: Sequence[str] = (), n_ranges: int | None = None,
-                    method: str = "linear", max_local_distinct: int | None = MAX_LOCAL_DISTINCT) -> DataFrame:
-    """``(group..., fraction, quantile)`` for every requested fraction; nulls are ignored.
-
-    ``max_local_distinct=None`` always uses the distributed plan.
-    """
+                    method: str = "linear") -> DataFrame:
+    """``(group..., fraction, quantile)`` for every requested fraction; nulls are ignored."""
     if method not in ("linear", "nearest"):
         raise ValueError(f"method must be 'linear' or 'nearest', got {method!r}")
     group_cols = list(group_cols)
@@ -101,11 +37,6 @@ def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float],
         if not 0.0 <= f <= 1.0:
             raise ValueError(f"fraction must be in [0, 1], got {f}")
     values = df.where(F.col(col).isNotNull()).select(*group_cols, F.col(col).cast("double").alias("_v"))
-    if max_local_distinct:
-        most = values.groupBy(*group_cols).agg(F.approx_count_distinct("_v").alias("_d")).agg(
-            F.max("_d")).first()[0]
-        if most is not None and most <= max_local_distinct:
-            return local_quantiles(values, "_v", fractions, group_cols, method)
     counts = values.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_w"))
     ranked, ranges = prefix_sums_and_ranges(counts, "_v", ["_w"], group_cols, n_ranges, keep_range=True)
     ranked = ranked.withColumn("_first", F.col("_w_cum") - F.col("_w"))  # 0-based first rank

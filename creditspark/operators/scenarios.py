@@ -168,18 +168,17 @@ def scenario_candidate_grids(expanded: DataFrame, grid_size: int) -> dict[str, l
     """O2 per scenario: one grouped stats job, one grouped quantile job (bounded: scenarios x
     grid_size doubles reach the driver)."""
     stats = {r["scenario"]: r for r in sw.grid_stats(expanded, ["scenario"])}
-    most = max([int(r["distinct"]) for r in stats.values()] + [0])
     fr = sw.linspace(0.0, 1.0, grid_size)
     full = [s for s, r in stats.items() if int(r["n"]) >= grid_size]
     q = {}
     if full:
         src = expanded if len(full) == len(stats) else expanded.where(F.col("scenario").isin(full))
-        q = {k[0]: v for k, v in sw.pd_quantiles(src, fr, most, ["scenario"]).items()}
+        q = {k[0]: v for k, v in sw.pd_quantiles(src, fr, ["scenario"]).items()}
     for s, r in stats.items():
         n = int(r["n"])
         if 0 < n < grid_size:  # fewer rows than grid points: quantiles at n points
             sub = expanded.where(F.col("scenario") == s)
-            q[s] = list(sw.pd_quantiles(sub, sw.linspace(0.0, 1.0, n), int(r["distinct"])).values())[0]
+            q[s] = list(sw.pd_quantiles(sub, sw.linspace(0.0, 1.0, n)).values())[0]
     return {s: sw.grid_from(int(r["n"]), r["lo"], r["hi"], q.get(s, []), grid_size) for s, r in stats.items()}
 
 

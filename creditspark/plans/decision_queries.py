@@ -186,6 +186,6 @@ def q_stream_decisions(spark, sf_dir):
     from creditspark.streaming.decisions import APPLICANT_SCHEMA, run_decision_stream
 
     base = f"{ensure_checkpoint_dir(spark)}/creditspark-stream/{uuid.uuid4().hex}"
-    apps = applicants(spark, sf_dir).select(*[f.name for f in APPLICANT_SCHEMA.fields])
+    apps = vl.with_applicant_defaults(applicants(spark, sf_dir)).select(*[f.name for f in APPLICANT_SCHEMA.fields])
     write_portfolio(apps, f"{base}/source")
     return run_decision_stream(spark, f"{base}/source", f"{base}/sink", f"{base}/checkpoint")

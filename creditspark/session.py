@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,16 +39,26 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
     return spark
 
 
+def scratch_root(conf_dir: str | None, master: str) -> str:
+    """The folder for intermediate tables: the configured one, else a new one on a local master.
+
+    Executors of a cluster don't share the driver's disk, so there a folder must be configured.
+    """
+    if conf_dir:
+        return conf_dir
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="creditspark-ckpt-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory, creating a scratch one only when unset.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is; a local
-    scratch folder is only made for tests and local runs where nothing is configured.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is (without one
+    this raises); a local scratch folder is only made for tests and local runs.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="creditspark-ckpt-")
+    current = sc.getCheckpointDir() or scratch_root(sc.getConf().get("spark.checkpoint.dir", None), sc.master)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current

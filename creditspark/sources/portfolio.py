@@ -14,6 +14,8 @@ the order key, so the outer join only shuffles orders.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,8 @@ from creditspark.functions.scorecard import (
     risk_based_rate,
     scorecard_pd,
 )
+from creditspark.session import ensure_checkpoint_dir
+from creditspark.sources.storage import path_exists, publish, remove_path
 from creditspark.sources.tables import read_table
 
 PORTFOLIO_SEED = 42
@@ -43,15 +47,8 @@ PORTFOLIO_SCHEMA = T.StructType([
     T.StructField("default_flag", T.LongType()),
 ])
 PORTFOLIO_COLUMNS = [f.name for f in PORTFOLIO_SCHEMA.fields]
-# Extra grouping columns carried by the derived portfolio.
-EXTRA_COLUMNS = ["segment", "application_ts"]
-
-MODEL_FEATURES = [
-    "monthly_income", "debt_to_income", "historical_delinquencies", "revolving_utilization",
-    "loan_amount", "interest_rate", "cost_of_funds",
-]
-CATEGORICAL_FEATURES = ["loan_term_months"]
-
+# Raised whenever the derivation changes, so that no session reads an older build.
+DERIVATION_VERSION = 1
 
 def _clip(col: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), col))
@@ -147,15 +144,12 @@ def read_portfolio(spark: SparkSession, path: str) -> DataFrame:
 
 def load_or_derive(spark: SparkSession, path: str | None, sf_dir: str) -> DataFrame:
     """Read the portfolio when ``path`` exists, else derive it from the tables."""
-    if path:
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(str(path))
-        fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(hadoop_path):
-            return read_portfolio(spark, path)
+    if path and path_exists(spark, path):
+        return read_portfolio(spark, path)
     return derive_portfolio(spark, sf_dir)
 
 
-def _signature(spark: SparkSession, sf_dir: str, tables=("orders", "customer", "lineitem")) -> str:
+def source_signature(spark: SparkSession, sf_dir: str, tables=("orders", "customer", "lineitem")) -> str:
     """Identity of the source tables (path, size, modification time) for the materialised build."""
     import hashlib
 
@@ -177,17 +171,18 @@ def materialized_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The build (the join with the lineitem aggregate) is written as parquet under the
     session's checkpoint folder -- a shared location on a cluster -- keyed by the source
-    tables' identity; every later query reads only the columns it needs from that table
-    instead of re-running the join. A failed or partial build has no ``_SUCCESS`` marker and
-    is rebuilt.
+    tables' identity and the derivation's version; every later query reads only the columns it
+    needs from that table instead of re-running the join. A build is written to a fresh path
+    and renamed when complete, so sessions that build at once don't meet.
     """
-    from creditspark.session import ensure_checkpoint_dir
-
-    path = f"{ensure_checkpoint_dir(spark)}/creditspark-portfolio/{_signature(spark, sf_dir)}"
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
-        derive_portfolio(spark, sf_dir).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    folder = f"{ensure_checkpoint_dir(spark)}/creditspark-portfolio"
+    path = f"{folder}/v{DERIVATION_VERSION}-{source_signature(spark, sf_dir)}"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        built = f"{folder}/build-{uuid.uuid4().hex}"
+        derive_portfolio(spark, sf_dir).write.parquet(built)
+        if not publish(spark, built, path):  # another session published the same build first
+            remove_path(spark, built)
+    return spark.read.schema(derive_portfolio(spark, sf_dir).schema).parquet(path)
 
 
 def write_portfolio(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
@@ -199,35 +194,54 @@ def write_portfolio(df: DataFrame, path: str, partition_by: list[str] | None = N
     return str(path)
 
 
-def ingest_rows(spark: SparkSession, rows, schema: T.StructType | None = None) -> DataFrame:
-    """S3: a DataFrame from a dict of columns, a list of dicts, or a pandas frame."""
+def ingest_rows(spark: SparkSession, rows, schema: T.StructType | None = None,
+                columns: list[str] | None = None) -> DataFrame:
+    """S3: a DataFrame from a dict of columns, a list of dicts, a pandas frame, or a matrix (a
+    2-d array or a list of rows) with its ``columns``.
+
+    Fields are the union over all records, in order of first appearance; an absent one is null.
+    Types are those that hold every value of a field: a known field keeps its type unless a
+    value needs a double (2.7 delinquencies) or text.
+    """
+    if columns is not None:
+        values = rows.tolist() if hasattr(rows, "tolist") else [list(r) for r in rows]
+        if any(len(r) != len(columns) for r in values):
+            raise ValueError(f"every row needs {len(columns)} values")
+        rows = [dict(zip(columns, r)) for r in values]
+    if hasattr(rows, "to_dict") and schema is None:
+        rows = rows.to_dict("list")
     if isinstance(rows, dict):
-        keys = list(rows)
-        n = len(rows[keys[0]]) if keys else 0
-        rows = [{k: rows[k][i] for k in keys} for i in range(n)]
+        lengths = {k: len(v) for k, v in rows.items()}
+        if len(set(lengths.values())) > 1:
+            raise ValueError(f"columns differ in length: {lengths}")
+        n = next(iter(lengths.values()), 0)
+        rows = [{k: rows[k][i] for k in rows} for i in range(n)]
     if schema is None and isinstance(rows, list):
         if not rows:
             raise ValueError("cannot infer a schema from no rows; pass schema=")
-        names = list(rows[0])
-        known = {f.name: f for f in PORTFOLIO_SCHEMA.fields}
-        fields = []
-        for name in names:
-            sample = next((r.get(name) for r in rows if r.get(name) is not None), None)
-            if isinstance(sample, str):
-                fields.append(T.StructField(name, T.StringType()))
-            elif name in known:
-                fields.append(known[name])
-            else:
-                dtype = T.LongType() if isinstance(sample, int) and not isinstance(sample, bool) else T.DoubleType()
-                fields.append(T.StructField(name, dtype))
-        schema = T.StructType(fields)
+        names = list(dict.fromkeys(name for r in rows for name in r))
+        schema = T.StructType([T.StructField(name, _lossless_type(name, [r.get(name) for r in rows])) for name in names])
         rows = [tuple(_coerce(r.get(f.name), f.dataType) for f in schema.fields) for r in rows]
     return spark.createDataFrame(rows, schema=schema)
 
 
+def _lossless_type(name: str, values: list) -> T.DataType:
+    known = {f.name: f.dataType for f in PORTFOLIO_SCHEMA.fields}
+    present = [v.item() if hasattr(v, "item") else v for v in values]
+    present = [v for v in present if v is not None]
+    if any(not isinstance(v, (int, float, bool)) for v in present):
+        return T.StringType()
+    whole = all(isinstance(v, int) or float(v).is_integer() for v in present)
+    if name in known:
+        return T.DoubleType() if isinstance(known[name], T.LongType) and not whole else known[name]
+    return T.LongType() if present and all(isinstance(v, int) and not isinstance(v, bool) for v in present) else T.DoubleType()
+
+
 def _coerce(value, dtype):
     if value is None:
         return None
+    if isinstance(dtype, T.StringType):
+        return str(value)
     if isinstance(dtype, T.DoubleType):
         return float(value)
     if isinstance(dtype, T.LongType):

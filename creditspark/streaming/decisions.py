@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from creditspark.operators.decisioning import DECISION_COLUMNS, decision_frame
+from creditspark.operators.decisioning import DECISION_COLUMNS, decide
 
 APPLICANT_SCHEMA = T.StructType([
     T.StructField("application_id", T.LongType()),
@@ -25,20 +25,27 @@ APPLICANT_SCHEMA = T.StructType([
     T.StructField("interest_rate", T.DoubleType()),
     T.StructField("cost_of_funds", T.DoubleType()),
     T.StructField("pd", T.DoubleType()),
+    T.StructField("lgd", T.DoubleType()),
     T.StructField("policy_threshold", T.DoubleType()),
 ])
 
 
 def decision_stream(spark: SparkSession, source_dir: str, schema: T.StructType = APPLICANT_SCHEMA,
                     max_files_per_trigger: int | None = None, with_factors: bool = False) -> DataFrame:
-    """Streaming DataFrame of decision records read from parquet files under ``source_dir``."""
+    """Streaming decision records of the valid requests (V3) under ``source_dir``; the rest are
+    ``rejected_stream``."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    decisions = decision_frame(reader.parquet(source_dir), with_factors=with_factors)
+    decisions, _ = decide(reader.parquet(source_dir), with_factors=with_factors)
     return decisions if with_factors else decisions.select(*DECISION_COLUMNS)
 
 
+def rejected_stream(spark: SparkSession, source_dir: str, schema: T.StructType = APPLICANT_SCHEMA) -> DataFrame:
+    """Streaming rows that break a V3 rule, with their ``violations``."""
+    return decide(spark.readStream.schema(schema).parquet(source_dir), with_factors=False)[1]
+
+
 def start_decision_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                           available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
     """Start the stream into a parquet sink (append mode, checkpointed)."""

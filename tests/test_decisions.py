@@ -92,7 +92,7 @@ def test_decision_stream_is_incremental_and_exactly_once(spark, tmp_path):
     from creditspark.plans.decision_queries import applicants
     from creditspark.streaming.decisions import APPLICANT_SCHEMA, run_decision_stream
 
-    apps = applicants(spark, SF_SMALL).select(*[f.name for f in APPLICANT_SCHEMA.fields])
+    apps = vl.with_applicant_defaults(applicants(spark, SF_SMALL)).select(*[f.name for f in APPLICANT_SCHEMA.fields])
     first, second = apps.where(F.col("application_id") % 2 == 0), apps.where(F.col("application_id") % 2 == 1)
     src, sink, ckpt = (str(tmp_path / d) for d in ("source", "sink", "checkpoint"))
     first.write.mode("append").parquet(src)
@@ -106,3 +106,36 @@ def test_decision_stream_is_incremental_and_exactly_once(spark, tmp_path):
     batch = decision_frame(apps, with_factors=False).select(*DECISION_COLUMNS)
     assert out2.select(*DECISION_COLUMNS).exceptAll(batch).count() == 0
     assert batch.exceptAll(out2.select(*DECISION_COLUMNS)).count() == 0
+
+
+def test_broken_requests_are_rejected_and_the_rest_decided(spark):
+    from creditspark.operators.decisioning import decide
+
+    good = {"application_id": 1, "monthly_income": 3000.0, "debt_to_income": 0.2, "historical_delinquencies": 0,
+            "revolving_utilization": 0.2, "loan_amount": 9000.0, "loan_term_months": 12, "interest_rate": 0.2,
+            "cost_of_funds": 0.05, "pd": 0.03, "lgd": None}
+    rows = [good, dict(good, application_id=2, monthly_income=0.0), dict(good, application_id=3, lgd=1.5)]
+    decided, rejected = decide(ingest_rows(spark, rows))
+    assert [r["application_id"] for r in decided.collect()] == [1]
+    assert {r["application_id"]: r["violations"] for r in rejected.collect()} == {2: ["monthly_income_gt_0"], 3: ["lgd_0_1"]}
+    # without validation a zero income still ends no job
+    assert decision_frame(ingest_rows(spark, rows[1:2])).count() == 1
+
+
+def test_lgd_of_a_request_reaches_the_stream(spark, tmp_path):
+    from creditspark.streaming.decisions import APPLICANT_SCHEMA, run_decision_stream
+
+    row = (1, 3000.0, 0.2, 0, 0.2, 9000.0, 12, 0.2, 0.05, 0.03, 0.9, None)
+    spark.createDataFrame([row, (2, *row[1:10], None, None), (3, 0.0, *row[2:])], APPLICANT_SCHEMA).write.parquet(str(tmp_path / "src"))
+    out = {r["application_id"]: r for r in run_decision_stream(spark, *(str(tmp_path / d) for d in ("src", "out", "ck"))).collect()}
+    assert set(out) == {1, 2}
+    assert float(out[1]["net_loss_default"]) == pytest.approx(9000 * 0.95) and float(out[2]["net_loss_default"]) == pytest.approx(9000 * 0.5)
+
+
+def test_closed_schema_checks_types(spark):
+    df = spark.createDataFrame([("1", 2.0)], "application_id string, pd double")
+    with pytest.raises(TypeError):
+        vl.check_closed_schema(df, ["application_id", "pd"], types={"application_id": "bigint"})
+    vl.check_closed_schema(df, ["application_id", "pd"], types={"pd": "double"})
+    with pytest.raises(ValueError):
+        vl.check_closed_schema(df, ["pd"])

@@ -58,10 +58,9 @@ def test_exact_quantiles_match_numpy(spark):
     vals = np.round(rng.normal(size=2000), 2)
     df = spark.createDataFrame([(float(v), "a" if i % 3 else "b") for i, v in enumerate(vals)], "v double, g string")
     fr = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    dist = {(r["g"], r["fraction"]): r["quantile"]
-            for r in exact_quantiles(df, "v", fr, ["g"], n_ranges=5, max_local_distinct=None).collect()}
-    local = {(r["g"], r["fraction"]): r["quantile"] for r in exact_quantiles(df, "v", fr, ["g"]).collect()}
-    for got in (dist, local):
+    for n_ranges in (5, None):
+        got = {(r["g"], r["fraction"]): r["quantile"]
+               for r in exact_quantiles(df, "v", fr, ["g"], n_ranges=n_ranges).collect()}
         _check_groups(got, vals, fr)
 
 
@@ -80,11 +79,10 @@ def test_exact_quantiles_nearest_rank(spark):
         df = spark.createDataFrame([(v,) for v in vals], "v double")
         fr = [0.0, 0.125, 0.25, 0.5, 0.75, 1.0]
         s = sorted(vals)
-        for local in (None, 10**6):
-            got = {r["fraction"]: r["quantile"] for r in exact_quantiles(
-                df, "v", fr, n_ranges=3, method="nearest", max_local_distinct=local).collect()}
-            for f in fr:
-                assert got[f] == s[int(math.floor((n - 1) * f + 0.5))], (n, f, local)
+        got = {r["fraction"]: r["quantile"] for r in exact_quantiles(
+            df, "v", fr, n_ranges=3, method="nearest").collect()}
+        for f in fr:
+            assert got[f] == s[int(math.floor((n - 1) * f + 0.5))], (n, f)
 
 
 def test_prefix_sums_match_cumsum(spark):
@@ -168,7 +166,7 @@ def test_robust_stats_impute_nulls_with_median(spark):
         assert r["scale"] == pytest.approx(q75 - q25 if q75 > q25 else 1.0, abs=1e-12)
 
 
-def test_distinct_score_running_counts_both_paths(spark):
+def test_distinct_score_running_counts(spark):
     rng = random.Random(13)
     y = [int(rng.random() < 0.3) for _ in range(500)]
     p = [round(rng.random(), 2) for _ in range(500)]
@@ -176,9 +174,7 @@ def test_distinct_score_running_counts_both_paths(spark):
                                                  "default_flag double, s double, t double"),
                            {"m": "s", "n": "t"}, "default_flag")
     cols = ["score_name", "score", "pos", "neg", "pos_cum", "neg_cum"]
-    local = sorted(tuple(r) for r in mt.distinct_scores(long).select(*cols).collect())
-    dist = sorted(tuple(r) for r in mt.distinct_scores(long, max_local_distinct=None).select(*cols).collect())
-    assert local == dist
+    dist = sorted(tuple(r) for r in mt.distinct_scores(long).select(*cols).collect())
     for name, scores in (("m", p), ("n", [1.0 - b for b in p])):
-        for r in [t for t in local if t[0] == name][::17]:
+        for r in [t for t in dist if t[0] == name][::17]:
             assert r[4] == sum(a for a, s in zip(y, scores) if s >= r[1])

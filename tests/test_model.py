@@ -93,3 +93,64 @@ def test_feature_importance(spark, fitted):
     model, _ = fitted
     rows = feature_importance(model, spark).collect()
     assert len(rows) >= 10 and sum(r["importance"] for r in rows) == pytest.approx(1.0)
+
+
+def test_training_job_and_reload_give_the_same_calibrated_pds(spark, tmp_path):
+    from creditspark.ml.train import CalibratedModel, load_or_train, score_and_decide, simulate_portfolio, training_job
+    from creditspark.sources.artifacts import artifact_exists
+
+    portfolio = derive_portfolio(spark, SF_SMALL)
+    path = str(tmp_path / "trained")
+    result = training_job(spark, portfolio, path, SMALL)
+    loaded = CalibratedModel.load(spark, path)
+    pds = lambda m: m.score(portfolio).orderBy("application_id").select("calibrated_pd").collect()
+    assert pds(result.model) == pds(loaded) == pds(load_or_train(spark, portfolio, path, SMALL))
+    assert loaded.metadata["splits"].keys() == {"train", "validation", "test"} and loaded.metadata["test_metrics"]
+    assert "application_id" not in loaded.metadata["features"] and "default_flag" not in loaded.metadata["features"]
+    assert not artifact_exists(spark, str(tmp_path / "none"))
+
+    simulated = simulate_portfolio(loaded, portfolio, cutoffs=[0.1, 1.0]).collect()
+    assert len(simulated) == 2
+    worse = simulate_portfolio(loaded, portfolio.withColumn("lgd", F.lit(0.95)), cutoffs=[0.1, 1.0]).collect()
+    assert worse[1]["expected_pnl"] < simulated[1]["expected_pnl"]
+
+    broken = portfolio.limit(20).withColumn("monthly_income", F.when(F.col("application_id") % 2 == 0, 0.0).otherwise(F.col("monthly_income")))
+    decided, rejected = score_and_decide(loaded, broken)
+    assert decided.count() + rejected.count() == 20 and rejected.count() == broken.where("monthly_income = 0").count()
+
+
+def test_ingestion_keeps_every_field_and_value(spark):
+    import numpy as np
+    import pandas as pd
+
+    got = ingest_rows(spark, [{"income": 10, "amount": 5.0}, {"dti": 0.3, "historical_delinquencies": 2.7, "loan_term_months": 12.9}])
+    rows = [r.asDict() for r in got.collect()]
+    assert rows[0] == {"income": 10, "amount": 5.0, "dti": None, "historical_delinquencies": None, "loan_term_months": None}
+    assert rows[1]["dti"] == 0.3 and rows[1]["historical_delinquencies"] == 2.7 and rows[1]["loan_term_months"] == 12.9
+    matrix = ingest_rows(spark, np.array([[0.1, 1000.0], [0.2, 2000.0]]), columns=["pd", "loan_amount"])
+    assert [tuple(r) for r in matrix.collect()] == [(0.1, 1000.0), (0.2, 2000.0)]
+    assert ingest_rows(spark, pd.DataFrame({"pd": [0.1], "name": ["a"]})).first().asDict() == {"pd": 0.1, "name": "a"}
+    with pytest.raises(ValueError):
+        ingest_rows(spark, [[1, 2, 3]], columns=["a", "b"])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from creditspark.session import scratch_root
+
+    assert scratch_root("hdfs:///shared", "yarn") == "hdfs:///shared"
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            scratch_root(None, master)
+    assert scratch_root(None, "local[8]")
+
+
+def test_split_is_exact_and_keeps_copies_together(spark):
+    rows = [(i % 50 if i < 200 else i, float(i % 3 == 0)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "application_id long, default_flag double").withColumn("wide", F.lit("x"))
+    split = split_portfolio(df)
+    assert split.columns == [*df.columns, "split"] and split.count() == 1000
+    assert split.groupBy("application_id", "default_flag").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
+    sizes = {(r[0], r[1]): r[2] for r in split.groupBy("default_flag", "split").count().collect()}
+    for y in (0.0, 1.0):
+        n = sum(1 for _, v in rows if v == y)
+        assert abs(sizes[y, "train"] - int(0.6 * n)) <= 4 and abs(sizes[y, "validation"] - int(0.2 * n)) <= 5
