@@ -122,19 +122,32 @@ def decision_factors(dti: Column, delinq: Column, util: Column, amount: Column,
     )
 
 
+# Texts of the four-factor explanation, favourable first.
+SIMPLE_TEXTS = {
+    S_DTI: ("Endeudamiento saludable (<35%)", "Sobreendeudamiento elevado (>35%)"),
+    S_UTIL: ("Uso conservador de tarjetas", "Líneas de crédito saturadas"),
+    S_DELINQ: ("Historial crediticio limpio", "Antecedentes de morosidad 30+ días"),
+    S_LTI: ("Monto acorde a capacidad de ingresos", "Apalancamiento alto respecto a ingreso mensual"),
+}
+
+
 def simple_factors(dti: Column, util: Column, delinq: Column, amount: Column, income: Column) -> Column:
-    """The four-factor cockpit explanation (different cuts from P16)."""
+    """The four-factor explanation, ``array<struct<name, value, impact, shown, description>>``
+    (different cuts from P16; ``shown`` is the value as the table prints it)."""
     lti = F.try_divide(amount, income)
-    fav, unfav, neu = F.lit(FAVORABLE), F.lit(UNFAVORABLE), F.lit(NEUTRAL)
+
+    def factor(name: str, value: Column, good: Column, shown: Column, neutral: Column | None = None) -> Column:
+        fair, poor = (F.lit(t) for t in SIMPLE_TEXTS[name])
+        bad = F.lit(UNFAVORABLE) if neutral is None else F.when(neutral, F.lit(NEUTRAL)).otherwise(F.lit(UNFAVORABLE))
+        return F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"),
+                        F.when(good, F.lit(FAVORABLE)).otherwise(bad).alias("impact"),
+                        shown.alias("shown"), F.when(good, fair).otherwise(poor).alias("description"))
+
     return F.array(
-        F.struct(F.lit(S_DTI).alias("name"), dti.cast("double").alias("value"),
-                 F.when(dti < 0.35, fav).otherwise(unfav).alias("impact")),
-        F.struct(F.lit(S_UTIL).alias("name"), util.cast("double").alias("value"),
-                 F.when(util < 0.30, fav).when(util < 0.60, neu).otherwise(unfav).alias("impact")),
-        F.struct(F.lit(S_DELINQ).alias("name"), delinq.cast("double").alias("value"),
-                 F.when(delinq == 0, fav).otherwise(unfav).alias("impact")),
-        F.struct(F.lit(S_LTI).alias("name"), lti.cast("double").alias("value"),
-                 F.when(lti < 3.5, fav).otherwise(unfav).alias("impact")),
+        factor(S_DTI, dti, dti < 0.35, _pct(dti)),
+        factor(S_UTIL, util, util < 0.30, _pct(util), util < 0.60),
+        factor(S_DELINQ, delinq, delinq == 0, F.format_string("%d eventos", delinq.cast("bigint"))),
+        factor(S_LTI, lti, lti < 3.5, F.format_string("%.1fx ingresos", lti)),
     )
 
 

@@ -139,7 +139,8 @@ def metrics_bundle(long: DataFrame, n_bins: int = 10) -> DataFrame:
 
 
 def calibration_comparison(long: DataFrame, before: str, after: str, n_bins: int = 10) -> DataFrame:
-    """Metrics before and after calibration, absolute and relative reductions, AUC delta."""
+    """Metrics before and after calibration, absolute and relative reductions (percent, 2 dp),
+    AUC before and after, and its change."""
     m = metrics_bundle(long, n_bins).where(F.col("score_name").isin(before, after))
     names = ["brier_score", "expected_calibration_error", "maximum_calibration_error", "roc_auc"]
     # Two metric rows folded into one with conditional aggregates (no join needed).
@@ -149,7 +150,7 @@ def calibration_comparison(long: DataFrame, before: str, after: str, n_bins: int
     def red(metric: str) -> list[Column]:
         bb, aa = F.col(f"b_{metric}"), F.col(f"a_{metric}")
         return [F.bround(bb - aa, 6).alias(f"{metric}_reduction"),
-                F.bround(F.when(bb > 0, (bb - aa) / bb * 100.0).otherwise(F.lit(0.0)), 4).alias(f"{metric}_reduction_pct")]
+                F.bround(F.when(bb > 0, (bb - aa) / bb * 100.0).otherwise(F.lit(0.0)), 2).alias(f"{metric}_reduction_pct")]
 
     return wide.select(
         F.col("b_brier_score").alias("brier_before"), F.col("a_brier_score").alias("brier_after"),
@@ -159,6 +160,16 @@ def calibration_comparison(long: DataFrame, before: str, after: str, n_bins: int
         F.bround(F.col("a_roc_auc") - F.col("b_roc_auc"), 6).alias("auc_delta"))
 
 
+def comparison_text(comparison: DataFrame) -> DataFrame:
+    """The comparison with ``summary``, a line per error measure and its change."""
+    line = lambda label, a, b, change: F.format_string(f"{label}: %.5f to %.5f (%+.2f %%)", a, b, -F.col(change))
+    return comparison.withColumn("summary", F.concat_ws(
+        "\n", line("Brier score", "brier_before", "brier_after", "brier_score_reduction_pct"),
+        line("Expected calibration error", "ece_before", "ece_after", "expected_calibration_error_reduction_pct"),
+        F.format_string("Largest calibration error: %.5f to %.5f", "mce_before", "mce_after"),
+        F.format_string("ROC-AUC change: %+.4f", "auc_delta")))
+
+
 def score_density(long: DataFrame, bins: int = 40) -> DataFrame:
     """Score distributions as densities over ``bins`` equal-width bins of [0, 1]."""
     p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score")))

@@ -29,6 +29,26 @@ def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float],
                     group_cols: Sequence[str] = (), n_ranges: int | None = None,
                     method: str = "linear") -> DataFrame:
     """``(group..., fraction, quantile)`` for every requested fraction; nulls are ignored."""
+    a, b, t = F.col("lower"), F.col("upper"), F.col("weight")
+    diff = b - a
+    q = F.when(t >= 0.5, b - diff * (F.lit(1.0) - t)).otherwise(a + diff * t)
+    found = order_statistics(df, col, fractions, group_cols, n_ranges, method)
+    return found.select(*group_cols, "fraction", F.when(diff == 0, a).otherwise(q).alias("quantile"))
+
+
+def interpolate(lower: float, upper: float, weight: float) -> float:
+    """The quantile between two order statistics, by the same operations as the Column version."""
+    diff = upper - lower
+    if diff == 0:
+        return lower
+    return upper - diff * (1.0 - weight) if weight >= 0.5 else lower + diff * weight
+
+
+def order_statistics(df: DataFrame, col: str, fractions: Sequence[float],
+                     group_cols: Sequence[str] = (), n_ranges: int | None = None,
+                     method: str = "linear") -> DataFrame:
+    """``(group..., fraction, lower, upper, weight)``: the order statistics around each fraction's
+    rank, and the weight of the upper one. A monotone map of the column maps them one by one."""
     if method not in ("linear", "nearest"):
         raise ValueError(f"method must be 'linear' or 'nearest', got {method!r}")
     group_cols = list(group_cols)
@@ -71,10 +91,8 @@ def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float],
     lo_hi = hit.groupBy(*group_cols, "fraction", "_h").agg(
         F.min_by("_v", "_rank").alias("_a"), F.max_by("_v", "_rank").alias("_b"),
         F.min("_rank").alias("_lo"))
-    t = F.col("_h") - F.col("_lo").cast("double")
-    diff = F.col("_b") - F.col("_a")
-    q = F.when(t >= 0.5, F.col("_b") - diff * (F.lit(1.0) - t)).otherwise(F.col("_a") + diff * t)
-    return lo_hi.select(*group_cols, "fraction", F.when(diff == 0, F.col("_a")).otherwise(q).alias("quantile"))
+    return lo_hi.select(*group_cols, "fraction", F.col("_a").alias("lower"), F.col("_b").alias("upper"),
+                        (F.col("_h") - F.col("_lo").cast("double")).alias("weight"))
 
 
 def _all(conds):

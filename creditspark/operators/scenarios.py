@@ -25,6 +25,7 @@ from creditspark.functions.economics import (
     enrich_columns,
 )
 from creditspark.operators import sweep as sw
+from creditspark.operators.quantiles import interpolate, order_statistics
 
 
 @dataclass(frozen=True)
@@ -164,22 +165,24 @@ def stress_fixed_cutoff(portfolio: DataFrame, scenarios: Sequence[Scenario] = FI
     )
 
 
-def scenario_candidate_grids(expanded: DataFrame, grid_size: int) -> dict[str, list[float]]:
-    """O2 per scenario: one grouped stats job, one grouped quantile job (bounded: scenarios x
-    grid_size doubles reach the driver)."""
-    stats = {r["scenario"]: r for r in sw.grid_stats(expanded, ["scenario"])}
-    fr = sw.linspace(0.0, 1.0, grid_size)
-    full = [s for s, r in stats.items() if int(r["n"]) >= grid_size]
-    q = {}
-    if full:
-        src = expanded if len(full) == len(stats) else expanded.where(F.col("scenario").isin(full))
-        q = {k[0]: v for k, v in sw.pd_quantiles(src, fr, ["scenario"]).items()}
-    for s, r in stats.items():
-        n = int(r["n"])
-        if 0 < n < grid_size:  # fewer rows than grid points: quantiles at n points
-            sub = expanded.where(F.col("scenario") == s)
-            q[s] = list(sw.pd_quantiles(sub, sw.linspace(0.0, 1.0, n)).values())[0]
-    return {s: sw.grid_from(int(r["n"]), r["lo"], r["hi"], q.get(s, []), grid_size) for s, r in stats.items()}
+def scenario_candidate_grids(portfolio: DataFrame, scenarios: Sequence[Scenario], grid_size: int,
+                             pd_bounds: tuple[float, float] = (0.0, 1.0)) -> dict[str, list[float]]:
+    """O2 per scenario, from one quantile pass over the unstressed PDs.
+
+    ``clip(pd * m)`` is monotone, so each scenario's order statistics are the base ones mapped
+    one by one; at most ``grid_size`` pairs of doubles reach the driver.
+    """
+    n = int(portfolio.agg(F.count("pd").alias("n")).first()["n"])
+    if n == 0:
+        return {s.name: sw.grid_from(0, 0.0, 0.0, [], grid_size) for s in scenarios}
+    rows = sorted(tuple(r) for r in order_statistics(portfolio, "pd", sw.linspace(0.0, 1.0, min(grid_size, n))).collect())
+    lo, hi = pd_bounds
+    grids = {}
+    for s in scenarios:
+        stressed = [(min(hi, max(lo, a * s.pd_multiplier)), min(hi, max(lo, b * s.pd_multiplier)), t) for _, a, b, t in rows]
+        quantiles = [interpolate(a, b, t) for a, b, t in stressed]
+        grids[s.name] = sw.grid_from(n, stressed[0][0], stressed[-1][1], quantiles, grid_size)
+    return grids
 
 
 def stress_reoptimized(portfolio: DataFrame, scenarios: Sequence[Scenario] = REOPTIMIZED_SCENARIOS,
@@ -198,7 +201,7 @@ def stress_reoptimized(portfolio: DataFrame, scenarios: Sequence[Scenario] = REO
     base_opt = sw.optimize_threshold(base, base_grid)
     expanded = expand_scenarios(portfolio, scenarios, mode="override", pd_bounds=pd_bounds,
                                 term_months=term_months)
-    grids = scenario_candidate_grids(expanded, scenario_grid)
+    grids = scenario_candidate_grids(portfolio, scenarios, scenario_grid, pd_bounds)
     union = sorted(set().union(*grids.values()))
     swept = sw.policy_sweep(expanded, union, group_cols=["scenario"], groups=[(s.name,) for s in scenarios])
     allowed = spark.createDataFrame([(s, t) for s, ts in grids.items() for t in ts],

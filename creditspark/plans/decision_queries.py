@@ -70,6 +70,26 @@ def q_validate_applications(spark, sf_dir):
     )
 
 
+_V2_ONLY = [("pd_0_1", "pd >= 0 AND pd <= 1"), ("default_flag_0_1", "default_flag IN (0, 1)")]
+
+
+def _validate_scored_sql() -> str:
+    names, n = _viol_sql(_V1_SQL + _V1_ONLY + _V2_ONLY)
+    return f"""WITH {PORTFOLIO_CTE}, {RAW_CTE},
+r AS (SELECT *, (application_id % 23) / 20e0 AS pd, CASE WHEN application_id % 4 < 3 THEN application_id % 4 END AS default_flag FROM raw)
+SELECT application_id, {names} AS violations, {n} AS n_violations FROM r"""
+
+
+@register("validate_scored_applications", oracle=_validate_scored_sql)
+def q_validate_scored_applications(spark, sf_dir):
+    """V2: raw records with a score and an outcome, both out of range for some."""
+    raw = raw_applications(spark, sf_dir).withColumns({
+        "pd": F.col("application_id") % 23 / F.lit(20.0),
+        "default_flag": F.when(F.col("application_id") % 4 < 3, F.col("application_id") % 4)})
+    broken = vl.violations(vl.scored_application_rules())
+    return raw.select("application_id", F.array_join(broken, ",").alias("violations"), F.size(broken).cast("bigint").alias("n_violations"))
+
+
 # ------------------------------------------------------------------------------ O14 / P16
 
 # Per-segment cutoff overrides of the decision policy (other segments use breakeven).
@@ -130,20 +150,24 @@ def q_decision_factors(spark, sf_dir):
 f AS (SELECT application_id, ev_ > 0 AS approved_ev, debt_to_income, revolving_utilization, historical_delinquencies,
         loan_amount / monthly_income AS lti FROM e)
 SELECT application_id, approved_ev, 'Debt-to-Income (DTI)' AS factor, debt_to_income AS value,
-  CASE WHEN debt_to_income < 35e-2 THEN 'FAVORABLE' ELSE 'DESFAVORABLE' END AS impact FROM f
+  CASE WHEN debt_to_income < 35e-2 THEN 'FAVORABLE' ELSE 'DESFAVORABLE' END AS impact,
+  CASE WHEN debt_to_income < 35e-2 THEN 'Endeudamiento saludable (<35%)' ELSE 'Sobreendeudamiento elevado (>35%)' END AS description FROM f
 UNION ALL SELECT application_id, approved_ev, 'Utilización Rotativa', revolving_utilization,
-  CASE WHEN revolving_utilization < 30e-2 THEN 'FAVORABLE' WHEN revolving_utilization < 60e-2 THEN 'NEUTRO' ELSE 'DESFAVORABLE' END FROM f
+  CASE WHEN revolving_utilization < 30e-2 THEN 'FAVORABLE' WHEN revolving_utilization < 60e-2 THEN 'NEUTRO' ELSE 'DESFAVORABLE' END,
+  CASE WHEN revolving_utilization < 30e-2 THEN 'Uso conservador de tarjetas' ELSE 'Líneas de crédito saturadas' END FROM f
 UNION ALL SELECT application_id, approved_ev, 'Moras Históricas', CAST(historical_delinquencies AS DOUBLE),
-  CASE WHEN historical_delinquencies = 0 THEN 'FAVORABLE' ELSE 'DESFAVORABLE' END FROM f
+  CASE WHEN historical_delinquencies = 0 THEN 'FAVORABLE' ELSE 'DESFAVORABLE' END,
+  CASE WHEN historical_delinquencies = 0 THEN 'Historial crediticio limpio' ELSE 'Antecedentes de morosidad 30+ días' END FROM f
 UNION ALL SELECT application_id, approved_ev, 'Capacidad de Pago (Monto / Ingreso)', lti,
-  CASE WHEN lti < 35e-1 THEN 'FAVORABLE' ELSE 'DESFAVORABLE' END FROM f""")
+  CASE WHEN lti < 35e-1 THEN 'FAVORABLE' ELSE 'DESFAVORABLE' END,
+  CASE WHEN lti < 35e-1 THEN 'Monto acorde a capacidad de ingresos' ELSE 'Apalancamiento alto respecto a ingreso mensual' END FROM f""")
 def q_decision_factors_simple(spark, sf_dir):
     e = enrich_portfolio(portfolio(spark, sf_dir), EconomicParameters(), mode="override")
     factors = dz.simple_factors(F.col("debt_to_income"), F.col("revolving_utilization"),
                                 F.col("historical_delinquencies"), F.col("loan_amount"), F.col("monthly_income"))
     return e.select("application_id", dz.approve_positive_ev(F.col("expected_value")).alias("approved_ev"),
                     F.inline(factors)).select(
-        "application_id", "approved_ev", F.col("name").alias("factor"), "value", "impact")
+        "application_id", "approved_ev", F.col("name").alias("factor"), "value", "impact", "description")
 
 
 # ------------------------------------------------------------------------------ P18 / P19

@@ -149,9 +149,9 @@ x AS (SELECT MAX(CASE WHEN score_name = 'funnel_scorecard' THEN b END) AS bb, MA
          MAX(CASE WHEN score_name = 'funnel_scorecard' THEN a END) AS ab, MAX(CASE WHEN score_name = 'scorecard' THEN a END) AS aa FROM mb)
 SELECT bb AS brier_before, ba AS brier_after, eb AS ece_before, ea AS ece_after, mb_ AS mce_before, ma AS mce_after,
   ROUND_EVEN(bb - ba, 6) AS brier_score_reduction,
-  ROUND_EVEN(CASE WHEN bb > 0 THEN (bb - ba) / bb * 100e0 ELSE 0e0 END, 4) AS brier_score_reduction_pct,
+  ROUND_EVEN(CASE WHEN bb > 0 THEN (bb - ba) / bb * 100e0 ELSE 0e0 END, 2) AS brier_score_reduction_pct,
   ROUND_EVEN(eb - ea, 6) AS expected_calibration_error_reduction,
-  ROUND_EVEN(CASE WHEN eb > 0 THEN (eb - ea) / eb * 100e0 ELSE 0e0 END, 4) AS expected_calibration_error_reduction_pct,
+  ROUND_EVEN(CASE WHEN eb > 0 THEN (eb - ea) / eb * 100e0 ELSE 0e0 END, 2) AS expected_calibration_error_reduction_pct,
   ROUND_EVEN(aa - ab, 6) AS auc_delta FROM x""")
 def q_calibration_comparison(spark, sf_dir):
     return mt.calibration_comparison(long_scores(spark, sf_dir, ["funnel_scorecard", "scorecard"]),

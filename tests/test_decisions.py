@@ -139,3 +139,22 @@ def test_closed_schema_checks_types(spark):
     vl.check_closed_schema(df, ["application_id", "pd"], types={"pd": "double"})
     with pytest.raises(ValueError):
         vl.check_closed_schema(df, ["pd"])
+
+
+def test_factor_texts_follow_their_templates(spark):
+    from creditspark.functions import decision as dz
+
+    row = {"application_id": 1, "monthly_income": 2000.0, "debt_to_income": 0.5, "historical_delinquencies": 2,
+           "revolving_utilization": 0.45, "loan_amount": 9000.0, "loan_term_months": 12, "interest_rate": 0.2, "cost_of_funds": 0.05, "pd": 0.03}
+    texts = {f["factor"]: f["description"] for f in exploded_factors(decision_frame(ingest_rows(spark, [row]))).collect()}
+    assert texts["Debt to Income (DTI)"] == "DTI elevado (50.0%), alto compromiso sobre ingresos disponibles."
+    assert texts["Historial de Morosidades"] == "2 eventos de morosidad previa registrados."
+    assert texts["Uso de Líneas Rotativas"] == "Uso moderado de líneas rotativas (45.0%)."
+    assert texts["Relación Monto / Ingreso Mensual"] == "Monto equivalente a 4.5 meses de ingreso bruto."
+    assert texts["Spread Financiero Neto"] == "Spread financiero positivo y atractivo (15.0%)."
+    assert texts["Valor Esperado (EV)"].startswith("Retorno esperado positivo (+$") and "PD calibrada (3.00%)" in texts["Valor Esperado (EV)"]
+    simple = ingest_rows(spark, [row]).select(F.inline(dz.simple_factors(*(F.col(c) for c in (
+        "debt_to_income", "revolving_utilization", "historical_delinquencies", "loan_amount", "monthly_income"))))).collect()
+    assert [(r["shown"], r["impact"], r["description"]) for r in simple] == [
+        ("50.0%", "DESFAVORABLE", "Sobreendeudamiento elevado (>35%)"), ("45.0%", "NEUTRO", "Líneas de crédito saturadas"),
+        ("2 eventos", "DESFAVORABLE", "Antecedentes de morosidad 30+ días"), ("4.5x ingresos", "DESFAVORABLE", "Apalancamiento alto respecto a ingreso mensual")]

@@ -178,3 +178,12 @@ def test_distinct_score_running_counts(spark):
     for name, scores in (("m", p), ("n", [1.0 - b for b in p])):
         for r in [t for t in dist if t[0] == name][::17]:
             assert r[4] == sum(a for a, s in zip(y, scores) if s >= r[1])
+
+
+def test_comparison_text(spark):
+    row = spark.createDataFrame([(0.2, 0.1, 0.05, 0.04, 0.3, 0.2, 50.0, 20.0, 0.01)],
+                                "brier_before double, brier_after double, ece_before double, ece_after double, mce_before double, mce_after double, "
+                                "brier_score_reduction_pct double, expected_calibration_error_reduction_pct double, auc_delta double")
+    assert mt.comparison_text(row).first()["summary"].splitlines() == [
+        "Brier score: 0.20000 to 0.10000 (-50.00 %)", "Expected calibration error: 0.05000 to 0.04000 (-20.00 %)",
+        "Largest calibration error: 0.30000 to 0.20000", "ROC-AUC change: +0.0100"]

@@ -93,6 +93,9 @@ def test_feature_importance(spark, fitted):
     model, _ = fitted
     rows = feature_importance(model, spark).collect()
     assert len(rows) >= 10 and sum(r["importance"] for r in rows) == pytest.approx(1.0)
+    counts = [r["split_count"] for r in rows]
+    inner = sum((tree.numNodes - 1) // 2 for tree in model.stages[-1].trees)
+    assert counts == sorted(counts, reverse=True) and sum(counts) == inner
 
 
 def test_training_job_and_reload_give_the_same_calibrated_pds(spark, tmp_path):
