@@ -3,8 +3,9 @@
 A source's rate is its target share of the mixed characters over its own characters; a document's
 number of copies inverts the Poisson distribution of that mean at a uniform value hashed from the
 seed, doc_id and text. Copies are exploded and put into one global random order by a hash of
-seed, document and copy number. Sources are a small table of sums, joined by a broadcast behind
-Spark's own size check; the only wide shuffle is the global one, whose keys are hashes.
+seed, document and copy number. Per-source sums and probabilities are written tables, so Spark
+knows their size: small ones are broadcast, larger ones joined with the hot source split. The only
+wide shuffle otherwise is the global one, whose keys are hashes.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditspark.llm.scratch import Scratch
+
 SEED = "mix-1"
 
 
@@ -28,7 +31,7 @@ def source_rates(docs: DataFrame, *, epochs: float = 1.0, power: float = 0.7, we
     characters to the ``power``. The mix has ``epochs`` times the input's characters on average.
     A null source is a source; one without characters has rate 0.
     """
-    sums = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("chars"))
+    sums = Scratch(docs.sparkSession, "mixing").table(docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("chars")), "sums")
     if weights is None:
         target = F.when(F.col("chars") > 0, F.pow(F.col("chars").cast("double"), F.lit(power))).otherwise(0.0)
     else:
@@ -59,6 +62,7 @@ def poisson_copies(docs: DataFrame, rates: DataFrame, *, seed: str = SEED) -> Da
     """``docs`` with ``rate``, ``copies`` (how often each is drawn) and ``copy`` (1..copies), one row
     per copy; documents drawn 0 times give none. Order is not global yet."""
     steps = rates.select(F.col("source").alias("_source"), "rate", poisson_steps(F.col("rate")).alias("_steps"))
+    steps = Scratch(docs.sparkSession, "mixing").table(steps, "steps")  # written, so that its true size decides the join
     joined = docs.join(steps, docs["source"].eqNullSafe(steps["_source"]))
     u = uniform_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     drawn = joined.withColumn("_u", u).withColumn("copies", F.expr("size(filter(_steps, p -> p <= _u))"))
