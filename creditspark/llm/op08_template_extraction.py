@@ -43,6 +43,7 @@ FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
     "notification popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
     "comment comments commentlist disqus respond reply share sharing social related widget pagination pager login search skip toolbar".split())
+CONTAINERS = frozenset("html body div section article main td center table tbody tr".split())
 HEADING_WORDS = frozenset("header masthead topbar".split())
 P_CLOSERS = BLOCK - frozenset("body html head caption legend li dd dt td th tr tbody thead tfoot option optgroup summary figcaption".split())
 SAME_CLOSERS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -179,10 +180,11 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduce_container(classes: pd.DataFrame, n_pages: int) -> str:
     """Path of the main container, from a host's template paths (path, class_id, pages, times, chars).
 
-    Once-a-page elements of valid classes nest by path; among them ``article`` or ``main`` wins,
+    Once-a-page sectioning elements of valid classes nest by path; among them ``article`` or ``main`` wins,
     else the descent by slot text from the outermost one.
     """
     once = classes[(classes["times"] == classes["pages"]) & (classes["path"] != "")].sort_values("path")
+    once = once[once["path"].str.extract(r"/([^/.]*)[^/]*$")[0].isin(CONTAINERS)]
     named = once[once["path"].str.match(r".*/(article|main)(\.[^/]*)?$") & (once["pages"] >= SUPPORT * n_pages)]
     if len(named):
         best = named.sort_values(["chars", "path"], ascending=[False, True]).iloc[0]
