@@ -93,9 +93,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("_key", F.coalesce("doc_id", F.lit(last))).withColumn("_at", F.col("_key").cast("double"))
     cuts = sorted(set(rows.select("_at").approxQuantile("_at", [i / buckets for i in range(1, buckets)], 0.1 / buckets))) if buckets > 1 else []
-    splits = [-float("inf"), *cuts, float("inf")]
-    placed = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket").transform(rows)
-    placed = placed.withColumn("bucket", F.col("_bucket").cast("int")).drop("_at", "_bucket")
+    placed = rows.withColumn("bucket", F.lit(0))
+    if cuts:
+        splits = [-float("inf"), *cuts, float("inf")]
+        placed = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket").transform(rows)
+        placed = placed.withColumn("bucket", F.col("_bucket").cast("int"))
     firsts = sorted((r["bucket"], r["first"]) for r in placed.groupBy("bucket").agg(F.min("_key").alias("first")).collect())
     ahead = spark.createDataFrame([(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)], "_first long, _before int")
     placed = placed.join(F.broadcast(ahead), placed._key == ahead._first, "left")
