@@ -31,12 +31,20 @@ def stack_scores(df: DataFrame, scores: dict[str, Column | str], label: str = "d
     return long.where(F.col("score").isNotNull() & F.col("label").isNotNull())
 
 
-def distinct_scores(long: DataFrame) -> DataFrame:
-    """One row per (score_name, score) with counts and running counts from the top score down."""
-    d = long.groupBy("score_name", "score").agg(
+def score_counts(long: DataFrame) -> DataFrame:
+    """One row per (score_name, score) with positive and negative counts.
+
+    Every metric of this module follows from it; metrics of one query share its exchange, so
+    they cost one scan of the rows together.
+    """
+    return long.groupBy("score_name", "score").agg(
         F.sum("label").cast("bigint").alias("pos"),
         (F.count(F.lit(1)) - F.sum("label")).cast("bigint").alias("neg"))
-    return prefix_sums(d, "score", ["pos", "neg"], group_cols=["score_name"], descending=True)
+
+
+def distinct_scores(long: DataFrame) -> DataFrame:
+    """``score_counts`` with running counts from the top score down."""
+    return prefix_sums(score_counts(long), "score", ["pos", "neg"], group_cols=["score_name"], descending=True)
 
 
 def _totals(dist: DataFrame) -> DataFrame:
@@ -90,7 +98,9 @@ def roc_curve(long: DataFrame) -> DataFrame:
 
 def brier(long: DataFrame) -> DataFrame:
     """Mean squared error of the score."""
-    return long.groupBy("score_name").agg(F.avg(F.pow(F.col("label") - F.col("score"), 2)).alias("brier"))
+    s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
+    return score_counts(long).groupBy("score_name").agg(
+        (F.sum(pos * F.pow(1.0 - s, 2) + neg * F.pow(s, 2)) / F.sum(pos + neg)).alias("brier"))
 
 
 def calibration_bins(long: DataFrame, n_bins: int = 10, keep_empty: bool = True) -> DataFrame:
@@ -101,9 +111,10 @@ def calibration_bins(long: DataFrame, n_bins: int = 10, keep_empty: bool = True)
     """
     p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score")))
     b = F.least(F.greatest(F.ceil(p * F.lit(float(n_bins))), F.lit(1)), F.lit(n_bins)).cast("int")
-    agg = long.select("score_name", "label", p.alias("p"), b.alias("bin")).groupBy("score_name", "bin").agg(
-        F.count(F.lit(1)).alias("count"), F.sum("label").alias("_pos"),
-        F.sum(F.col("p").cast("decimal(38,9)")).alias("_psum"))
+    rows = F.col("pos") + F.col("neg")
+    agg = score_counts(long).groupBy("score_name", b.alias("bin")).agg(
+        F.sum(rows).alias("count"), F.sum("pos").alias("_pos"),
+        F.sum(p.cast("decimal(12,9)") * rows.cast("decimal(18,0)")).alias("_psum"))
     filled = agg
     if keep_empty:
         # Score names from the (names x bins)-row aggregate, not from another pass over the data.

@@ -225,6 +225,32 @@ def stress_reoptimized(portfolio: DataFrame, scenarios: Sequence[Scenario] = REO
     )
 
 
+def sensitivity_default(portfolio: DataFrame, grid_size: int = 500, cof_values: Sequence[float] = SENSITIVITY_COF,
+                        lgd_values: Sequence[float] = SENSITIVITY_LGD) -> DataFrame:
+    """O12 as the parameters' default mode gives it: P&L over the grid at the base optimum, where a
+    grid value only fills a column that the portfolio lacks (so a portfolio with its own cost of
+    funds has the same P&L for every value of that axis)."""
+    from creditspark.functions.economics import EconomicParameters, enrich_portfolio
+
+    base = enrich_portfolio(portfolio, EconomicParameters(), mode="default")
+    cutoff = sw.optimize_threshold(base, grid_size).select("optimal_threshold").scalar()
+    amt, pd, years = F.col("loan_amount"), F.col("pd"), F.col("loan_term_months").cast("double") / F.lit(12.0)
+    ok, own = pd <= cutoff, {c: c in portfolio.columns for c in ("cost_of_funds", "lgd")}
+    sums = base.agg(
+        sw.money_sum(F.when(ok, amt * (F.lit(1.0) - pd) * F.col("interest_rate") * years)).alias("gain"),
+        sw.money_sum(F.when(ok, amt * years * F.col("cost_of_funds"))).alias("funds"),
+        sw.money_sum(F.when(ok, amt * years)).alias("base_funds"),
+        sw.money_sum(F.when(ok, amt * pd * F.col("lgd"))).alias("loss"),
+        sw.money_sum(F.when(ok, amt * pd)).alias("base_loss"))
+    sums = sums.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sums.columns])
+    grid = F.array(*[F.struct(F.lit(float(l_)).alias("g_lgd"), F.lit(float(c)).alias("g_cof")) for l_ in lgd_values for c in cof_values])
+    funds = F.col("funds") if own["cost_of_funds"] else F.col("g_cof") * F.col("base_funds")
+    loss = F.col("loss") if own["lgd"] else F.col("g_lgd") * F.col("base_loss")
+    return sums.select(F.inline(grid), *sums.columns).select(
+        F.bround("g_lgd", 6).alias("lgd"), F.bround("g_cof", 6).alias("cost_of_funds"),
+        F.bround(F.col("gain") - funds - loss, 2).alias("expected_pnl"))
+
+
 def sensitivity_grid(enriched: DataFrame, threshold: float, cof_values: Sequence[float] = SENSITIVITY_COF,
                      lgd_values: Sequence[float] = SENSITIVITY_LGD) -> DataFrame:
     """P&L over an LGD x CoF grid at a fixed cutoff, from three sufficient sums.

@@ -128,6 +128,13 @@ def q_batch_decisions(spark, sf_dir):
     return decision_frame(applicants(spark, sf_dir), with_factors=False).select(*DECISION_COLUMNS)
 
 
+@register("lgd_decisions", oracle=_BATCH_DECISIONS_SQL.replace("45e-2 AS l", "30e-2 + 5e-2*(application_id % 9) AS l"))
+def q_lgd_decisions(spark, sf_dir):
+    """O14 with a loss given default per request."""
+    rows = applicants(spark, sf_dir).withColumn("lgd", F.lit(0.30) + F.lit(0.05) * (F.col("application_id") % 9))
+    return decision_frame(rows, with_factors=False).select(*DECISION_COLUMNS)
+
+
 @register("decision_factors", oracle=f"""{DECISION_SQL_BASE}
 SELECT application_id, 'Debt to Income (DTI)' AS factor, ROUND_EVEN(debt_to_income, 4) AS value,
   CASE WHEN debt_to_income <= 30e-2 THEN 'FAVORABLE' WHEN debt_to_income > 45e-2 THEN 'DESFAVORABLE' ELSE 'NEUTRO' END AS impact FROM x

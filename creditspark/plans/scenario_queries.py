@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from creditspark.operators import scenarios as sc
 from creditspark.operators import sweep as sw
 from creditspark.operators.sizing import amount_policy
-from creditspark.plans.policy_queries import _grid_sql, enriched, portfolio
+from creditspark.plans.policy_queries import _grid_sql, _optimum_sql, enriched, portfolio
 from creditspark.plans.registry import register
 from creditspark.plans.sql_base import PORTFOLIO_CTE, dec, enriched_cte, lit, money, policy_select
 
@@ -180,6 +180,22 @@ def q_sensitivity_grid(spark, sf_dir):
     return sc.sensitivity_grid(enriched(spark, sf_dir, "default"), SENSITIVITY_CUTOFF)
 
 
+def _sensitivity_default_sql() -> str:
+    grid = ", ".join(f"({lit(l_)}, {lit(c)})" for l_ in sc.SENSITIVITY_LGD for c in sc.SENSITIVITY_COF)
+    return f"""WITH {PORTFOLIO_CTE},
+opt AS (SELECT optimal_threshold AS t FROM ({_optimum_sql('default')})),
+g AS (SELECT * FROM (VALUES {grid}) AS v(lgd, cof)),
+a AS (SELECT * FROM portfolio, opt WHERE pd <= opt.t)
+SELECT ROUND_EVEN(g.lgd, 6) AS lgd, ROUND_EVEN(g.cof, 6) AS cost_of_funds,
+  {money("SUM(" + dec("(1e0-a.pd)*(a.loan_amount*(a.interest_rate-a.cost_of_funds)*(a.loan_term_months/12e0)) - a.pd*(a.loan_amount*(g.lgd+a.cost_of_funds*(a.loan_term_months/12e0)))") + ")")} AS expected_pnl
+FROM g CROSS JOIN a GROUP BY g.lgd, g.cof"""
+
+
+@register("sensitivity_default", oracle=_sensitivity_default_sql)
+def q_sensitivity_default(spark, sf_dir):
+    return sc.sensitivity_default(portfolio(spark, sf_dir))
+
+
 @register("breakeven_reference", oracle=f"""WITH {PORTFOLIO_CTE},
 a AS (SELECT segment, CAST(COUNT(*) AS BIGINT) AS applications,
         CAST(SUM({dec('interest_rate')}) AS DOUBLE) / COUNT(*) AS r, CAST(SUM({dec('cost_of_funds')}) AS DOUBLE) / COUNT(*) AS c
