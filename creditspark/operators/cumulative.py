@@ -45,13 +45,20 @@ def with_ranges(df: DataFrame, order_col: str, group_cols: Sequence[str] = (),
     edges = df.groupBy(*group_cols).agg(
         F.array_sort(F.array_distinct(F.percentile_approx(key, F.array(*[F.lit(f) for f in fracs]), 10000)))
         .alias("_edges"))
+    step = max(1, round(b ** 0.5))
+    coarse = F.filter("_edges", lambda e, i: (i + 1) % step == 0)
     if group_cols:
-        tagged = df.join(F.broadcast(edges), group_cols, "left")
+        tagged = df.join(F.broadcast(edges.withColumn("_coarse", coarse)), group_cols, "left")
     else:
-        tagged = df.withColumn("_edges", edges.scalar())
-    idx = F.size(F.filter(F.coalesce(F.col("_edges"), F.array().cast("array<double>")),
-                          lambda e: e < key))
-    return tagged.withColumn(range_col, idx).drop("_edges")
+        both = edges.select(F.struct("_edges", coarse.alias("_coarse")).alias("b")).scalar()
+        tagged = df.withColumn("_b", both).withColumn("_edges", F.col("_b._edges")).withColumn("_coarse", F.col("_b._coarse")).drop("_b")
+    # Two steps of about sqrt(edges) comparisons: every step-th edge, then the edges behind it.
+    none = F.array().cast("array<double>")
+    tagged = tagged.withColumn("_edges", F.coalesce("_edges", none))
+    skipped = F.size(F.filter(F.coalesce("_coarse", none), lambda e: e < key)) * step
+    tagged = tagged.withColumn("_skipped", skipped)
+    idx = F.col("_skipped") + F.size(F.filter(F.expr(f"slice(_edges, _skipped + 1, {step})"), lambda e: e < key))
+    return tagged.withColumn(range_col, idx).drop("_edges", "_coarse", "_skipped")
 
 
 def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
