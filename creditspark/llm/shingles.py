@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SLICE_BYTES = 2_000_000  # texts are hashed in slices of about this many bytes
 _SPACE = np.zeros(256, dtype=bool)
@@ -65,6 +66,18 @@ def _shingles(words: np.ndarray, width: int) -> np.ndarray:
     return mix64(out)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows with about ``size`` bytes of text (a longer text stands alone)."""
+    for batch in batches:
+        weight = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < len(batch):
+            done = weight[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(weight, done + size, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes (uint64) of each text of a binary or string array."""
     texts = texts.cast(pa.large_binary())
