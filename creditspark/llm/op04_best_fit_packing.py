@@ -15,7 +15,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,64 +25,95 @@ from pyspark.sql import functions as F
 from creditspark.llm.scratch import Scratch
 
 CAPACITY, END_ID = 4096, 1
-_CACHE_WORDS = 600_000  # chunks whose ids a worker remembers; more start the memory anew
-_BATCH_CHARS = 1_000_000  # texts encoded together
-_RUN_CUT = re.compile(r"(?:[^\w\s]|_) [,.]")  # a stop set apart inside a run of marks
-_ROWS_PER_SALT = 200_000
+_CACHE_WORDS = 300_000  # chunks whose ids a worker remembers; more start the memory anew
+_BATCH_CHARS = 3_000_000  # texts encoded together
+_RUN_CUT = r"(?:\A|[^\p{L}\p{N}])[,.][ \n]"  # a stop that does not follow a letter or digit
+_LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+_ROWS_PER_SALT, _MOST_SALTS = 5_000, 4096  # rows of a salt where few salts suffice; more rows share the most salts
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Token ids of texts, equal to encoding each whole, with a memory of words.
-
-    For tokenizers that split at white space, drop it, and part letters and digits from runs of
-    other marks. So a text is its white-space chunks, and a comma or full stop after a letter or
-    digit may stand apart. Fresh chunks are encoded together, a mark of its own id between them.
-    Python's split also breaks at U+001C-U+001F, and special tokens may hold any character: texts
-    with those are encoded whole.
+    """Token ids of texts, equal to encoding each whole, with a memory of chunks.
+
+    For tokenizers that split at white space, drop it, lower-case, and part letters and digits
+    from runs of other marks. A text of Latin-1 characters is then its lower-cased white-space
+    chunks, and a comma or full stop after a letter or digit may stand apart; Arrow finds a
+    batch's distinct chunks, and only those not met before are encoded. Chunks of small Latin
+    letters skip the tokenizer's normal form; the others are encoded with a mark of its own id
+    between them. Other texts, and such that may hold special tokens, are encoded whole.
     """
 
     mark = "\x01"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join(["[\x01\x1c-\x1f]", *special]))
-        self.mark_id = self._whole(self.mark)
-        if len(self.mark_id) != 1:
-            raise ValueError("the tokenizer has no single id for U+0001")
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > _CACHE_WORDS:
-            self.known.clear()
-        fresh = list(words.difference(self.known))
-        ids = self._whole(f" {self.mark} ".join(fresh))
-        ends = np.append(np.flatnonzero(ids == self.mark_id[0]), len(ids)).tolist()
-        raw, start = ids.tobytes(), 0
-        for word, end in zip(fresh, ends):
-            self.known[word] = raw[4 * start:4 * end]
-            start = end + 1
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        chunks: list[list[str] | None] = []
-        for text in texts:
-            if self.odd.search(text):
-                chunks.append(None)
-                continue
-            apart = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
-            chunks.append((text if _RUN_CUT.search(apart) else apart).split())
-        words = set(chain.from_iterable(c for c in chunks if c))
-        if not words.issubset(self.known):
-            self._learn(words)
-        known = self.known.__getitem__
-        return [self._whole(t) if c is None else np.frombuffer(b"".join(map(known, c)), "<u4") for t, c in zip(texts, chunks)]
+        special = "".join(f"|{re.escape(t.content)}" for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.odd = r"[^\x00-\x{FF}]|[\x01\x1c-\x1f\x{85}\x{A0}]" + special
+        self.light = Tokenizer.from_file(path)
+        self.light.normalizer = None
+        self.light.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.mark_id = self._ids(self.tokenizer, self.mark)
+        if len(self.mark_id) != 1 or not self.last.any():
+            raise ValueError("the tokenizer needs word ends and a single id for U+0001")
+        self.known: dict[str, bytes] = {"": b""}
+
+    @staticmethod
+    def _ids(tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of new chunks, remembered from now on."""
+        plain = [w for w in words if _LETTERS(w)]
+        others = set(words).difference(plain)
+        learned = dict(self._cut(plain, ids := self._ids(self.light, " ".join(plain)), np.flatnonzero(self.last[ids]) + 1, 0))
+        ids = self._ids(self.tokenizer, f" {self.mark} ".join(others))
+        learned.update(self._cut(others, ids, np.append(np.flatnonzero(ids == self.mark_id[0]), len(ids)), 1))
+        if len(self.known) + len(learned) > _CACHE_WORDS:
+            self.known = {"": b""}
+        self.known.update(learned)
+        return [learned[w] for w in words]
+
+    @staticmethod
+    def _cut(words, ids: np.ndarray, ends: np.ndarray, between: int) -> Iterator[tuple[str, bytes]]:
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        starts = [0, *(e + 4 * between for e in ends[:-1])]
+        return zip(words, (raw[a:b] for a, b in zip(starts, ends)))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        low = pc.utf8_lower(pc.if_else(pa.array(odd), "", texts))
+        apart = low
+        for stop in (", ", ". ", ".\n", ",\n"):
+            apart = pc.replace_substring(apart, stop, f" {stop}")
+        chunks = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(low, _RUN_CUT), low, apart))
+        found = chunks.flatten().dictionary_encode()
+        words = found.dictionary.to_pylist()
+        ids = list(map(self.known.get, words))
+        fresh = [i for i, b in enumerate(ids) if b is None]
+        if fresh:
+            for i, b in zip(fresh, self._learn([words[i] for i in fresh])):
+                ids[i] = b
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = found.indices.to_numpy()
+        lengths = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(starts[at] - ends[:-1], lengths) + np.arange(ends[-1])] if len(at) else np.empty(0, "<u4")
+        offsets = np.asarray(chunks.offsets)
+        bounds = ends[offsets - offsets[0]]
+        out = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+        return out
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -113,7 +143,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACI
                 last = max(first + 1, int(np.searchsorted(weight, done + _BATCH_CHARS, "right")))
                 rows: list[list] = [[] for _ in names]
                 doc_ids = batch.column(0).slice(first, last - first).to_pylist()
-                for doc_id, ids in zip(doc_ids, encoder.encode(texts.slice(first, last - first).to_pylist())):
+                for doc_id, ids in zip(doc_ids, encoder.encode(texts.slice(first, last - first))):
                     ids = np.append(ids, np.array([end_id], "<u4"))
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start:start + capacity]
@@ -186,7 +216,7 @@ def place_pieces(scratch: Scratch, pieces: DataFrame, *, capacity: int = CAPACIT
     """
     spark = pieces.sparkSession
     total = pieces.count()
-    salts = max(1, -(-total // _ROWS_PER_SALT))
+    salts = min(_MOST_SALTS, max(1, -(-total // _ROWS_PER_SALT)))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*ties), F.lit(salts)))
     counts = scratch.table(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
