@@ -31,7 +31,7 @@ from creditspark.llm.scratch import Scratch
 EXAMPLES_PER_CLASS = 6000
 VOCABULARY = 4096
 NEIGHBOURS = 10
-BLOCK = 64  # examples in a block of the index
+BLOCK = 512  # examples in a block of the index
 LEAN = 0.78  # least share of a term's documents that its class must have, by its lower Wilson bound
 PREFIXES = (4, 5)  # lengths of word beginnings that count as terms
 _WORDS = re.compile(r"\w+")
@@ -69,24 +69,25 @@ class BlockMaxIndex:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine above 0; ties to the lower number."""
         bound = weights @ self.peak[terms]
-        best: list[tuple[float, int]] = []
-        for block in np.lexsort((np.arange(self.blocks), -bound)):
-            if bound[block] <= 0:
+        best, at = np.empty(0), np.empty(0, np.int64)  # cosines and examples, nearest first
+        cells = terms * self.blocks
+        for block in np.lexsort((np.arange(self.blocks), -bound)).tolist():
+            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1] - 1e-9:
                 break
-            if len(best) == k:
-                worst, at = best[-1]
-                if bound[block] < worst - 1e-9:
-                    break
-                if bound[block] <= worst + 1e-9 and block * BLOCK > at:
-                    continue
-            first = int(block) * BLOCK
+            first = block * BLOCK
+            if len(best) == k and bound[block] <= best[-1] + 1e-9 and first > at[-1]:
+                continue
             score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                a, b = self.start[t * self.blocks + block], self.start[t * self.blocks + block + 1]
+            for cell, w in zip((cells + block).tolist(), weights.tolist()):
+                a, b = self.start[cell], self.start[cell + 1]
                 score[self.row[a:b] - first] += w * self.weight[a:b]
-            found = [(round(float(score[i]), 12), first + int(i)) for i in np.flatnonzero(score > 0) if first + i != skip]
-            best = sorted(best + found, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            if first <= skip < first + BLOCK:
+                score[skip - first] = 0
+            found = np.flatnonzero(score > (best[-1] - 1e-9 if len(best) == k else 0))
+            best, at = np.concatenate((best, np.round(score[found], 12))), np.concatenate((at, first + found))
+            keep = np.lexsort((at, -best))[:k]
+            best, at = best[keep], at[keep]
+        return list(zip(best.tolist(), at.tolist()))
 
 
 class ToxicityModel:
@@ -180,7 +181,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 for word, times in words_of(text.as_py()).items():
                     at = known_words.get(word)
                     if at is None:
-                        if len(known_words) > 500_000:
+                        if len(known_words) > 200_000:
                             known_words.clear()
                         at = known_words[word] = tuple(place[t] for t in terms_of(word) if t in place)
                     for t in at:
