@@ -8,7 +8,8 @@ of the host's pages are valid, and nest by path into the host's template, whose
 twice a page's. The template's slots with varying text remain: the main container is found by
 descending from the outermost template element while one once-a-page child holds most of the slot
 text that no menu, advert, form, footer or the like encloses. The second pass extracts the
-container's text from each page without template text. Hosts with fewer than ``MIN_PAGES`` pages
+container's text from each page without template text: lists and other blocks that are on almost
+all of the host's distinct pages (copies count once, so that they don't make an article template). Hosts with fewer than ``MIN_PAGES`` pages
 use the template of all pages together.
 """
 
@@ -28,7 +29,7 @@ from creditspark.llm.scratch import Scratch
 
 MIN_PAGES = 3  # pages from which a host has a template of its own
 SUPPORT = 0.5  # least share of a host's pages that a template token is on
-TEXT_PAGES, TEXT_SUPPORT = 20, 0.95  # pages and share from which a repeated text run is template
+TEXT_SUPPORT = 0.95  # least share of a host's distinct pages that a template text is on
 DESCEND = 0.8  # share of the slot text that a child needs to replace its parent as the container
 
 # HTML element kinds, and names, roles and class words that mark page furniture.
@@ -45,6 +46,7 @@ FURNITURE_WORDS = frozenset(
     "comment comments commentlist disqus respond reply share sharing social related widget pagination pager login search skip toolbar".split())
 CONTAINERS = frozenset("html body div section article main td center table tbody tr".split())
 HEADING_WORDS = frozenset("header masthead topbar".split())
+LISTS, SECTIONS = frozenset(("ul", "ol", "dl")), frozenset(("body", "article", "main", "section", "td", "th"))
 P_CLOSERS = BLOCK - frozenset("body html head caption legend li dd dt td th tr tbody thead tfoot option optgroup summary figcaption".split())
 SAME_CLOSERS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -53,10 +55,12 @@ _ATTR = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 
 
 class _Element:
-    __slots__ = ("name", "path", "furniture", "article")
+    __slots__ = ("name", "path", "furniture", "article", "list")
 
-    def __init__(self, name: str, path: str, furniture: bool, article: bool):
+    def __init__(self, name: str, path: str, furniture: bool, article: bool, parent: _Element | None = None):
         self.name, self.path, self.furniture, self.article = name, path, furniture, article
+        #: the outermost list around it, as far as no section or table cell starts anew
+        self.list = None if parent is None or name in SECTIONS else parent.list or (self if name in LISTS else None)
 
 
 def _element(name: str, attributes: str, parent: _Element) -> _Element:
@@ -76,7 +80,7 @@ def _element(name: str, attributes: str, parent: _Element) -> _Element:
     furniture |= name == "header" and not article
     if name in ("html", "body", "article", "main"):
         furniture = False
-    return _Element(name, f"{parent.path}/{label}", parent.furniture or furniture, article)
+    return _Element(name, f"{parent.path}/{label}", parent.furniture or furniture, article, parent)
 
 
 def page_events(html: str) -> Iterator[tuple[str, _Element, str]]:
@@ -133,12 +137,33 @@ def _close(stack: list[_Element], names: set[str]) -> None:
             return
 
 
-def _clean(raw: str) -> str:
-    return " ".join(_html.unescape(raw).split())
-
-
-def _run_token(path: str, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{path}\0{text}") >> 1
+def page_blocks(events: list) -> list[tuple[_Element, str]]:
+    """(element, line) of each block with text outside furniture."""
+    blocks, at, open_ = [], None, []
+    for kind, element, raw in [*events, ("break", None, "")]:
+        if kind == "break":
+            line = " ".join("".join(open_).split())
+            if line:
+                blocks.append((at, line))
+            at, open_ = None, []
+        elif kind == "text" and not element.furniture:
+            at = at or element
+            open_.append(_html.unescape(raw))
+    return blocks
+
+
+def page_texts(blocks: list[tuple[_Element, str]]) -> list[tuple[str, str, list[int]]]:
+    """(token, path, blocks) of the texts that are template or not as a whole: lists and other blocks."""
+    texts: dict[int, list[int]] = {}
+    for i, (element, _) in enumerate(blocks):
+        texts.setdefault(id(element.list) if element.list else -1 - i, []).append(i)
+    out = []
+    for own in texts.values():
+        element = blocks[own[0]][0]
+        path = (element.list or element).path
+        lines = "\n".join(blocks[i][1] for i in own)
+        out.append((xxhash.xxh3_64_hexdigest(f"{path}\0{lines}"), path, own))
+    return out
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -150,18 +175,22 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, list] = {}
         for page, host, html in zip(*(c.to_pylist() for c in batch.columns)):
             paths: dict[str, list[int]] = {}
-            runs: dict[int, list[int]] = {}
-            for kind, element, raw in page_events(html or ""):
+            runs: dict[tuple[str, str], list[int]] = {}
+            events = list(page_events(html or ""))
+            for kind, element, raw in events:
                 if kind == "open" and not element.furniture:
                     paths.setdefault(element.path, [0, 0])[0] += 1
-                elif kind == "text" and not element.furniture and (text := _clean(raw)):
-                    at = element.path
-                    while at:
-                        paths.setdefault(at, [0, 0])[1] += len(text)
-                        at = at[:at.rfind("/")]
-                    run = runs.setdefault(_run_token(element.path, text), [0, 0])
-                    run[0] += 1
-            found = [(path, None, n, chars) for path, (n, chars) in paths.items()] + [(None, run, n, 0) for run, (n, _) in runs.items()]
+            blocks = page_blocks(events)
+            for element, line in blocks:
+                at = element.path
+                while at:
+                    paths.setdefault(at, [0, 0])[1] += len(line)
+                    at = at[:at.rfind("/")]
+            for token, path, own in page_texts(blocks):
+                run = runs.setdefault((path, token), [0, 0])
+                run[0] += 1
+                run[1] += sum(len(blocks[i][1]) for i in own)
+            found = [(path, None, n, chars) for path, (n, chars) in paths.items()] + [(*key, n, chars) for key, (n, chars) in runs.items()]
             found.append(("", None, 1, 0))
             for path, run, n, chars in found:
                 vector = xxhash.xxh3_64_intdigest(f"{page} {n}") - (1 << 63)
@@ -172,7 +201,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     one[2] += n
                     one[3] += chars
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array([k[2] for k in sums], pa.int64()),
+            [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array([k[2] for k in sums], pa.string()),
              *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(4))],
             ["host", "path", "run", "vector", "pages", "times", "chars"])
 
@@ -201,24 +230,23 @@ def deduce_container(classes: pd.DataFrame, n_pages: int) -> str:
 
 def host_templates(tokens: DataFrame) -> DataFrame:
     """(host, n_pages, container, template_runs) from summed token occurrences."""
-    total = tokens.where("path = ''").select("host", F.col("pages").alias("n_pages"))
-    valid = tokens.join(total, "host").where(
-        (F.col("path").isNotNull() & (F.col("pages") >= SUPPORT * F.col("n_pages")))
-        | (F.col("run").isNotNull() & (F.col("n_pages") >= TEXT_PAGES) & (F.col("pages") >= TEXT_SUPPORT * F.col("n_pages"))))
+    total = tokens.where("path = '' and run is null").select("host", F.col("pages").alias("n_pages"))
+    least = F.when(F.col("run").isNull(), SUPPORT).otherwise(TEXT_SUPPORT)
+    valid = tokens.join(total, "host").where(F.col("pages") >= least * F.col("n_pages"))
     valid = valid.where(f"n_pages >= {MIN_PAGES} or host = '*'").withColumn("class_id", F.xxhash64("vector", "pages", "times"))
 
     def deduce(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n_pages"].iloc[0])
-        paths = pdf[pdf["path"].notna()]
+        paths = pdf[pdf["run"].isna()]
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "n_pages": [n], "container": [deduce_container(paths, n)],
-                             "template_runs": [[int(r) for r in pdf["run"].dropna()]]})
+                             "template_runs": [pdf["run"].dropna().tolist()]})
 
-    return valid.groupBy("host").applyInPandas(deduce, "host string, n_pages long, container string, template_runs array<long>")
+    return valid.groupBy("host").applyInPandas(deduce, "host string, n_pages long, container string, template_runs array<string>")
 
 
 def extract_text(html: str | None, container: str, template_runs=()) -> str:
     """The blocks of a page's container, one per line; the outermost article, main or body of a
-    page without that container."""
+    page without that container. Template texts are left out, unless nothing else would be left."""
     events = list(page_events(html or ""))
     if container and not any(e.path == container or e.path.startswith(container + "/") for _, e, _ in events):
         container = ""
@@ -228,18 +256,12 @@ def extract_text(html: str | None, container: str, template_runs=()) -> str:
             if len(paths) == 1:
                 container = paths.pop()
                 break
+    blocks = page_blocks(events)
+    inside = {i for i, (e, _) in enumerate(blocks) if not container or e.path == container or e.path.startswith(container + "/")}
     skip = set(template_runs)
-    blocks, open_ = [], []
-    for kind, element, raw in events:
-        if kind == "break":
-            blocks.append("".join(open_))
-            open_ = []
-        elif kind == "text" and not element.furniture and (not container or element.path == container or element.path.startswith(container + "/")):
-            if not (skip and _run_token(element.path, _clean(raw)) in skip):
-                open_.append(_html.unescape(raw))
-    blocks.append("".join(open_))
-    lines = (" ".join(b.split()) for b in blocks)
-    return "\n".join(line for line in lines if line)
+    drop = {i for token, _, own in page_texts(blocks) if token in skip for i in own} if skip else set()
+    left = inside - drop or inside
+    return "\n".join(line for i, (_, line) in enumerate(blocks) if i in left)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -249,8 +271,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     of a repeated page gives a row. Other columns are ignored; an empty table gives no rows.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    seen = rows.select(F.xxhash64("page_id", "html").alias("page"), "host", "html")
-    tokens = seen.mapInArrow(_occurrences, "host string, path string, run long, vector long, pages long, times long, chars long")
+    seen = rows.select(F.xxhash64("html", F.length("html")).alias("page"), "host", "html").dropDuplicates(["page", "host"])
+    tokens = seen.mapInArrow(_occurrences, "host string, path string, run string, vector long, pages long, times long, chars long")
     tokens = tokens.groupBy("host", "path", "run").agg(F.bit_xor("vector").alias("vector"), *(F.sum(c).alias(c) for c in ("pages", "times", "chars")))
     templates = Scratch(pages.sparkSession, "templates").table(host_templates(tokens), "templates")
     shared = templates.where("host = '*'").select("container").first()

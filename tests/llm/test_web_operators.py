@@ -188,3 +188,18 @@ def test_container_descends_by_slot_text():
                             ("/html/body/div.a/p", 10, 80, 950)], columns=["path", "pages", "times", "chars"])
     assert deduce_container(classes, 10) == "/html/body/div.a"
     assert deduce_container(classes.iloc[:0], 10) == ""
+
+
+def test_repeated_notices_are_template_and_copies_are_not(spark):
+    rows = []
+    for host, n in (("many.com", 25), ("few.com", 4)):
+        first = len(rows)
+        rows += [(first + i, f"http://{host}/{i}", template(i, f"<p>Text {i} of {host}</p><p>Please share this story</p><ul><li>Mail</li><li>Print</li></ul>")) for i in range(n)]
+    first = len(rows)
+    rows += [(first + i, "http://copies.com/", template(0, "<p>Text of a copy</p>")) for i in range(30)]
+    rows += [(first + 30 + i, "http://variants.com/", template(0, "<p>Text of a copy</p>") + f"<!-- {i} -->") for i in range(30)]
+    got = {r.page_id: r for r in extract_pages(pages(spark, rows)).collect()}
+    for i, url, _ in rows[:first]:
+        host, k = url[7:].split("/")
+        assert got[i].text == f"Title {k} & more\nText {k} of {host}"
+    assert {got[i].text for i in range(first, len(rows))} == {"Title 0 & more\nText of a copy"}
