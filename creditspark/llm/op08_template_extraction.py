@@ -6,8 +6,8 @@ of hashes of page and count, so partial sums combine before any shuffle and a ho
 of all pages is spread). Tokens of one vector form an equivalence class; those that occur on most
 of the host's pages are valid, and nest by path into the host's template, whose size is bounded by
 twice a page's. The template's slots with varying text remain: the main container is found by
-descending from the outermost template element while one once-a-page child holds most of the slot
-text that no menu, advert, form, footer or the like encloses. The second pass extracts the
+descending from the outermost template element while one once-a-page child holds all of the slot
+text that no menu, advert, form, footer or the like encloses, so only template stays outside. The second pass extracts the
 container's text from each page without template text: lists and other blocks that are on almost
 all of the host's distinct pages (copies count once, so that they don't make an article template). Hosts with fewer than ``MIN_PAGES`` pages
 use the template of all pages together.
@@ -30,7 +30,7 @@ from creditspark.llm.scratch import Scratch
 MIN_PAGES = 3  # pages from which a host has a template of its own
 SUPPORT = 0.5  # least share of a host's pages that a template token is on
 TEXT_SUPPORT = 0.95  # least share of a host's distinct pages that a template text is on
-DESCEND = 0.8  # share of the slot text that a child needs to replace its parent as the container
+DESCEND = 0.8  # default of deduce_container for text of which nobody knows what is template
 
 # HTML element kinds, and names, roles and class words that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -206,11 +206,12 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["host", "path", "run", "vector", "pages", "times", "chars"])
 
 
-def deduce_container(classes: pd.DataFrame, n_pages: int) -> str:
-    """Path of the main container, from a host's template paths (path, class_id, pages, times, chars).
+def deduce_container(classes: pd.DataFrame, n_pages: int, descend: float = DESCEND) -> str:
+    """Path of the main container, from a host's template paths (path, pages, times, chars).
 
-    Once-a-page sectioning elements of valid classes nest by path; among them ``article`` or ``main`` wins,
-    else the descent by slot text from the outermost one.
+    Once-a-page sectioning elements nest by path; among them ``article`` or ``main`` wins, else the
+    descent by slot text from the outermost one: to a child that has at least the share ``descend``
+    of its parent's. With 1.0 on text without the template's, only template stays outside.
     """
     once = classes[(classes["times"] == classes["pages"]) & (classes["path"] != "")].sort_values("path")
     once = once[once["path"].str.extract(r"/([^/.]*)[^/]*$")[0].isin(CONTAINERS)]
@@ -221,13 +222,23 @@ def deduce_container(classes: pd.DataFrame, n_pages: int) -> str:
             return str(best["path"])
     at, chars = "", once["chars"].max() if len(once) else 0
     while True:
-        inside = once[once["path"].str.startswith(at + "/") & (once["chars"] >= DESCEND * chars) & (once["chars"] > 0)]
+        inside = once[once["path"].str.startswith(at + "/") & (once["chars"] >= descend * chars) & (once["chars"] > 0)]
         if not len(inside):
             return at
         step = inside.assign(depth=inside["path"].str.count("/")).sort_values(["depth", "chars", "path"], ascending=[True, False, True]).iloc[0]
         at, chars = str(step["path"]), step["chars"]
 
 
+def slot_text(paths: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    """``paths`` whose chars are without those of the template ``texts`` below them."""
+    fixed: dict[str, int] = {}
+    for at, chars in zip(texts["path"], texts["chars"]):
+        while at:
+            fixed[at] = fixed.get(at, 0) + chars
+            at = at[:at.rfind("/")]
+    return paths.assign(chars=paths["chars"] - paths["path"].map(fixed).fillna(0).astype("int64"))
+
+
 def host_templates(tokens: DataFrame) -> DataFrame:
     """(host, n_pages, container, template_runs) from summed token occurrences."""
     total = tokens.where("path = '' and run is null").select("host", F.col("pages").alias("n_pages"))
@@ -237,8 +248,8 @@ def host_templates(tokens: DataFrame) -> DataFrame:
 
     def deduce(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n_pages"].iloc[0])
-        paths = pdf[pdf["run"].isna()]
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "n_pages": [n], "container": [deduce_container(paths, n)],
+        paths = slot_text(pdf[pdf["run"].isna()], pdf[pdf["run"].notna()])
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "n_pages": [n], "container": [deduce_container(paths, n, 1.0)],
                              "template_runs": [pdf["run"].dropna().tolist()]})
 
     return valid.groupBy("host").applyInPandas(deduce, "host string, n_pages long, container string, template_runs array<string>")

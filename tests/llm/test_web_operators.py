@@ -203,3 +203,13 @@ def test_repeated_notices_are_template_and_copies_are_not(spark):
         host, k = url[7:].split("/")
         assert got[i].text == f"Title {k} & more\nText {k} of {host}"
     assert {got[i].text for i in range(first, len(rows))} == {"Title 0 & more\nText of a copy"}
+
+
+def test_container_keeps_all_that_is_not_template(spark):
+    page = '<html><body><div class="top">Our fine site</div><h1>Head {0}</h1><div class="lead">Lead {0}</div><div class="text">{1}{0}</div><div class="end">End {0}</div><div class="legal">All rights reserved</div></body></html>'
+    rows = [(i, "http://plain.com/", page.format(i, "many words " * 40)) for i in range(8)]
+    rows += [(100 + i, "http://one.com/", f'<body><div class="top">Our fine site</div><div class="text"><p>Words {i}<p>More {i}</div><div class="legal">All rights reserved</div></body>') for i in range(8)]
+    got = {r.page_id: r for r in extract_pages(pages(spark, rows)).collect()}
+    for i in range(8):
+        assert got[i].text == f"Head {i}\nLead {i}\n{'many words ' * 40}{i}\nEnd {i}"
+        assert got[100 + i].text == f"Words {i}\nMore {i}" and got[100 + i].container == "/body/div.text"
