@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,36 +52,40 @@ P_CLOSERS = BLOCK - frozenset("body html head caption legend li dd dt td th tr t
 SAME_CLOSERS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 class _Element:
-    __slots__ = ("name", "path", "furniture", "article", "list")
+    __slots__ = ("name", "path", "furniture", "article", "list", "doubtful")
 
-    def __init__(self, name: str, path: str, furniture: bool, article: bool, parent: _Element | None = None):
+    def __init__(self, name: str, path: str, furniture: bool, article: bool, parent: _Element | None = None, doubtful: bool = False):
         self.name, self.path, self.furniture, self.article = name, path, furniture, article
         #: the outermost list around it, as far as no section or table cell starts anew
         self.list = None if parent is None or name in SECTIONS else parent.list or (self if name in LISTS else None)
+        #: paths of the elements around it, itself included, that their class words call furniture
+        self.doubtful: tuple[str, ...] = () if parent is None else parent.doubtful + (path,) if doubtful else parent.doubtful
 
 
 def _element(name: str, attributes: str, parent: _Element) -> _Element:
-    label, furniture = name, name in FURNITURE
+    label, furniture, doubtful = name, name in FURNITURE, False
     article = parent.article or name in ("article", "main")
     if attributes.strip():
         for kind, *values in _ATTR.findall(attributes):
             kind, value = kind.lower(), next((v for v in values if v), "").lower()
             if kind == "hidden":
                 furniture = True
+            elif kind == "aria-hidden":
+                furniture |= value.strip() == "true"
             elif kind == "role":
-                furniture |= value in FURNITURE_ROLES
-            elif value:
+                furniture |= value.strip() in FURNITURE_ROLES
+            elif kind in ("class", "id") and value:
                 words = set(re.split(r"[^a-z]+", value))
-                furniture |= bool(words & FURNITURE_WORDS) or bool(words & HEADING_WORDS) and not article
+                doubtful |= bool(words & FURNITURE_WORDS) or bool(words & HEADING_WORDS) and not article
                 label += "." + ".".join(sorted(value.split()))
     furniture |= name == "header" and not article
     if name in ("html", "body", "article", "main"):
-        furniture = False
-    return _Element(name, f"{parent.path}/{label}", parent.furniture or furniture, article, parent)
+        furniture = doubtful = False
+    return _Element(name, f"{parent.path}/{label}", parent.furniture or furniture, article, parent, doubtful)
 
 
 def page_events(html: str) -> Iterator[tuple[str, _Element, str]]:
@@ -137,21 +142,33 @@ def _close(stack: list[_Element], names: set[str]) -> None:
             return
 
 
-def page_blocks(events: list) -> list[tuple[_Element, str]]:
-    """(element, line) of each block with text outside furniture."""
-    blocks, at, open_ = [], None, []
+def page_blocks(events: list, content: frozenset[str] = frozenset()) -> list[tuple[_Element, str]]:
+    """(element, line) of each block with text outside furniture. Text of an element that is
+    furniture unless its path is ``content`` makes blocks of its own."""
+    blocks, open_ = [], {}
     for kind, element, raw in [*events, ("break", None, "")]:
         if kind == "break":
-            line = " ".join("".join(open_).split())
-            if line:
-                blocks.append((at, line))
-            at, open_ = None, []
+            for at, parts in open_.values():
+                line = " ".join("".join(parts).split())
+                if line:
+                    blocks.append((at, line))
+            open_ = {}
         elif kind == "text" and not element.furniture:
-            at = at or element
-            open_.append(_html.unescape(raw))
+            inner = next((p for p in reversed(element.doubtful) if p not in content), "") if element.doubtful else ""
+            open_.setdefault(inner, (element, []))[1].append(_html.unescape(raw))
     return blocks
 
 
+def page_doubts(events: list, blocks: list[tuple[_Element, str]]) -> tuple[Counter, set[str], int]:
+    """Of elements that their class words call furniture: the text held, those around an article; all text."""
+    held: Counter = Counter()
+    for element, line in blocks:
+        for path in set(element.doubtful):
+            held[path] += len(line)
+    main = {p for kind, e, _ in events if kind == "open" and e.doubtful and not e.furniture and e.name in ("article", "main") for p in e.doubtful}
+    return held, main, sum(len(line) for _, line in blocks)
+
+
 def page_texts(blocks: list[tuple[_Element, str]]) -> list[tuple[str, str, list[int]]]:
     """(token, path, blocks) of the texts that are template or not as a whole: lists and other blocks."""
     texts: dict[int, list[int]] = {}
@@ -166,6 +183,12 @@ def page_texts(blocks: list[tuple[_Element, str]]) -> list[tuple[str, str, list[
     return out
 
 
+#: sums per host and token; of elements that their class words call furniture also their text that
+#: those around them don't count, the text held, the text of the pages they are on, and on how many
+#: of these an article is in them
+SUMS = ("vector", "pages", "times", "chars", "back", "held", "around", "main")
+
+
 def host_of(url: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
@@ -174,36 +197,43 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums: dict[tuple, list] = {}
         for page, host, html in zip(*(c.to_pylist() for c in batch.columns)):
-            paths: dict[str, list[int]] = {}
-            runs: dict[tuple[str, str], list[int]] = {}
+            paths: dict[str, list] = {}  # times, chars, back, doubtful
+            runs: dict[tuple[str, str], list] = {}
             events = list(page_events(html or ""))
-            for kind, element, raw in events:
+            for kind, element, _ in events:
                 if kind == "open" and not element.furniture:
-                    paths.setdefault(element.path, [0, 0])[0] += 1
+                    paths.setdefault(element.path, [0, 0, 0, element.path in element.doubtful])[0] += 1
             blocks = page_blocks(events)
+            held, main, around = page_doubts(events, blocks)
             for element, line in blocks:
                 at = element.path
                 while at:
-                    paths.setdefault(at, [0, 0])[1] += len(line)
+                    one = paths[at]
+                    one[1] += len(line)
+                    if one[3] and at not in main and 2 * held[at] <= around:
+                        one[2] += len(line)
+                        break
                     at = at[:at.rfind("/")]
             for token, path, own in page_texts(blocks):
-                run = runs.setdefault((path, token), [0, 0])
+                run = runs.setdefault((path, token), [0, 0, 0, False])
                 run[0] += 1
                 run[1] += sum(len(blocks[i][1]) for i in own)
-            found = [(path, None, n, chars) for path, (n, chars) in paths.items()] + [(*key, n, chars) for key, (n, chars) in runs.items()]
-            found.append(("", None, 1, 0))
-            for path, run, n, chars in found:
+            found = [(path, None, *v) for path, v in paths.items()] + [(*key, *v) for key, v in runs.items()]
+            found.append(("", None, 1, 0, 0, False))
+            for path, run, n, chars, back, doubtful in found:
                 vector = xxhash.xxh3_64_intdigest(f"{page} {n}") - (1 << 63)
                 for group in (host, "*") if run is None else (host,):
-                    one = sums.setdefault((group, path, run), [0, 0, 0, 0])
+                    one = sums.setdefault((group, path, run), [0] * 8)
                     one[0] ^= vector
                     one[1] += 1
                     one[2] += n
                     one[3] += chars
+                    if doubtful:
+                        one[4:] = one[4] + back, one[5] + held[path], one[6] + around, one[7] + (path in main)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array([k[2] for k in sums], pa.string()),
-             *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(4))],
-            ["host", "path", "run", "vector", "pages", "times", "chars"])
+             *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(8))],
+            ["host", "path", "run", *SUMS])
 
 
 def deduce_container(classes: pd.DataFrame, n_pages: int, descend: float = DESCEND) -> str:
@@ -229,18 +259,29 @@ def deduce_container(classes: pd.DataFrame, n_pages: int, descend: float = DESCE
         at, chars = str(step["path"]), step["chars"]
 
 
-def slot_text(paths: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-    """``paths`` whose chars are without those of the template ``texts`` below them."""
-    fixed: dict[str, int] = {}
-    for at, chars in zip(texts["path"], texts["chars"]):
+def slot_text(paths: pd.DataFrame, texts: pd.DataFrame, content: set[str]) -> pd.DataFrame:
+    """``paths`` whose chars are without those of the template ``texts`` below them, and with those
+    of elements that are ``content`` in spite of their class words."""
+    more: dict[str, int] = {}
+    doubtful = set(paths["path"][paths["around"] > 0])
+
+    def add(at: str, chars: int) -> None:
         while at:
-            fixed[at] = fixed.get(at, 0) + chars
+            more[at] = more.get(at, 0) + chars
+            if at in doubtful and at not in content:
+                return
             at = at[:at.rfind("/")]
-    return paths.assign(chars=paths["chars"] - paths["path"].map(fixed).fillna(0).astype("int64"))
+
+    for at, chars in zip(texts["path"], texts["chars"]):
+        add(at, -chars)
+    for at, chars in zip(paths["path"], paths["back"]):
+        if at in content:
+            add(at[:at.rfind("/")], chars)
+    return paths.assign(chars=paths["chars"] + paths["path"].map(more).fillna(0).astype("int64"))
 
 
 def host_templates(tokens: DataFrame) -> DataFrame:
-    """(host, n_pages, container, template_runs) from summed token occurrences."""
+    """(host, n_pages, container, template_runs, content, furniture) from summed token occurrences."""
     total = tokens.where("path = '' and run is null").select("host", F.col("pages").alias("n_pages"))
     least = F.when(F.col("run").isNull(), SUPPORT).otherwise(TEXT_SUPPORT)
     valid = tokens.join(total, "host").where(F.col("pages") >= least * F.col("n_pages"))
@@ -248,17 +289,26 @@ def host_templates(tokens: DataFrame) -> DataFrame:
 
     def deduce(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n_pages"].iloc[0])
-        paths = slot_text(pdf[pdf["run"].isna()], pdf[pdf["run"].notna()])
+        paths = pdf[pdf["run"].isna()]
+        # class words make no furniture of what holds an article or most of the text of the pages it is on
+        doubtful = set(paths["path"][paths["around"] > 0])
+        content = set(paths["path"][(paths["main"] > 0) | (2 * paths["held"] > paths["around"])])
+        paths = slot_text(paths, pdf[pdf["run"].notna()], content)
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "n_pages": [n], "container": [deduce_container(paths, n, 1.0)],
-                             "template_runs": [pdf["run"].dropna().tolist()]})
+                             "template_runs": [pdf["run"].dropna().tolist()], "content": [sorted(content)], "furniture": [sorted(doubtful - content)]})
 
-    return valid.groupBy("host").applyInPandas(deduce, "host string, n_pages long, container string, template_runs array<string>")
+    return valid.groupBy("host").applyInPandas(
+        deduce, "host string, n_pages long, container string, template_runs array<string>, content array<string>, furniture array<string>")
 
 
-def extract_text(html: str | None, container: str, template_runs=()) -> str:
+def extract_text(html: str | None, container: str, template_runs=(), content=(), furniture=()) -> str:
     """The blocks of a page's container, one per line; the outermost article, main or body of a
-    page without that container. Template texts are left out, unless nothing else would be left."""
+    page without that container. Template texts are left out, unless nothing else would be left.
+    Elements with class words of furniture that aren't in the host's ``content`` or ``furniture`` are
+    judged by the page alone."""
     events = list(page_events(html or ""))
+    held, main, around = page_doubts(events, page_blocks(events))
+    content = frozenset(content) | {p for p in held if p in main or 2 * held[p] > around} - set(furniture)
     if container and not any(e.path == container or e.path.startswith(container + "/") for _, e, _ in events):
         container = ""
     if not container:
@@ -267,7 +317,7 @@ def extract_text(html: str | None, container: str, template_runs=()) -> str:
             if len(paths) == 1:
                 container = paths.pop()
                 break
-    blocks = page_blocks(events)
+    blocks = [(e, line) for e, line in page_blocks(events, content) if content.issuperset(e.doubtful)]
     inside = {i for i, (e, _) in enumerate(blocks) if not container or e.path == container or e.path.startswith(container + "/")}
     skip = set(template_runs)
     drop = {i for token, _, own in page_texts(blocks) if token in skip for i in own} if skip else set()
@@ -283,23 +333,25 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     seen = rows.select(F.xxhash64("html", F.length("html")).alias("page"), "host", "html").dropDuplicates(["page", "host"])
-    tokens = seen.mapInArrow(_occurrences, "host string, path string, run string, vector long, pages long, times long, chars long")
-    tokens = tokens.groupBy("host", "path", "run").agg(F.bit_xor("vector").alias("vector"), *(F.sum(c).alias(c) for c in ("pages", "times", "chars")))
+    tokens = seen.mapInArrow(_occurrences, "host string, path string, run string, " + ", ".join(f"{c} long" for c in SUMS))
+    tokens = tokens.groupBy("host", "path", "run").agg(F.bit_xor("vector").alias("vector"), *(F.sum(c).alias(c) for c in SUMS[1:]))
     templates = Scratch(pages.sparkSession, "templates").table(host_templates(tokens), "templates")
-    shared = templates.where("host = '*'").select("container").first()
-    shared = shared["container"] if shared else ""
-    own = templates.where("host <> '*'").select("host", "container", "template_runs")
+    parts = ["container", "template_runs", "content", "furniture"]
+    shared = templates.where("host = '*'").select(*parts).first()
+    shared = tuple(shared) if shared else ("", [], [], [])
+    own = templates.where("host <> '*'").select("host", F.struct(*parts).alias("template"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, used = [], []
-            for html, container, runs in zip(*(batch.column(c).to_pylist() for c in ("html", "container", "template_runs"))):
-                used.append(shared if container is None else container)
-                texts.append(extract_text(html, used[-1], runs or ()))
+            for html, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist()):
+                template = tuple(template[c] for c in parts) if template else shared
+                used.append(template[0])
+                texts.append(extract_text(html, *template))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(used, pa.string())],
                 ["page_id", "url", "text", "n_chars", "container"])
 
     page_type = dict(rows.dtypes)["page_id"]
-    return rows.join(own, "host", "left").select("page_id", "url", "html", "container", "template_runs").mapInArrow(
+    return rows.join(own, "host", "left").select("page_id", "url", "html", "template").mapInArrow(
         extract, f"page_id {page_type}, url string, text string, n_chars long, container string")

@@ -213,3 +213,15 @@ def test_container_keeps_all_that_is_not_template(spark):
     for i in range(8):
         assert got[i].text == f"Head {i}\nLead {i}\n{'many words ' * 40}{i}\nEnd {i}"
         assert got[100 + i].text == f"Words {i}\nMore {i}" and got[100 + i].container == "/body/div.text"
+
+
+def test_class_words_make_no_furniture_of_the_content(spark):
+    attributes = ['class="content has-sidebar"', "class='no-comments'", 'id="search-history"', 'aria-hidden="false"', 'title="the hidden life of bees"', 'data-class="menu"']
+    rows = []
+    for h, attribute in enumerate(attributes):
+        for k, (a, z) in enumerate((("<article>", "</article>"), ("", ""))):
+            page = f'<body><div class="share-menu">Share {{0}}</div><div {attribute}>{a}<h1>Head {{0}}</h1><p>The text of page number {{0}}</p><div aria-hidden="true">icon {{0}}</div>{z}</div></body>'
+            rows += [(1000 * h + 100 * k + i, f"http://h{h}-{k}.com/", page.format(i)) for i in range(5)]
+    rows.append((9999, "http://alone.com/", rows[0][2]))
+    got = {r.page_id: r.text for r in extract_pages(pages(spark, rows)).collect()}
+    assert {i: got[i] for i, _, _ in rows} == {i: f"Head {i % 100 if i < 9999 else 0}\nThe text of page number {i % 100 if i < 9999 else 0}" for i, _, _ in rows}
