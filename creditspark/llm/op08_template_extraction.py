@@ -1,16 +1,20 @@
-"""Operator 8: main-text extraction by equivalence-class template deduction.
-
-Tokens are a page's elements, told apart by their path, and its text runs. A first pass sums, per
-host and token, a fingerprint of the vector of occurrences over the host's pages (an exclusive-or
-of hashes of page and count, so partial sums combine before any shuffle and a host with a third
-of all pages is spread). Tokens of one vector form an equivalence class; those that occur on most
-of the host's pages are valid, and nest by path into the host's template, whose size is bounded by
-twice a page's. The template's slots with varying text remain: the main container is found by
-descending from the outermost template element while one once-a-page child holds all of the slot
-text that no menu, advert, form, footer or the like encloses, so only template stays outside. The second pass extracts the
-container's text from each page without template text: lists and other blocks that are on almost
-all of the host's distinct pages (copies count once, so that they don't make an article template). Hosts with fewer than ``MIN_PAGES`` pages
-use the template of all pages together.
+"""Operator 8: main-text extraction by deducing each host's template from token support.
+
+Tokens are a page's elements, told apart by their path, and its texts (lists and other blocks). A
+first pass sums, per host and token, the distinct pages it is on and its occurrences (copies of a
+page count once, so that they don't make an article template; partial sums combine before any
+shuffle, so a host with a third of all pages is spread). Elements on most of the host's pages nest
+by path into the host's template, whose size is bounded by twice a page's; texts on almost all of
+them are template too, and what else varies are its slots. The main container is an article or
+main, else found by descending from the outermost template element while one once-a-page child
+holds all of the slot text that no menu, advert, form, footer or the like encloses. The second pass
+extracts the container's text from each page without template texts. Hosts with fewer than
+``MIN_PAGES`` distinct pages use the container of all pages together.
+
+Tokens aren't grouped into equivalence classes of equal occurrence vectors. An element's path
+already names all that encloses it, and what encloses it is on every page that it is on, so
+grouping and checking the nesting would drop no token; in a trial it made the whole template
+invalid where an element that is there once a page lay in one of several equal ones.
 """
 
 from __future__ import annotations
@@ -186,7 +190,7 @@ def page_texts(blocks: list[tuple[_Element, str]]) -> list[tuple[str, str, list[
 #: sums per host and token; of elements that their class words call furniture also their text that
 #: those around them don't count, the text held, the text of the pages they are on, and on how many
 #: of these an article is in them
-SUMS = ("vector", "pages", "times", "chars", "back", "held", "around", "main")
+SUMS = ("pages", "times", "chars", "back", "held", "around", "main")
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -196,7 +200,7 @@ def host_of(url: F.Column) -> F.Column:
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums: dict[tuple, list] = {}
-        for page, host, html in zip(*(c.to_pylist() for c in batch.columns)):
+        for host, html in zip(*(c.to_pylist() for c in batch.columns)):
             paths: dict[str, list] = {}  # times, chars, back, doubtful
             runs: dict[tuple[str, str], list] = {}
             events = list(page_events(html or ""))
@@ -221,18 +225,16 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [(path, None, *v) for path, v in paths.items()] + [(*key, *v) for key, v in runs.items()]
             found.append(("", None, 1, 0, 0, False))
             for path, run, n, chars, back, doubtful in found:
-                vector = xxhash.xxh3_64_intdigest(f"{page} {n}") - (1 << 63)
                 for group in (host, "*") if run is None else (host,):
-                    one = sums.setdefault((group, path, run), [0] * 8)
-                    one[0] ^= vector
-                    one[1] += 1
-                    one[2] += n
-                    one[3] += chars
+                    one = sums.setdefault((group, path, run), [0] * 7)
+                    one[0] += 1
+                    one[1] += n
+                    one[2] += chars
                     if doubtful:
-                        one[4:] = one[4] + back, one[5] + held[path], one[6] + around, one[7] + (path in main)
+                        one[3:] = one[3] + back, one[4] + held[path], one[5] + around, one[6] + (path in main)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array([k[2] for k in sums], pa.string()),
-             *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(8))],
+             *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(7))],
             ["host", "path", "run", *SUMS])
 
 
@@ -285,7 +287,7 @@ def host_templates(tokens: DataFrame) -> DataFrame:
     total = tokens.where("path = '' and run is null").select("host", F.col("pages").alias("n_pages"))
     least = F.when(F.col("run").isNull(), SUPPORT).otherwise(TEXT_SUPPORT)
     valid = tokens.join(total, "host").where(F.col("pages") >= least * F.col("n_pages"))
-    valid = valid.where(f"n_pages >= {MIN_PAGES} or host = '*'").withColumn("class_id", F.xxhash64("vector", "pages", "times"))
+    valid = valid.where(f"n_pages >= {MIN_PAGES} or host = '*'")
 
     def deduce(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n_pages"].iloc[0])
@@ -332,9 +334,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     of a repeated page gives a row. Other columns are ignored; an empty table gives no rows.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    seen = rows.select(F.xxhash64("html", F.length("html")).alias("page"), "host", "html").dropDuplicates(["page", "host"])
+    seen = rows.select(F.xxhash64("html", F.length("html")).alias("page"), "host", "html").dropDuplicates(["page", "host"]).select("host", "html")
     tokens = seen.mapInArrow(_occurrences, "host string, path string, run string, " + ", ".join(f"{c} long" for c in SUMS))
-    tokens = tokens.groupBy("host", "path", "run").agg(F.bit_xor("vector").alias("vector"), *(F.sum(c).alias(c) for c in SUMS[1:]))
+    tokens = tokens.groupBy("host", "path", "run").agg(*(F.sum(c).alias(c) for c in SUMS))
     templates = Scratch(pages.sparkSession, "templates").table(host_templates(tokens), "templates")
     parts = ["container", "template_runs", "content", "furniture"]
     shared = templates.where("host = '*'").select(*parts).first()

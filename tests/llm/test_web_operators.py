@@ -225,3 +225,9 @@ def test_class_words_make_no_furniture_of_the_content(spark):
     rows.append((9999, "http://alone.com/", rows[0][2]))
     got = {r.page_id: r.text for r in extract_pages(pages(spark, rows)).collect()}
     assert {i: got[i] for i, _, _ in rows} == {i: f"Head {i % 100 if i < 9999 else 0}\nThe text of page number {i % 100 if i < 9999 else 0}" for i, _, _ in rows}
+
+
+def test_template_without_article_or_telling_names(spark):
+    page = "<body><div><b>Our site</b></div><div><table><tr><td><p>Text {0}</td></tr><tr><td>Print this page</td></tr></table></div><div>Imprint</div></body>"
+    got = extract_pages(pages(spark, [(i, "http://bare.com/", page.format(i)) for i in range(6)])).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Text {i}" for i in range(6)}
