@@ -5,7 +5,8 @@ the orthogonal Procrustes rotation); every vector gets a balanced binary code pe
 code is cut into substrings, one hash table per substring; vectors of a label that share a key are
 candidates, reranked by the cosine of the original vectors in double precision. A bucket is
 verified in blocks, so a cluster with a third of all vectors is many tasks; a pair that meets in
-several tables counts in the first only. Tasks emit link counts and a spanning forest, no pairs.
+several tables counts in the first only. Each vector length has its own rotations and buckets; of a
+length with at most ``BLOCK`` vectors all pairs of a label are compared. Tasks emit link counts and a spanning forest, no pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from creditspark.llm.components import connected_components
 from creditspark.llm.scratch import Scratch
 
-SAMPLE_VECTORS = 20_000  # vectors that the rotations are learned on, by hash of vec_id
+SAMPLE_VECTORS = 20_000  # vectors that the rotations of a length are learned on, by hash of vec_id
 ROTATIONS = 3  # independent codes
 TABLES = 4  # substrings of each code; 64 bits in 4 keys of 16
 ITERATIONS = 30
@@ -63,8 +64,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98) -> DataFrame:
 
     Vectors link when their labels are equal and not null and their cosine is at least ``cosine``,
     if a table brings them together. Null, zero or non-finite vectors (or with null components)
-    link with nothing. Lengths that differ from the sample's most common one link with nothing
-    too. ``kept`` is true for a component's smallest vec_id. Rows that repeat a vec_id count as
+    link with nothing; vectors of different lengths don't link with each other. ``kept`` is true for a component's smallest vec_id. Rows that repeat a vec_id count as
     one vector (any of its rows) and each gets the result; null vec_ids link with nothing. Empty
     tables give empty results; other columns are ignored.
     """
@@ -76,37 +76,44 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98) -> DataFrame:
         & (F.size("embedding") > 0)
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("embedding", lambda x: x != 0)).dropDuplicates(["vec_id"])
-    taken = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_VECTORS).select("embedding").toPandas()
-    widths = taken["embedding"].map(len)
-    if not len(widths):
+    usable = usable.withColumn("dims", F.size("embedding"))
+    sizes = {r["dims"]: r["count"] for r in usable.groupBy("dims").count().where("count > 1").collect()}
+    if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    dims = int(widths.mode().iloc[0])
-    bits = min(64, dims)
-    sample = np.stack(taken["embedding"][widths == dims].to_list())
-    with np.errstate(all="ignore"):
-        sample = _unit(sample)
-    model = spark.sparkContext.broadcast(learn_rotations(sample, bits))
-    n_tables = ROTATIONS * TABLES
+    models = {}
+    for dims in sorted(d for d, n in sizes.items() if n > BLOCK):
+        taken = usable.where(F.col("dims") == dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_VECTORS).select("embedding").toPandas()
+        models[dims] = learn_rotations(_unit(np.stack(taken["embedding"].to_list())), min(64, dims))
+        del taken
+    model = spark.sparkContext.broadcast(models)
 
     def encode(batches):
-        mean, projections = model.value
         for batch in batches:
-            x = _unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), dims))
-            codes = np.column_stack([pack_codes(x, mean, p) for p in projections]) if len(batch) else np.empty((0, len(projections)), np.uint64)
-            keys = table_keys(codes, bits)
+            widths = batch.column("dims").to_numpy()
+            unit, keys = [None] * len(batch), [None] * len(batch)
+            for dims in np.unique(widths).tolist():
+                at = np.flatnonzero(widths == dims)
+                x = _unit(batch.take(pa.array(at)).column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(at), dims))
+                if dims in model.value:
+                    mean, projections = model.value[dims]
+                    key = table_keys(np.column_stack([pack_codes(x, mean, p) for p in projections]), min(64, dims))
+                else:
+                    key = np.zeros((len(at), 1), np.int64)  # one table, one bucket
+                for i, u, k in zip(at.tolist(), x, key):
+                    unit[i], keys[i] = u, k
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("label"), pa.array(list(x), pa.list_(pa.float64())), pa.array(list(keys), pa.list_(pa.int64()))],
-                ["vec_id", "label", "unit", "keys"])
+                [*(batch.column(c) for c in ("vec_id", "label", "dims")), pa.array(unit, pa.list_(pa.float64())), pa.array(keys, pa.list_(pa.int64()))],
+                ["vec_id", "label", "dims", "unit", "keys"])
 
-    coded = scratch.table(usable.where(F.size("embedding") == dims).mapInArrow(encode, "vec_id long, label long, unit array<double>, keys array<long>"), "coded")
-    met = coded.select("vec_id", "label", F.posexplode("keys").alias("t", "key"))
-    buckets = met.groupBy("label", "t", "key").agg(F.count("*").alias("m")).where("m > 1")
-    members = met.join(buckets, ["label", "t", "key"])
+    coded = scratch.table(usable.where(F.col("dims").isin(*sizes)).mapInArrow(encode, "vec_id long, label long, dims int, unit array<double>, keys array<long>"), "coded")
+    met = coded.select("vec_id", "label", "dims", F.posexplode("keys").alias("t", "key"))
+    buckets = met.groupBy("label", "dims", "t", "key").agg(F.count("*").alias("m")).where("m > 1")
+    members = met.join(buckets, ["label", "dims", "t", "key"])
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     members = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("vec_id", "t"), F.col("parts")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     members = members.select("vec_id", "t", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
-                             F.xxhash64("label", "t", "key").alias("bucket"), F.col("label"), F.col("key"))
+                             F.col("label"), F.col("dims"), F.col("key"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["vec_id"].to_numpy()
@@ -133,7 +140,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98) -> DataFrame:
         keep = (links > 0) | (to != ids)
         return pd.DataFrame({"vec_id": ids[keep], "n": links[keep], "to": to[keep]})
 
-    found = (members.join(coded.select("vec_id", "unit", "keys"), "vec_id").groupBy("label", "t", "key", "lo", "hi")
+    found = (members.join(coded.select("vec_id", "unit", "keys"), "vec_id").groupBy("label", "dims", "t", "key", "lo", "hi")
              .applyInPandas(verify, "vec_id long, n long, to long"))
     found = scratch.table(found, "found")
     roots = connected_components(scratch, found.select(F.col("vec_id").alias("u"), F.col("to").alias("v")), "links")

@@ -55,6 +55,26 @@ def test_odd_vectors_link_with_nothing(spark):
     assert near_vectors(vectors(spark, [(1, None, 1)])).first().component_id == 1
 
 
+def test_lengths_of_a_minority_link_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for dims, clusters, n in ((8, 60, 12), (5, 4, 10), (16, 1, 2), (3, 1, 1)):  # 720 vectors, 40, 2 and 1
+        for c in range(clusters):
+            base = rng.normal(size=dims)
+            rows += [(len(rows) + i, base / np.linalg.norm(base) + rng.normal(size=dims) * 0.002, c % 3) for i in range(n)]
+    df = vectors(spark, rows)
+    df.write.parquet(str(tmp_path / "v"))
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from read_parquet('{tmp_path}/v/*.parquet')")
+    want = {r[0]: r for r in con.sql(ORACLES["op9_itq_neardup"]).fetchall()}
+    got = {r.vec_id: tuple(r) for r in near_vectors(df).collect()}
+    small = [i for i, v, _ in rows if len(v) != 8]
+    assert len(got) == len(rows) and [got[i] for i in small] == [want[i] for i in small]
+    assert sum(got[i][1] for i in got) >= 0.9 * sum(want[i][1] for i in want)
+
+
 def test_rotation_balances_codes():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 16)) * np.linspace(0.1, 3, 16)
