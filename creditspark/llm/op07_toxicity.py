@@ -143,7 +143,7 @@ def _isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, base:
     return np.array([p[0] / p[3] for p in pools]), np.array([min(1.0, max(0.0, p[1] / p[2])) for p in pools])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted, neighbours) for every row of ``docs``.
 
     ``docs``: doc_id, text; ``labels``: doc_id, toxic (0/1; null rows are ignored, a doc_id labelled
@@ -151,11 +151,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     that aren't held out (crc32 of the id's digits, mod 5). ``neighbours`` is the evidence: the
     nearest examples' doc_id, label and cosine. Null or empty texts, or such without vocabulary
     terms, get the score of examples without terms; with no labels at all every score is 0.5.
-    Repeated rows are scored alike; other columns are ignored; no documents give no rows.
+    Repeated rows are scored alike; other columns are ignored; no documents give no rows. With
+    ``key``, a long column of ``docs`` by which the caller knows its rows, the result has it too.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select((F.col(key) if key else F.lit(None)).cast("long").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out("doc_id"))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -188,9 +189,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                         found[t] += times
                 terms_col.append(sorted(found))
                 counts_col.append([found[t] for t in terms_col[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(terms_col, pa.list_(pa.int32())), pa.array(counts_col, pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(terms_col, pa.list_(pa.int32())), pa.array(counts_col, pa.list_(pa.int32()))], ["row_key", "doc_id", "terms", "counts"])
 
-    table = scratch.table(rows.mapInArrow(vectors, "doc_id long, terms array<int>, counts array<int>"), "vectors")
+    table = scratch.table(rows.mapInArrow(vectors, "row_key long, doc_id long, terms array<int>, counts array<int>"), "vectors")
     total = table.count()
     df = np.zeros(len(vocabulary))
     for r in table.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
@@ -217,10 +218,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     memory[key] = value, [{"doc_id": m.ids[i], "toxic": int(m.toxic[i]), "cosine": s} for s, i in near]
                 scores.append(memory[key][0])
                 evidence.append(memory[key][1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, near_type)], ["doc_id", "score", "neighbours"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, near_type)], ["row_key", "doc_id", "score", "neighbours"])
 
-    result = table.mapInArrow(scored, "doc_id long, score double, neighbours array<struct<doc_id: long, toxic: int, cosine: double>>")
-    return result.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours")
+    result = table.mapInArrow(scored, "row_key long, doc_id long, score double, neighbours array<struct<doc_id: long, toxic: int, cosine: double>>")
+    return result.select(*([F.col("row_key").alias(key)] if key else []), "doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours")
 
 
 def _vocabulary(examples: DataFrame) -> list[str]:

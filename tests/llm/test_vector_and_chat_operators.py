@@ -184,6 +184,28 @@ def test_pipeline_stages_match_brute_force(spark):
     assert packed.where("piece = 0").count() == kept.count()
 
 
+def test_pipeline_filters_rows_of_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+    from test_text_operators import toxic_rows
+
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(f"v{i}" for i in rng.integers(0, 5000, 40))
+    x, y, z = text(), text(), text()
+    docs = spark.createDataFrame([(3, x), (5, x), (5, y), (7, z), (None, z), (None, z), (None, z), (8, None), (8, None)], "doc_id long, text string").withColumn("row_key", cp.F.lit("clash"))
+    kept = cp.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, x), (5, y), (7, z), (None, z), (8, None)], key=str)
+
+    rows = toxic_rows(1400)
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    bad, clean = next(t for _, t, y in rows if y), next(t for _, t, y in rows if not y)
+    odd = [(5000, bad), (5000, clean), (None, bad), (None, bad), (None, clean)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + odd, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in cp.drop_toxic(spark, docs, str(tmp_path)).collect()]
+    assert sorted((r for r in got if r[0] in (5000, None)), key=str) == sorted([(5000, clean), (None, clean)], key=str)
+
+
 def test_pipeline_of_nothing(spark):
     import corpus_pipeline as cp
 
