@@ -16,6 +16,7 @@ from creditspark.llm.op07_toxicity import toxicity_scores
 from creditspark.llm.op08_template_extraction import extract_pages
 from creditspark.llm.op09_itq_neardup import near_vectors
 from creditspark.llm.op10_preference_chat import preference_pairs
+from creditspark.llm.op13_prefix_bpe import encoding_digests
 from creditspark.llm.scratch import share_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +28,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def tokenizer_text(name: str) -> str:
+    """A vocabulary file's text, which goes to the workers in a broadcast."""
+    with open(tokenizer_path(name), encoding="utf-8") as file:
+        return file.read()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     share_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -112,9 +119,13 @@ def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("chosen_mask", spans("chosen_mask")).withColumn("rejected_mask", spans("rejected_mask"))
 
 
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(table(spark, sf_dir, "documents"), tokenizer_text("byte_bpe_50k.json"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_arc_to_warc, op3_lz_fingerprint, op4_best_fit_packing, op5_poisson_mixing,
-    op6_jaccard_join, op7_toxicity, op8_template_extraction, op9_itq_neardup, op10_preference_chat,
+    op6_jaccard_join, op7_toxicity, op8_template_extraction, op9_itq_neardup, op10_preference_chat, op13_prefix_bpe,
 )}
 
 ORACLES = {
