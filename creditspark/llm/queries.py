@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from creditspark.llm.op07_toxicity import toxicity_scores
 from creditspark.llm.op08_template_extraction import extract_pages
 from creditspark.llm.op09_itq_neardup import near_vectors
 from creditspark.llm.op10_preference_chat import preference_pairs
+from creditspark.llm.op11_token_alignment import alignment_digests
+from creditspark.llm.op12_viterbi_repair import conversation_audits
 from creditspark.llm.op13_prefix_bpe import encoding_digests
 from creditspark.llm.scratch import share_package
 
@@ -119,13 +123,42 @@ def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("chosen_mask", spans("chosen_mask")).withColumn("rejected_mask", spans("rejected_mask"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    return alignment_digests(table(spark, sf_dir, "documents"), tokenizer_text("byte_bpe_50k.json"), model)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Faults by a hash of (conv_id, turn): rows dropped, emptied, without stops, repeated, or of role user."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.pmod(F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))), F.lit(20))
+    rows = turns.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"), fault.alias("fault")).where("fault <> 0")
+    rows = rows.withColumn("text", F.expr("case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '') else text end"))
+    rows = rows.withColumn("role", F.expr("if(fault = 4, 'user', role)"))
+    return rows.withColumn("fault", F.explode(F.expr("sequence(1, if(fault = 3, 2, 1))"))).drop("fault")
+
+
+COUNTS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+
+
+def op12_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, repaired after damage; one that lost all rows has zeros and empty texts."""
+    turns = table(spark, sf_dir, "conversations")
+    audits = conversation_audits(damaged(turns)).withColumnRenamed("conv_id", "repaired_id")
+    every = turns.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    found = every.join(audits, F.col("conv_id").eqNullSafe(F.col("repaired_id")), "left").drop("repaired_id")
+    return found.na.fill(0, COUNTS).na.fill({"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()})
+
+
 def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), tokenizer_text("byte_bpe_50k.json"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_arc_to_warc, op3_lz_fingerprint, op4_best_fit_packing, op5_poisson_mixing,
-    op6_jaccard_join, op7_toxicity, op8_template_extraction, op9_itq_neardup, op10_preference_chat, op13_prefix_bpe,
+    op6_jaccard_join, op7_toxicity, op8_template_extraction, op9_itq_neardup, op10_preference_chat,
+    op11_token_alignment, op12_viterbi_repair, op13_prefix_bpe,
 )}
 
 ORACLES = {
