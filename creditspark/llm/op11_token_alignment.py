@@ -9,8 +9,8 @@ are merged on their own, whatever lengths the texts have. A piece numbers its to
 ends before them; the group that is open at its end goes on in the next piece, so the pieces' numbers
 are stitched into groups by adding the common ends of the pieces before.
 
-Neither vocabulary has a token across the white space that follows other characters (checked when
-loading), so texts are cut there into parts. Parts recur: each worker aligns a new part once and
+Neither vocabulary has a token across white space that follows other characters, but for carriage
+returns (checked when loading), so texts are cut there into parts. Parts recur: each worker aligns a new part once and
 remembers it. The tables that follow are made of batches of documents:
 
 * a document is a list of the batch's distinct parts; a batch lists its distinct id pairs and how many of
@@ -22,6 +22,7 @@ remembers it. The tables that follow are made of batches of documents:
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,9 +40,18 @@ _REMEMBERED = 300_000  # parts that a worker may remember when it begins a batch
 _LEARN_BYTES, _BATCH_BYTES, _BATCH_ROWS = 4_000_000, 16_000_000, 20_000  # text looked up together; text and rows of a batch
 _SMALL_GROUP = 4096  # links of a group that are written out before they are counted
 _SPACE = "▁"  # what stands for a space in the pieces
+_ACROSS = re.compile(r"\S[^\S\r]")  # no piece may have this; pieces with a carriage return after other characters exist
+_CUT = re.compile(r"(?<=\S)(?=[ \t\n\x0b\x0c])")
 _ALIGNERS: dict[int, "Aligner"] = {}
 
 
+def cut_text(text: str) -> list[str]:
+    """Space + text in parts whose borders no token of either vocabulary crosses; no text has no parts."""
+    if not text:
+        return []
+    return _CUT.split(f" {text}") if "\r" in text else parts(f" {text}")
+
+
 def merge_path(ends_a: np.ndarray, ends_b: np.ndarray, work: int) -> tuple[np.ndarray, np.ndarray]:
     """Where pieces of about ``work`` ends of the merge of two sorted lists begin: places in A and in B.
 
@@ -110,7 +120,7 @@ class Aligner:
         self.a = shared_encoder(vocabulary, special=False)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any(_SPACE in p.lstrip(_SPACE) or any(c.isspace() for c in p) for p in pieces):
+        if any(_ACROSS.search(p.replace(_SPACE, " ")) for p in pieces):
             raise ValueError("pieces across white space can't be cut into parts")
         self.prefix = self.b.piece_to_id(_SPACE)
         if self.b.encode("\n")[:1] != [self.prefix]:
@@ -124,12 +134,12 @@ class Aligner:
     def _encode_b(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         spaced = [p[0] == " " for p in new]  # the model puts a space before each text itself
         found = self.b.encode([p[1:] if s else p for p, s in zip(new, spaced)], num_threads=1)
-        found = [ids if s else ids[1:] for ids, s in zip(found, spaced)]
+        found = [(ids or [self.prefix]) if s else ids[1:] for ids, s in zip(found, spaced)]  # it leaves an empty text without one
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for ids in found for i in ids), np.int64, int(counts.sum())), counts
 
     def align(self, new: list[str], work: int = WORK) -> Parts:
-        """Align parts (not empty, cut as by ``parts``), all at once."""
+        """Align parts (not empty, cut as by ``cut_text``), all at once."""
         a, n_a = self.a.encode_parts(new)
         a = a.astype(np.int64)
         b, n_b = self._encode_b(new)
@@ -240,7 +250,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _numbers(aligner: Aligner, texts: list[str]) -> list[np.ndarray]:
     """The parts of each text; of no text, and of one that the tokenizers don't give back, none."""
-    found = aligner.look_up([parts(f" {t}") if t else [] for t in texts])
+    found = aligner.look_up([cut_text(t) for t in texts])
     whole = aligner.known().whole
     return [n if whole[n].all() else n[:0] for n in found]
 
