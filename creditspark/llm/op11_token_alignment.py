@@ -36,8 +36,9 @@ from creditspark.llm.op13_prefix_bpe import parts, shared_encoder, sliced, sprea
 from creditspark.llm.scratch import Scratch
 
 WORK = 1 << 16  # ends that a piece of the merge has
-_REMEMBERED = 300_000  # parts that a worker may remember when it begins a batch
-_LEARN_BYTES, _BATCH_BYTES, _BATCH_ROWS = 4_000_000, 16_000_000, 20_000  # text looked up together; text and rows of a batch
+_REMEMBERED = 100_000  # parts that a worker may remember when it begins a batch
+_LEARN_BYTES, _BATCH_BYTES, _BATCH_ROWS = 2_000_000, 6_000_000, 20_000  # text looked up together; text and rows of a batch
+_COMMON = 1 << 16  # parts of a batch that take two bytes in its documents' lists
 _SMALL_GROUP = 4096  # links of a group that are written out before they are counted
 _SPACE = "▁"  # what stands for a space in the pieces
 _ACROSS = re.compile(r"\S[^\S\r]")  # no piece may have this; pieces with a carriage return after other characters exist
@@ -279,16 +280,16 @@ def align_documents(docs: DataFrame, vocabulary: str, model: bytes) -> DataFrame
     return _texts(docs).mapInArrow(run, "doc_id long, groups array<struct<a array<int>, b array<int>>>")
 
 
-_BATCH_SCHEMA = ("batch long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, parts binary, "
+_BATCH_SCHEMA = ("batch long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, parts binary, rare binary, "
                  "pairs binary, holders binary, part_pairs binary, pair_places binary, pair_times binary")
-_BATCH_TYPES = [pa.int64()] * 6 + [pa.string()] + [pa.binary()] * 6
+_BATCH_TYPES = [pa.int64()] * 6 + [pa.string()] + [pa.binary()] * 7
 _BATCH_NAMES = [c.split()[0] for c in _BATCH_SCHEMA.split(", ")]
 
 
 def aligned_batches(docs: DataFrame, vocabulary: str, model: bytes) -> DataFrame:
     """A row per document, and per batch one with its distinct pairs (``pairs`` isn't null there).
 
-    ``parts`` are places in the batch's list of distinct parts (u4); a part has the next ``part_pairs`` (u4) of
+    ``parts`` (u2) and ``rare`` (u4) are places in the batch's list of distinct parts, common ones first; a part has the next ``part_pairs`` (u4) of
     ``pair_places`` (u4, places in ``pairs``, i8) ``pair_times`` (u4) often; ``holders`` (u4) counts documents.
     """
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
@@ -308,28 +309,43 @@ def aligned_batches(docs: DataFrame, vocabulary: str, model: bytes) -> DataFrame
     return _texts(docs).mapInArrow(run, _BATCH_SCHEMA)
 
 
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))[:len(ordered)]]
+
+
 def _batch_rows(number: int, doc_ids: list, numbers: list[np.ndarray], known: Parts) -> pa.RecordBatch:
     sizes = np.fromiter(map(len, numbers), np.int64, len(numbers))
-    used, place = np.unique(np.concatenate([*numbers, np.empty(0, np.int64)]), return_inverse=True)
+    used, place, often = np.unique(np.concatenate([*numbers, np.empty(0, np.int64)]), return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")
+    new = np.empty(len(used), np.int64)
+    new[order] = np.arange(len(used))
+    used = used[order]
     first, many = known.pair_from[used], np.diff(known.pair_from)[used]
     at = spread(first, many)
     pairs, pair_place = np.unique(known.pairs[at], return_inverse=True)
+    held = np.repeat(np.arange(len(numbers)) * max(1, len(used)), sizes) + new[place]  # a document's parts, in order
+    held.sort()
+    place = held % max(1, len(used))
     # Documents that hold a pair: distinct (document, part), then distinct (document, pair).
-    doc = np.repeat(np.arange(len(numbers)), sizes)
-    held = np.unique(doc * len(used) + place) if len(used) else place
-    part = held % max(1, len(used))
-    pair_at = np.cumsum(many) - many
-    both = np.repeat(held // max(1, len(used)), many[part]) * len(pairs) + pair_place[spread(pair_at[part], many[part])]
-    holders = np.bincount(np.unique(both) % max(1, len(pairs)), minlength=len(pairs))
-
-    places, borders = place.astype("<u4").tobytes(), (4 * np.concatenate(([0], np.cumsum(sizes)))).tolist()
+    held = _distinct(held)
+    part, doc = held % max(1, len(used)), held // max(1, len(used))
+    both = np.repeat(doc * len(pairs), many[part])
+    both += pair_place[spread((np.cumsum(many) - many)[part], many[part])]
+    both.sort()
+    holders = np.bincount(_distinct(both) % max(1, len(pairs)), minlength=len(pairs))
+
+    rare = place >= _COMMON
+    n_rare = np.concatenate(([0], np.cumsum(rare)))[np.concatenate(([0], np.cumsum(sizes)))]
+    rare_borders, borders = (4 * n_rare).tolist(), (2 * (np.concatenate(([0], np.cumsum(sizes))) - n_rare)).tolist()
+    places, rare_places = place[~rare].astype("<u2").tobytes(), place[rare].astype("<u4").tobytes()
     sums = lambda c: [int(c[n].sum()) for n in numbers]
     text = known.text
     digests = [hashlib.sha256("".join(map(text.__getitem__, n.tolist()))[:-1].encode()).hexdigest() if len(n) else "" for n in numbers]
     of_batch = [pairs.astype("<i8"), holders.astype("<u4"), many.astype("<u4"), pair_place.astype("<u4"), known.times[at].astype("<u4")]
     rows = len(numbers)
     columns = [[number] * (rows + 1), doc_ids + [None], *(sums(c) + [None] for c in (known.n_a, known.n_b, known.n_groups, known.n_links)),
-               digests + [None], [places[a:b] for a, b in zip(borders, borders[1:])] + [None], *([None] * rows + [x.tobytes()] for x in of_batch)]
+               digests + [None], [places[a:b] for a, b in zip(borders, borders[1:])] + [None],
+               [rare_places[a:b] for a, b in zip(rare_borders, rare_borders[1:])] + [None], *([None] * rows + [x.tobytes()] for x in of_batch)]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _BATCH_TYPES)], _BATCH_NAMES)
 
 
@@ -359,8 +375,8 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
 
 def _sum_up(documents: pa.Table, counts: pa.Table) -> pa.Table:
     """The documents of a batch with the sums over their links."""
-    row = next(r for r in documents.select(_BATCH_NAMES[8:]).to_pylist() if r["pairs"] is not None)
-    pairs, _, many, place, times = (np.frombuffer(row[c], t) for c, t in zip(_BATCH_NAMES[8:], ("<i8", *["<u4"] * 4)))
+    row = next(r for r in documents.select(_BATCH_NAMES[9:]).to_pylist() if r["pairs"] is not None)
+    pairs, _, many, place, times = (np.frombuffer(row[c], t) for c, t in zip(_BATCH_NAMES[9:], ("<i8", *["<u4"] * 4)))
     code = counts.column("a").to_numpy().astype(np.int64) << 32 | counts.column("b").to_numpy()
     order = np.argsort(code)
     if len(order) != len(pairs) or (code[order] != pairs).any():
@@ -371,7 +387,8 @@ def _sum_up(documents: pa.Table, counts: pa.Table) -> pa.Table:
         each = counts.column(column).to_numpy(zero_copy_only=False).astype(np.int64)[order][place] * times
         own[name] = np.diff(np.concatenate(([0], np.cumsum(each)))[upto])
     documents = documents.filter(pa.compute.is_valid(documents.column("parts")))
-    held = [np.frombuffer(p, "<u4") for p in documents.column("parts").to_pylist()]
+    held = [np.concatenate((np.frombuffer(p, "<u2"), np.frombuffer(r, "<u4")))
+            for p, r in zip(documents.column("parts").to_pylist(), documents.column("rare").to_pylist())]
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
     sums = {k: pa.array([int(v[h].sum()) for h in held], pa.int64()) for k, v in own.items()}
     return pa.table({**{n: documents.column(n) for n in names}, **sums, "groups_sha256": documents.column("groups_sha256")})
