@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_RANGES = 64
@@ -45,20 +45,36 @@ def with_ranges(df: DataFrame, order_col: str, group_cols: Sequence[str] = (),
     edges = df.groupBy(*group_cols).agg(
         F.array_sort(F.array_distinct(F.percentile_approx(key, F.array(*[F.lit(f) for f in fracs]), 10000)))
         .alias("_edges"))
-    step = max(1, round(b ** 0.5))
-    coarse = F.filter("_edges", lambda e, i: (i + 1) % step == 0)
+    edges = with_coarse(edges, "_edges", b)
     if group_cols:
-        tagged = df.join(F.broadcast(edges.withColumn("_coarse", coarse)), group_cols, "left")
+        tagged = df.join(F.broadcast(edges), group_cols, "left")
     else:
-        both = edges.select(F.struct("_edges", coarse.alias("_coarse")).alias("b")).scalar()
-        tagged = df.withColumn("_b", both).withColumn("_edges", F.col("_b._edges")).withColumn("_coarse", F.col("_b._coarse")).drop("_b")
-    # Two steps of about sqrt(edges) comparisons: every step-th edge, then the edges behind it.
-    none = F.array().cast("array<double>")
-    tagged = tagged.withColumn("_edges", F.coalesce("_edges", none))
-    skipped = F.size(F.filter(F.coalesce("_coarse", none), lambda e: e < key)) * step
-    tagged = tagged.withColumn("_skipped", skipped)
-    idx = F.col("_skipped") + F.size(F.filter(F.expr(f"slice(_edges, _skipped + 1, {step})"), lambda e: e < key))
-    return tagged.withColumn(range_col, idx).drop("_edges", "_coarse", "_skipped")
+        both = edges.select(F.struct("_edges", "_edges_coarse").alias("b")).scalar()
+        tagged = df.withColumn("_b", both).withColumns({c: F.col(f"_b.{c}") for c in ("_edges", "_edges_coarse")}).drop("_b")
+    return count_up_to(tagged, "_edges", key, b, range_col, equal=False).drop("_edges", "_edges_coarse")
+
+
+def _step(most: int) -> int:
+    return max(1, round(most ** 0.5))
+
+
+def with_coarse(edges: DataFrame, edges_col: str, most: int) -> DataFrame:
+    """Adds ``<edges_col>_coarse``, every so many-th edge, for ``count_up_to``."""
+    step = _step(most)
+    return edges.withColumn(f"{edges_col}_coarse", F.filter(edges_col, lambda e, i: (i + 1) % step == 0))
+
+
+def count_up_to(df: DataFrame, edges_col: str, key: Column, most: int, out_col: str, equal: bool = True) -> DataFrame:
+    """Adds ``out_col``: how many of the row's sorted edges (``most`` at most) lie up to ``key``, or below it.
+
+    In two steps of about sqrt(most) comparisons: the coarse edges (``with_coarse``), then those behind the last such.
+    A null list has no edges.
+    """
+    step, none = _step(most), F.array().cast("array<double>")
+    up_to = (lambda e: e <= key) if equal else (lambda e: e < key)
+    skipped = df.withColumn("_skipped", F.size(F.filter(F.coalesce(f"{edges_col}_coarse", none), up_to)) * step)
+    rest = F.coalesce(F.expr(f"slice({edges_col}, _skipped + 1, {step})"), none)
+    return skipped.withColumn(out_col, F.col("_skipped") + F.size(F.filter(rest, up_to))).drop("_skipped")
 
 
 def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],

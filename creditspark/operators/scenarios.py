@@ -2,9 +2,9 @@
 (P12, P13, O8-O12, O16).
 
 Scenarios are a handful of parameter sets. Instead of re-running the optimiser once per
-scenario (the reference builds a new optimiser per scenario), the portfolio is expanded with
-an inline generator over the scenario literals, so one scan feeds every scenario and the
-aggregates are keyed by scenario.
+scenario (the reference builds a new optimiser per scenario), all sweeps come from one small cube
+over the unstressed portfolio (``stress_cube``). ``expand_scenarios`` gives the stressed rows themselves
+where they are wanted.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ from creditspark.functions.economics import (
     DEFAULT_INTEREST_RATE,
     DEFAULT_LGD,
     DEFAULT_TERM_MONTHS,
+    EconomicParameters,
     breakeven_pd,
     enrich_columns,
 )
 from creditspark.operators import sweep as sw
-from creditspark.operators.quantiles import interpolate, order_statistics
+from creditspark.operators.quantiles import interpolate, order_statistics, rank_sketch
+from creditspark.operators.stress_cube import CubeScenario, scenario_sweeps
 
 
 @dataclass(frozen=True)
@@ -137,24 +139,40 @@ def evaluate_grouped(enriched: DataFrame, threshold: Column | float, group_cols:
         F.col("_pnl"), F.col("_pd_sum")))
 
 
+def _cube_scenario(key: int, s: Scenario, cutoffs: Sequence[float], bounds: tuple[float, float], term_months: int) -> CubeScenario:
+    return CubeScenario(key, float(s.pd_multiplier), float(s.interest_rate), s.shifted_cof(), s.shifted_lgd(), float(term_months), cutoffs, bounds)
+
+
+def _base_scenario(params: EconomicParameters, cutoffs: Sequence[float]) -> CubeScenario:
+    """The unstressed portfolio, as key -1."""
+    return CubeScenario(-1, 1.0, params.interest_rate, params.cost_of_funds, params.lgd, float(params.loan_term_months), cutoffs)
+
+
+def _against_base(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A row per scenario with its name and the base's row (key -1) as ``base``; a handful of rows."""
+    record = F.struct("threshold", "approval_rate", "expected_pnl")
+    base = F.max(F.when(F.col("scenario") == -1, record)).over(Window.partitionBy())
+    rows = rows.withColumn("base", base).where("scenario >= 0")
+    return rows.withColumn("scenario", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("scenario") + 1))
+
+
 def stress_fixed_cutoff(portfolio: DataFrame, scenarios: Sequence[Scenario] = FIXED_CUTOFF_SCENARIOS,
                         base_lgd: float = DEFAULT_LGD, grid_size: int = 500, mode: str = "default") -> DataFrame:
     """Hold the base optimal cutoff fixed and evaluate every scenario at it.
 
-    The base optimum (O3 on the unstressed portfolio) enters the scenario aggregate as scalar
-    subqueries, so the whole report is one lazy plan after the candidate-grid job.
+    The base optimum isn't known before the sweep, but it is one of the candidates: one cube holds the
+    base and all scenarios at every candidate, and the base's best row then picks the others'.
     """
-    from creditspark.functions.economics import EconomicParameters, enrich_portfolio
-
-    base = enrich_portfolio(portfolio, EconomicParameters(lgd=base_lgd), mode=mode)
-    opt = sw.optimize_threshold(base, grid_size)
-    # One scalar subquery carries the whole base optimum (one evaluation of the base sweep).
-    best = opt.select(F.struct(F.col("optimal_threshold").alias("t"),
-                               F.col("optimal_policy.expected_pnl").cast("double").alias("p"))).scalar()
-    t_star, base_pnl = best.getField("t"), best.getField("p")
-    expanded = expand_scenarios(portfolio, scenarios, mode=mode)
-    ev = evaluate_grouped(expanded, t_star, ["scenario"])
-    pnl = F.col("expected_pnl").cast("double")
+    params = EconomicParameters(lgd=base_lgd)
+    grid = sw.candidate_grid(portfolio, grid_size)
+    cubes = [_cube_scenario(i, s, grid, (0.0, 1.0), params.loan_term_months) for i, s in enumerate(scenarios)]
+    swept = scenario_sweeps(portfolio, [_base_scenario(params, grid), *cubes], mode)
+    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # The base's best row: highest P&L, then lowest cutoff (cutoffs x scenarios rows).
+    best = F.max(F.when(F.col("scenario") == -1, F.struct(F.col("expected_pnl"), -F.col("threshold")))).over(whole)
+    at_best = swept.withColumn("_best", -best.getField("col2")).where("threshold = _best").drop("_best")
+    ev = _against_base(at_best, [s.name for s in scenarios])
+    pnl, base_pnl = F.col("expected_pnl").cast("double"), F.col("base.expected_pnl").cast("double")
     return ev.select(
         "scenario", "threshold", "approved_count",
         sw.round_money("expected_pnl").alias("expected_pnl"),
@@ -166,22 +184,29 @@ def stress_fixed_cutoff(portfolio: DataFrame, scenarios: Sequence[Scenario] = FI
 
 
 def scenario_candidate_grids(portfolio: DataFrame, scenarios: Sequence[Scenario], grid_size: int,
-                             pd_bounds: tuple[float, float] = (0.0, 1.0)) -> dict[str, list[float]]:
-    """O2 per scenario, from one quantile pass over the unstressed PDs.
+                             pd_bounds: tuple[float, float] = (0.0, 1.0), base_grid: int | None = None) -> dict[str | None, list[float]]:
+    """O2 per scenario by name, and for the unstressed PDs as None where ``base_grid`` is given.
 
-    ``clip(pd * m)`` is monotone, so each scenario's order statistics are the base ones mapped
-    one by one; at most ``grid_size`` pairs of doubles reach the driver.
+    One selection over the unstressed PDs serves all: ``clip(pd * m)`` is monotone, so each scenario's
+    order statistics are the base ones mapped one by one; at most ``grid_size + base_grid`` pairs of doubles
+    reach the driver.
     """
-    n = int(portfolio.agg(F.count("pd").alias("n")).first()["n"])
+    sketch = rank_sketch(portfolio, "pd", grid_size + (base_grid or 0))
+    n = sketch.count()
+    sizes = {None: base_grid} if base_grid else {}
+    sizes |= {s.name: grid_size for s in scenarios}
     if n == 0:
-        return {s.name: sw.grid_from(0, 0.0, 0.0, [], grid_size) for s in scenarios}
-    rows = sorted(tuple(r) for r in order_statistics(portfolio, "pd", sw.linspace(0.0, 1.0, min(grid_size, n))).collect())
+        return {name: sw.grid_from(0, 0.0, 0.0, [], size) for name, size in sizes.items()}
+    fractions = {size: sw.linspace(0.0, 1.0, min(size, n)) for size in set(sizes.values())}
+    found = order_statistics(portfolio, "pd", sorted(set().union(*fractions.values())), sketch=sketch)
+    around = {r["fraction"]: (r["lower"], r["upper"], r["weight"]) for r in found.collect()}
     lo, hi = pd_bounds
+    stress = {s.name: lambda p, m=s.pd_multiplier: min(hi, max(lo, p * m)) for s in scenarios}
     grids = {}
-    for s in scenarios:
-        stressed = [(min(hi, max(lo, a * s.pd_multiplier)), min(hi, max(lo, b * s.pd_multiplier)), t) for _, a, b, t in rows]
-        quantiles = [interpolate(a, b, t) for a, b, t in stressed]
-        grids[s.name] = sw.grid_from(n, stressed[0][0], stressed[-1][1], quantiles, grid_size)
+    for name, size in sizes.items():
+        by = stress.get(name, lambda p: p)
+        quantiles = [interpolate(by(a), by(b), t) for a, b, t in map(around.get, fractions[size])]
+        grids[name] = sw.grid_from(n, quantiles[0], quantiles[-1], quantiles, size)
     return grids
 
 
@@ -191,37 +216,24 @@ def stress_reoptimized(portfolio: DataFrame, scenarios: Sequence[Scenario] = REO
                        term_months: int = DEFAULT_TERM_MONTHS) -> DataFrame:
     """Re-optimise the cutoff under every scenario; deltas against the base optimum.
 
-    All scenarios share one sweep over the union of their candidate grids (rows keyed by
-    scenario); each scenario then only competes over its own candidates.
+    One selection gives all candidate grids and one cube all sweeps, the base's among them; each
+    scenario competes over its own candidates.
     """
-    from creditspark.functions.economics import EconomicParameters, enrich_portfolio
-
-    spark = portfolio.sparkSession
-    base = enrich_portfolio(portfolio, EconomicParameters(loan_term_months=term_months), mode="override")
-    base_opt = sw.optimize_threshold(base, base_grid)
-    expanded = expand_scenarios(portfolio, scenarios, mode="override", pd_bounds=pd_bounds,
-                                term_months=term_months)
-    grids = scenario_candidate_grids(portfolio, scenarios, scenario_grid, pd_bounds)
-    union = sorted(set().union(*grids.values()))
-    swept = sw.policy_sweep(expanded, union, group_cols=["scenario"], groups=[(s.name,) for s in scenarios])
-    allowed = spark.createDataFrame([(s, t) for s, ts in grids.items() for t in ts],
-                                    "scenario string, threshold double")
-    # allowed: scenarios x candidates rows (bounded by the grid sizes).
-    own = swept.join(F.broadcast(allowed), ["scenario", "threshold"], "inner")
-    best = sw.best_policy(own, "expected_pnl", group_cols=["scenario"])
-    base_best = base_opt.select(F.struct(
-        F.col("optimal_threshold").alias("t"), F.col("optimal_policy.approval_rate").alias("r"),
-        F.col("optimal_policy.expected_pnl").cast("double").alias("p"))).scalar()
-    b_t, b_rate, b_pnl = base_best.getField("t"), base_best.getField("r"), base_best.getField("p")
+    params = EconomicParameters(loan_term_months=term_months)
+    grids = scenario_candidate_grids(portfolio, scenarios, scenario_grid, pd_bounds, base_grid)
+    cubes = [_cube_scenario(i, s, grids[s.name], pd_bounds, term_months) for i, s in enumerate(scenarios)]
+    swept = scenario_sweeps(portfolio, [_base_scenario(params, grids[None]), *cubes], "override")
+    best = _against_base(sw.best_policy(swept, "expected_pnl", group_cols=["scenario"]), [s.name for s in scenarios])
+    pnl = F.col("expected_pnl").cast("double") - F.col("base.expected_pnl").cast("double")
     return best.select(
         "scenario",
         F.bround("threshold", 10).alias("optimal_threshold"),
         "approved_count",
         F.bround("approval_rate", 6).alias("approval_rate"),
         sw.round_money("expected_pnl").alias("expected_pnl"),
-        F.bround((F.col("threshold") - b_t) * 100.0, 6).alias("delta_threshold_pp"),
-        F.bround((F.col("approval_rate") - b_rate) * 100.0, 6).alias("delta_approval_pp"),
-        F.bround(F.col("expected_pnl").cast("double") - b_pnl, 2).alias("delta_pnl"),
+        F.bround((F.col("threshold") - F.col("base.threshold")) * 100.0, 6).alias("delta_threshold_pp"),
+        F.bround((F.col("approval_rate") - F.col("base.approval_rate")) * 100.0, 6).alias("delta_approval_pp"),
+        F.bround(pnl, 2).alias("delta_pnl"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creditspark.functions.scorecard import FUNNEL_SCORECARD, scorecard_pd
+from creditspark.ml.isotonic import isotonic_blocks
 from creditspark.operators import metrics as mt
 from creditspark.plans.policy_queries import portfolio
 from creditspark.plans.registry import register
@@ -51,6 +52,26 @@ rm AS (SELECT score_name,
        FROM k GROUP BY score_name)"""
 
 
+# ------------------------------------------------------------------------------ M9
+
+ISOTONIC_SCORE = "FLOOR(pd * 1e3) / 1e3"
+
+
+@register("isotonic_calibration", oracle=f"""WITH {PORTFOLIO_CTE},
+d AS (SELECT {ISOTONIC_SCORE} AS x, COUNT(*) AS w, SUM(default_flag) AS s FROM portfolio GROUP BY 1),
+n AS (SELECT x, w, s, ROW_NUMBER() OVER (ORDER BY x) AS i, SUM(w) OVER (ORDER BY x) AS cw, SUM(s) OVER (ORDER BY x) AS cs FROM d),
+m AS (SELECT a.i AS a, b.i AS b, CAST(b.cs - a.cs + a.s AS DOUBLE) / CAST(b.cw - a.cw + a.w AS DOUBLE) AS mean FROM n a JOIN n b ON a.i <= b.i),
+l AS (SELECT a, b, MIN(mean) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM m),
+f AS (SELECT b AS i, MAX(least) AS v FROM l GROUP BY b)
+SELECT MIN(x) AS score_from, MAX(x) AS score_to, CAST(SUM(w) AS BIGINT) AS applications, ROUND_EVEN(v, 9) AS calibrated_pd
+FROM f JOIN n USING (i) GROUP BY v""")
+def q_isotonic_calibration(spark, sf_dir):
+    """The isotonic fit of defaults on scores in steps of 0.001; the oracle is its max-min formula."""
+    scored = portfolio(spark, sf_dir).select(F.expr(ISOTONIC_SCORE).cast("double").alias("score"), "default_flag")
+    return isotonic_blocks(scored, "score", "default_flag").select(
+        "score_from", "score_to", F.col("weight").cast("bigint").alias("applications"), F.bround("value", 9).alias("calibrated_pd"))
+
+
 @register("brier", oracle=f"""WITH {PORTFOLIO_CTE}, lg AS ({_long_sql(['scorecard'])})
 SELECT score_name, ROUND_EVEN(AVG(POW(label - score, 2)), 6) AS brier_score FROM lg GROUP BY score_name""")
 def q_brier(spark, sf_dir):

@@ -85,6 +85,31 @@ def test_exact_quantiles_nearest_rank(spark):
             assert got[f] == s[int(math.floor((n - 1) * f + 0.5))], (n, f)
 
 
+def test_quantiles_of_a_bracketed_column_read_few_values(spark):
+    """Only values inside brackets are kept by value; the brackets hold a few percent of the rows."""
+    from creditspark.operators import quantiles as q
+
+    rng = np.random.default_rng(9)
+    vals = rng.lognormal(size=40_000)
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double").repartition(11)
+    fr = [i / 10 for i in range(11)]
+    sketch = q.rank_sketch(df, "v", len(fr))
+    got = {r["fraction"]: r["quantile"] for r in exact_quantiles(df, "v", fr, sketch=sketch).collect()}
+    assert [got[f] for f in fr] == pytest.approx(list(np.quantile(vals, fr)), abs=0)
+    ranks = [q.target_ranks(len(vals), f, "linear")[:2] for f in fr]
+    starts, stops = q._joined([sketch.bracket((), low, high) for low, high in ranks])
+    inside = sum(sum(a <= v and (math.isnan(b) or v <= b) for a, b in zip(starts, stops)) for v in vals)
+    assert inside < 0.06 * len(vals)
+
+
+def test_quantiles_with_nan_and_hot_values(spark):
+    vals = [1.0] * 700 + [2.0] * 5 + [float("nan")] * 3
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "v double").repartition(5)
+    got = {r["fraction"]: r["quantile"] for r in exact_quantiles(df, "v", [0.0, 0.5, 0.99, 1.0], method="nearest").collect()}
+    assert (got[0.0], got[0.5], got[0.99]) == (1.0, 1.0, 1.0) and math.isnan(got[1.0])
+    assert exact_quantiles(df.limit(0), "v", [0.5]).collect() == []
+
+
 def test_prefix_sums_match_cumsum(spark):
     rng = random.Random(1)
     rows = [(float(rng.randint(0, 50)), float(rng.randint(1, 5))) for _ in range(500)]
