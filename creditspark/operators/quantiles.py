@@ -42,20 +42,23 @@ ACCURACY_PER_CELL = 4  # the sketch's rank error is a quarter of a cell
 
 @dataclass(frozen=True)
 class RankSketch:
-    """Per group: the row count and ``cells + 1`` edges, edge i within ``error`` ranks of ``i n / cells``."""
+    """Per group: how many rows, how many of them not NaN (``m``), and ``cells + 1`` edges of these, edge i
+    about ``i m / cells`` ranks above the least value."""
 
     cells: int
-    groups: dict[tuple, tuple[int, list[float]]]
+    groups: dict[tuple, tuple[int, int, list[float]]]
 
     def count(self, group: tuple = ()) -> int:
         return self.groups[group][0] if group in self.groups else 0
 
     def bracket(self, group: tuple, low: int, high: int) -> tuple[float, float]:
         """Values between which the 0-based ranks ``low`` and ``high`` lie, by the sketch's bound."""
-        n, edges = self.groups[group]
-        slack = n / (ACCURACY_PER_CELL * self.cells) + 2.0
-        below = math.floor((low - slack) / n * self.cells)
-        above = math.ceil((high + 1 + slack) / n * self.cells)
+        _, m, edges = self.groups[group]
+        if not m:
+            return -math.inf, math.nan
+        slack = m / (ACCURACY_PER_CELL * self.cells) + 2.0
+        below = min(self.cells, math.floor((low - slack) / m * self.cells))
+        above = math.ceil((high + 1 + slack) / m * self.cells)
         while below > 0 and not math.isfinite(edges[below]):  # brackets begin at finite values, or have no beginning
             below -= 1
         start = edges[below] if below > 0 else -math.inf
@@ -70,10 +73,11 @@ def rank_sketch(df: DataFrame, col: str, fractions: int, group_cols: Sequence[st
     """
     cells = max(1, int(cells)) if cells else max(LEAST_CELLS, CELLS_PER_FRACTION * fractions)
     value = F.col(col).cast("double")
+    number = F.when(~F.isnan(value), value)
     points = F.lit([i / cells for i in range(cells + 1)])
     rows = df.where(value.isNotNull()).groupBy(*group_cols).agg(
-        F.count(value).alias("n"), F.percentile_approx(value, points, ACCURACY_PER_CELL * cells).alias("edges")).collect()
-    return RankSketch(cells, {tuple(r[g] for g in group_cols): (int(r["n"]), list(r["edges"])) for r in rows if r["n"]})
+        F.count(value).alias("n"), F.count(number).alias("m"), F.percentile_approx(number, points, ACCURACY_PER_CELL * cells).alias("edges")).collect()
+    return RankSketch(cells, {tuple(r[g] for g in group_cols): (int(r["n"]), int(r["m"]), list(r["edges"] or ())) for r in rows if r["n"]})
 
 
 def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float],
