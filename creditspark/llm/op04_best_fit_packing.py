@@ -212,29 +212,32 @@ def place_pieces(scratch: Scratch, pieces: DataFrame, *, capacity: int = CAPACIT
     """``pieces`` (a written table with ``length``) with ``sequence_id`` and ``offset``.
 
     ``ties`` are columns that tell apart rows of one length; rows equal in all of them may swap
-    places. Other columns pass through. An empty table gives an empty one.
+    places. Other columns pass through under any names, but for ``sequence_id`` and ``offset``, which are
+    replaced. An empty table gives an empty one.
     """
     spark = pieces.sparkSession
     total = pieces.count()
     salts = min(_MOST_SALTS, max(1, -(-total // _ROWS_PER_SALT)))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*ties), F.lit(salts)))
-    counts = scratch.table(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    own = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    # Rows travel as one struct, so their columns may have any names.
+    salted = pieces.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), "length", F.pmod(F.xxhash64(*ties), F.lit(salts)).alias("salt"))
+    counts = scratch.table(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_slots(histogram, capacity)
     block = max(1024, total >> 20)  # ranks that meet a plan row by one key
     slots = spark.createDataFrame(plan, "length long, rank_from long, sequences long, each long, first_sequence long, at long")
     slots = slots.withColumn("rank_to", F.expr("rank_from + sequences * each"))
     slots = slots.withColumn("block", F.explode(F.expr(f"sequence(rank_from div {block}, (rank_to - 1) div {block})")))
 
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("length", "_salt").orderBy(*ties)
-    ranked = salted.withColumn("_row", F.row_number().over(inside) - 1).join(starts, ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_row")).withColumn("block", F.expr(f"_rank div {block}"))
-    placed = ranked.join(slots, ["length", "block"]).where("_rank >= rank_from and _rank < rank_to")
-    return placed.select(*[F.col(c) for c in pieces.columns],
-                         F.expr("first_sequence + (_rank - rank_from) div each").alias("sequence_id"),
-                         F.expr("at + (_rank - rank_from) % each * length").alias("offset"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("length", "salt").orderBy(*[F.col("row").getField(t) for t in ties])
+    ranked = salted.withColumn("rank", F.row_number().over(inside) - 1).join(starts, ["length", "salt"])
+    ranked = ranked.select("row", "length", (F.col("before") + F.col("rank")).alias("rank")).withColumn("block", F.expr(f"rank div {block}"))
+    placed = ranked.join(slots, ["length", "block"]).where("rank >= rank_from and rank < rank_to")
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in own],
+                         F.expr("first_sequence + (rank - rank_from) div each").alias("sequence_id"),
+                         F.expr("at + (rank - rank_from) % each * length").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY) -> DataFrame:

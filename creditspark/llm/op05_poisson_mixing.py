@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditspark.llm.scratch import Scratch
+from creditspark.llm.scratch import Scratch, free_name
 
 SEED = "mix-1"
 
@@ -24,6 +24,9 @@ def uniform_hash(*parts: F.Column) -> F.Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
 
 
+_ADDED = ("rate", "copies", "copy", "mix_key")
+
+
 def source_rates(docs: DataFrame, *, epochs: float = 1.0, power: float = 0.7, weights: dict[str, float] | None = None) -> DataFrame:
     """(source, n_docs, chars, rate): mean copies per document of each source.
 
@@ -61,12 +64,14 @@ def poisson_steps(rate: F.Column) -> F.Column:
 def poisson_copies(docs: DataFrame, rates: DataFrame, *, seed: str = SEED) -> DataFrame:
     """``docs`` with ``rate``, ``copies`` (how often each is drawn) and ``copy`` (1..copies), one row
     per copy; documents drawn 0 times give none. Order is not global yet."""
-    steps = rates.select(F.col("source").alias("_source"), "rate", poisson_steps(F.col("rate")).alias("_steps"))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in _ADDED])
+    names = {n: free_name(docs.columns, n) for n in ("_source", "_steps", "_u")}
+    steps = rates.select(F.col("source").alias(names["_source"]), "rate", poisson_steps(F.col("rate")).alias(names["_steps"]))
     steps = Scratch(docs.sparkSession, "mixing").table(steps, "steps")  # written, so that its true size decides the join
-    joined = docs.join(steps, docs["source"].eqNullSafe(steps["_source"]))
+    joined = docs.join(steps, docs["source"].eqNullSafe(steps[names["_source"]]))
     u = uniform_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    drawn = joined.withColumn("_u", u).withColumn("copies", F.expr("size(filter(_steps, p -> p <= _u))"))
-    return drawn.where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).drop("_steps", "_u", "_source")
+    drawn = joined.withColumn(names["_u"], u).withColumn("copies", F.expr(f"size(filter({names['_steps']}, p -> p <= {names['_u']}))"))
+    return drawn.where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).drop(*names.values())
 
 
 def mix_sources(docs: DataFrame, *, epochs: float = 1.0, power: float = 0.7, weights: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
@@ -75,9 +80,9 @@ def mix_sources(docs: DataFrame, *, epochs: float = 1.0, power: float = 0.7, wei
     ``mix_key`` is a uniform hash of seed, doc_id, text and copy; partitions are ranges of it and
     sorted, so rows in partition order are a global shuffle. Null texts have no characters and
     draw by their source's rate; rows equal in doc_id and text are drawn alike; an empty table
-    stays empty. Columns of those four names are replaced.
+    stays empty. Columns of those four names, in any letter case, are replaced; others may have any name.
     """
-    own = [c for c in docs.columns if c not in ("rate", "copies", "copy", "mix_key")]
+    own = [f"`{c}`" for c in docs.columns if c.lower() not in _ADDED]
     rates = source_rates(docs, epochs=epochs, power=power, weights=weights)
     rows = poisson_copies(docs.select(*own), rates, seed=seed)
     key = uniform_hash(F.lit(seed + "-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),

@@ -34,6 +34,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column has it (Spark's names don't tell letter case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def share_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, if that path exists there."""
     from pathlib import Path

@@ -300,3 +300,27 @@ def test_toxicity_edge_cases(spark):
     none = toxicity_scores(frame(spark, odd_rows()), labels.where("false")).collect()
     assert {r.score for r in none} == {0.5}
     assert frame(spark, [(None, "x", "s")]).select(is_held_out("doc_id").alias("h")).first().h is False
+
+
+def test_mixing_and_packing_with_clashing_names(spark, tmp_path):
+    """Columns named like the operators' own working columns pass through unchanged."""
+    from creditspark.llm.op04_best_fit_packing import place_pieces
+    from creditspark.llm.op05_poisson_mixing import mix_sources
+    from creditspark.llm.scratch import Scratch
+
+    names = ["_u", "_steps", "_source", "_target", "_SOURCE_", "a.b", "n_docs"]
+    rows = [(i, f"text {i} " * 5, "st"[i % 2], *[i * 10 + k for k in range(len(names))]) for i in range(40)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names]).withColumn("Rate", F.lit(9))
+    mixed = mix_sources(df)
+    assert mixed.columns == ["doc_id", "text", "source", *names, "rate", "copies", "copy", "mix_key"]
+    plain = mix_sources(df.select("doc_id", "text", "source"))
+    assert sorted(r["doc_id"] for r in mixed.collect()) == sorted(r["doc_id"] for r in plain.collect())
+    assert all(r["_u"] == r["doc_id"] * 10 and r["a.b"] == r["doc_id"] * 10 + 5 for r in mixed.collect())
+
+    names = ["block", "_rank", "rank_from", "each", "at", "salt", "row", "Rank_To", "x.y"]
+    rows = [(i, 0, 1 + i % 9, 7, *[i * 10 + k for k in range(len(names))]) for i in range(60)]
+    pieces = spark.createDataFrame(rows, ["doc_id", "piece", "length", "ids_crc32", *names]).withColumn("Offset", F.lit(-1))
+    placed = place_pieces(Scratch(spark, "clash"), pieces, capacity=20).collect()
+    assert len(placed) == 60 and all(r["block"] == r["doc_id"] * 10 and r["x.y"] == r["doc_id"] * 10 + 8 for r in placed)
+    slots = sorted((r["sequence_id"], r["offset"], r["length"]) for r in placed)
+    assert all(a[0] != b[0] and b[1] == 0 or a[1] + a[2] == b[1] for a, b in zip(slots, slots[1:]))
