@@ -19,10 +19,11 @@ DECISION_COLUMNS = ["application_id", "decision", "calibrated_pd", "expected_val
 
 
 def decision_frame(applicants: DataFrame, pd_col: str = "pd", with_factors: bool = True,
-                   factor_text: bool = True) -> DataFrame:
+                   factor_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Decision record per application (V3 defaults filled for absent fields).
 
-    ``policy_threshold`` (nullable) overrides the breakeven rule row by row.
+    ``policy_threshold`` (nullable) overrides the breakeven rule row by row. ``carry`` columns are
+    kept at the end.
     """
     df = with_applicant_defaults(applicants)
     pd = F.col(pd_col).cast("double")
@@ -51,7 +52,7 @@ def decision_frame(applicants: DataFrame, pd_col: str = "pd", with_factors: bool
             amount, F.col("monthly_income"), rate, cof, F.col("_pd"), F.col("_ev"), F.col("_be"),
             with_text=factor_text,
         ).alias("key_factors"))
-    return staged.select(*cols)
+    return staged.select(*cols, *carry)
 
 
 def exploded_factors(decisions: DataFrame) -> DataFrame:

@@ -96,6 +96,31 @@ def roc_curve(long: DataFrame) -> DataFrame:
                     (tpr - fpr).alias("ks_diff"))
 
 
+def roc_curve_points(long: DataFrame) -> DataFrame:
+    """M19, thinned: the curve's points without those on a straight line with even steps between their neighbours.
+
+    A point goes if the next distinct score has as many positives and as many negatives as its own, so that
+    the steps before and after it are equal; the first and the last one stay, and each curve starts at (0, 0) with
+    an infinite cutoff. Whether a point goes depends on the next one only: a window inside its value range, and
+    at the range's edge the first score of the next range (a table of ranges). What is left grows with the
+    curve's bends, and the area under it and the largest difference are those of all points.
+    """
+    dist = prefix_sums(score_counts(long), "score", ["pos", "neg"], group_cols=["score_name"], descending=True, keep_range=True)
+    step = F.struct("pos", "neg")
+    heads = dist.groupBy("score_name", "_range").agg(F.max_by(step, "score").alias("_head"))
+    after = heads.select("score_name", "_range", F.lead("_head").over(Window.partitionBy("score_name").orderBy("_range")).alias("_edge"))
+    inside = Window.partitionBy("score_name", "_range").orderBy(F.col("score").desc())
+    tot = _totals(dist)  # a row per score; after has a row per range: bounded broadcasts
+    x = dist.join(F.broadcast(after), ["score_name", "_range"]).join(F.broadcast(tot), "score_name")
+    x = x.withColumn("_next", F.coalesce(F.lead(step).over(inside), F.col("_edge")))
+    first = (F.col("pos_cum") == F.col("pos")) & (F.col("neg_cum") == F.col("neg"))
+    tpr, fpr = F.col("pos_cum") / F.col("P"), F.col("neg_cum") / F.col("N")
+    bends = x.where(F.col("_next").isNull() | first | (F.col("_next") != step)).select(
+        "score_name", F.col("score").alias("threshold"), tpr.alias("tpr"), fpr.alias("fpr"), (tpr - fpr).alias("ks_diff"))
+    start = tot.select("score_name", F.lit(float("inf")).alias("threshold"), *[F.lit(0.0).alias(c) for c in ("tpr", "fpr", "ks_diff")])
+    return start.unionByName(bends)
+
+
 def brier(long: DataFrame) -> DataFrame:
     """Mean squared error of the score."""
     s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")

@@ -109,6 +109,18 @@ def q_roc_curve(spark, sf_dir):
     return r.select("score_name", "threshold", *[F.bround(c, 6).alias(c) for c in ("tpr", "fpr", "ks_diff")])
 
 
+@register("roc_curve_points", oracle=_rank_sql(["scorecard", "dti_rule"]) + """,
+t AS (SELECT *, LEAD(pos) OVER w AS pos_next, LEAD(neg) OVER w AS neg_next, ROW_NUMBER() OVER w AS i FROM k
+      WINDOW w AS (PARTITION BY score_name ORDER BY score DESC))
+SELECT score_name, score AS threshold, ROUND_EVEN(pos_cum / CAST(P AS DOUBLE), 6) AS tpr,
+  ROUND_EVEN(neg_cum / CAST(N AS DOUBLE), 6) AS fpr, ROUND_EVEN(ksd, 6) AS ks_diff
+FROM t WHERE i = 1 OR pos_next IS NULL OR pos_next <> pos OR neg_next <> neg
+UNION ALL SELECT DISTINCT score_name, CAST('inf' AS DOUBLE), 0e0, 0e0, 0e0 FROM k""")
+def q_roc_curve_points(spark, sf_dir):
+    r = mt.roc_curve_points(long_scores(spark, sf_dir, ["scorecard", "dti_rule"]))
+    return r.select("score_name", "threshold", *[F.bround(c, 6).alias(c) for c in ("tpr", "fpr", "ks_diff")])
+
+
 def _bins_sql(names, n_bins: int = 10) -> str:
     return f"""WITH {PORTFOLIO_CTE},
 lg AS ({_long_sql(names)}),

@@ -53,6 +53,24 @@ def test_auc_matches_pairwise_brute_force(spark):
     assert r["auc"] == pytest.approx(brute, abs=1e-12)
 
 
+def test_thinned_curve_keeps_bends_area_and_ks(spark):
+    """Second differences over all points, by definition; area and largest difference stay."""
+    rng = random.Random(8)
+    y = [int(rng.random() < 0.4) for _ in range(600)]
+    p = [round(rng.random(), 2) + (0.3 if t else 0) if i % 2 else i / 1000 for i, t in enumerate(y)]
+    long = _long(spark, y, p)
+    cuts = sorted(set(p), reverse=True)
+    pos = [sum(t for t, q in zip(y, p) if q == c) for c in cuts]
+    neg = [sum(1 - t for t, q in zip(y, p) if q == c) for c in cuts]
+    kept = [i for i in range(len(cuts)) if i in (0, len(cuts) - 1) or (pos[i + 1], neg[i + 1]) != (pos[i], neg[i])]
+    rows = sorted(mt.roc_curve_points(long).collect(), key=lambda r: -r["threshold"])
+    assert [r["threshold"] for r in rows] == [float("inf")] + [cuts[i] for i in kept] and len(kept) < len(cuts)
+    area = sum((b["fpr"] - a["fpr"]) * (a["tpr"] + b["tpr"]) / 2 for a, b in zip(rows, rows[1:]))
+    whole = mt.rank_metrics(long).first()
+    assert area == pytest.approx(whole["auc"], abs=1e-12)
+    assert max(r["ks_diff"] for r in rows) == pytest.approx(whole["ks"], abs=1e-12)
+
+
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     vals = np.round(rng.normal(size=2000), 2)
