@@ -11,7 +11,7 @@ from creditspark.operators.decisioning import DECISION_COLUMNS, decision_frame,
 from creditspark.operators.sweep import money_sum
 from creditspark.plans.policy_queries import enriched, portfolio
 from creditspark.plans.registry import register
-from creditspark.plans.sql_base import PORTFOLIO_CTE, dec, enriched_cte, money
+from creditspark.plans.sql_base import PORTFOLIO_CTE, dec, enriched_cte, money, policy_select
 from creditspark.sources.portfolio import raw_applications
 
 # ------------------------------------------------------------------------------ V1-V3
@@ -220,3 +220,52 @@ def q_stream_decisions(spark, sf_dir):
     apps = vl.with_applicant_defaults(applicants(spark, sf_dir)).select(*[f.name for f in APPLICANT_SCHEMA.fields])
     write_portfolio(apps, f"{base}/source")
     return run_decision_stream(spark, f"{base}/source", f"{base}/sink", f"{base}/checkpoint")
+
+
+# ------------------------------------------------------------------------------ S3 / V5 in bulk, V8
+
+_PLANTED = ("CASE application_id % 10 WHEN 0 THEN 'unknown:nickname' WHEN 1 THEN 'type:loan_amount' WHEN 2 THEN 'type:historical_delinquencies' "
+            "WHEN 3 THEN 'missing:monthly_income' WHEN 4 THEN 'malformed' ELSE '' END")
+
+
+@register("record_ingestion", oracle=f"""WITH {PORTFOLIO_CTE}
+SELECT {_PLANTED} AS violations, CAST(COUNT(*) AS BIGINT) AS records,
+  ROUND_EVEN(CAST(SUM(CASE WHEN application_id % 10 >= 5 THEN loan_amount END) AS DOUBLE), 2) AS total_amount FROM portfolio GROUP BY 1""")
+def q_record_ingestion(spark, sf_dir):
+    """Applications as JSON lines, half of them with a planted fault, parsed strictly; totals by fault."""
+    from creditspark.sources.requests import parse_records
+    from creditspark.streaming.decisions import REQUEST_SCHEMA
+
+    p, i = portfolio(spark, sf_dir), F.col("application_id") % 10
+    fields = ["application_id", "monthly_income", "debt_to_income", "historical_delinquencies", "revolving_utilization", "loan_amount"]
+    plain = {c: F.col(c).cast("string") for c in fields}
+    plain["loan_amount"] = F.when(i == 1, F.concat(F.lit('"'), plain["loan_amount"], F.lit('"'))).otherwise(plain["loan_amount"])
+    plain["historical_delinquencies"] = F.when(i == 2, F.lit("1.5")).otherwise(plain["historical_delinquencies"])
+    parts = [F.when((i != 3) | F.lit(c != "monthly_income"), F.concat(F.lit(f'"{c}": '), v)) for c, v in plain.items()]
+    body = F.concat_ws(", ", *parts, F.when(i == 0, F.lit('"nickname": "x"')))
+    lines = p.select(F.concat(F.lit("{"), body, F.when(i == 4, F.lit("")).otherwise(F.lit("}"))).alias("value"))
+    found = parse_records(lines, REQUEST_SCHEMA, fields)
+    return found.groupBy(F.array_join("violations", ",").alias("violations")).agg(
+        F.count(F.lit(1)).alias("records"), F.bround(F.sum(F.when(F.size("violations") == 0, F.col("loan_amount"))), 2).alias("total_amount"))
+
+
+@register("output_invariants", oracle=lambda: f"""WITH {PORTFOLIO_CTE},
+{enriched_cte('default')},
+c AS (SELECT UNNEST([{', '.join(f'{k / 20!r}e0' for k in range(21))}]) AS threshold),
+pol AS ({policy_select()}),
+r AS (SELECT 'approved_count_ge_0' AS invariant, approved_count >= 0 AS ok FROM pol
+  UNION ALL SELECT 'total_applications_ge_0', total_applications >= 0 FROM pol UNION ALL SELECT 'total_exposure_ge_0', total_exposure >= 0 FROM pol
+  UNION ALL SELECT 'expected_loss_ge_0', expected_loss >= 0 FROM pol UNION ALL SELECT 'threshold_0_1', threshold BETWEEN 0 AND 1 FROM pol
+  UNION ALL SELECT 'approval_rate_0_1', approval_rate BETWEEN 0 AND 1 FROM pol UNION ALL SELECT 'expected_default_rate_0_1', expected_default_rate BETWEEN 0 AND 1 FROM pol
+  UNION ALL SELECT 'approved_count_le_total_applications', approved_count <= total_applications FROM pol)
+SELECT invariant, CAST(COUNT(*) AS BIGINT) AS checked, CAST(SUM(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS broken FROM r GROUP BY invariant""")
+def q_output_invariants(spark, sf_dir):
+    """V8: how many rows of a policy sweep break each output invariant."""
+    from creditspark.functions.invariants import PREFIX, invariant_counts
+    from creditspark.operators.sweep import policy_sweep
+
+    swept = policy_sweep(enriched(spark, sf_dir, "default"), [k / 20 for k in range(21)])
+    counts = swept.agg(*invariant_counts(swept.columns))
+    rules = [c for c in counts.columns if c.startswith(PREFIX)]
+    return counts.select("checked", F.inline(F.array(*[F.struct(F.lit(c.removeprefix(PREFIX)).alias("invariant"), F.col(c).alias("broken")) for c in rules]))
+                         ).select("invariant", "checked", "broken")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from creditspark.functions.invariants import observed, write_checked
 from creditspark.functions.validation import applicant_rules, validate, with_applicant_defaults
 from creditspark.ml.train import CalibratedModel
 from creditspark.operators.decisioning import DECISION_COLUMNS, decide, decision_frame
@@ -54,7 +55,7 @@ def rejected_stream(spark: SparkSession, source_dir: str, schema: T.StructType =
 def start_decision_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                           available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
     """Start the stream into a parquet sink (append mode, checkpointed)."""
-    writer = (decision_stream(spark, source_dir).writeStream.format("parquet")
+    writer = (observed(decision_stream(spark, source_dir)).writeStream.format("parquet")
               .option("checkpointLocation", checkpoint_dir).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time or "30 seconds")
     return writer.start(sink_dir)
@@ -90,9 +91,10 @@ def scored_decisions(model: CalibratedModel, requests: DataFrame) -> DataFrame:
 
 
 def write_scored_batch(model: CalibratedModel, batch: DataFrame, batch_id: int, sink_dir: str) -> None:
-    """The batch's rows under ``batch=<id>/outcome=...``; a repeated batch replaces what it wrote before."""
-    rows = scored_decisions(model, batch)
-    rows.write.mode("overwrite").partitionBy("outcome").parquet(f"{sink_dir.rstrip('/')}/batch={batch_id}")
+    """The batch's rows under ``batch=<id>/outcome=...``; a repeated batch replaces what it wrote before.
+
+    A batch that breaks an output invariant (V8) leaves nothing and fails the stream."""
+    write_checked(scored_decisions(model, batch), f"{sink_dir.rstrip('/')}/batch={batch_id}", ("outcome",))
 
 
 def start_scored_stream(spark: SparkSession, model: CalibratedModel, source_dir: str, sink_dir: str, checkpoint_dir: str,
