@@ -1,16 +1,16 @@
 """V8: output invariants checked while results are written.
 
 Counts, exposures and losses are never negative, rates lie in [0, 1], nothing approves more than it
-got. The conditions are counted by ``observe`` in the pass that writes or streams the result, so they cost
-no second one: ``write_checked`` raises when the write has ended and takes the broken output away,
-``InvariantListener`` stops a stream whose progress shows a broken row.
+got. The conditions are part of the pass that writes or streams the result, so they cost no second
+one: ``guarded`` rows raise where they are computed, and ``write_checked`` then takes the broken output away;
+streams carry counts in their progress (``observed``), and ``InvariantListener`` stops one that shows a broken
+row. (``Observation`` objects aren't used: a session that holds one can't run ML stages that keep the session.)
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -20,6 +20,7 @@ NOT_NEGATIVE = ["total_applications", "approved_count", "total_exposure", "reque
 RATES = ["threshold", "approval_rate", "expected_default_rate", "breakeven_pd", "calibrated_pd", "decision_threshold", "optimal_threshold"]
 AT_MOST = [("approved_count", "total_applications"), ("allocated_exposure", "requested_exposure")]
 PREFIX = "broken_"
+_MARK = "rows break output invariants: "
 
 
 class InvariantError(ValueError):
@@ -46,19 +47,28 @@ def broken(metrics: dict) -> dict[str, int]:
     return {k.removeprefix(PREFIX): int(n) for k, n in metrics.items() if k.startswith(PREFIX) and n}
 
 
-def write_checked(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> int:
-    """Write a result as parquet (replacing what is there) and check it; the number of rows.
+def guarded(df: DataFrame) -> DataFrame:
+    """The same rows; computing one that breaks an invariant raises an error that names it."""
+    rules = invariants(df.columns)
+    if not rules:
+        return df
+    names = F.array_join(F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()])), ", ")
+    return df.where(F.when(names == "", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(_MARK), names)).cast("boolean")))
+
+
+def write_checked(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Write a result as parquet, replacing what is there.
 
-    A broken result raises ``InvariantError`` and leaves no output.
+    A row that breaks an invariant raises ``InvariantError`` and leaves no output.
     """
-    seen = Observation(f"invariants-{uuid.uuid4().hex}")
-    writer = df.observe(seen, *invariant_counts(df.columns)).write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    metrics = seen.get
-    if found := broken(metrics):
+    writer = guarded(df).write.mode("overwrite")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    except PySparkException as error:
+        if _MARK not in str(error):
+            raise
         remove_path(df.sparkSession, path)
-        raise InvariantError(f"rows break output invariants: {found}")
-    return int(metrics["checked"])
+        raise InvariantError(_MARK + str(error).split(_MARK, 1)[1].split("\n")[0]) from None
 
 
 def observed(df: DataFrame, name: str = "invariants") -> DataFrame:
