@@ -7,7 +7,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from creditspark.functions.economics import EconomicParameters, enrich_portfolio
@@ -125,23 +125,28 @@ def simulate_portfolio(model: CalibratedModel, applications: DataFrame,
     """Calibrated score -> enrich (row terms and LGD, defaults where absent) -> evaluations at
     the cutoffs + optimum.
 
-    One row per evaluated cutoff (rounded as the simulation endpoint does) with the optimum
-    attached as scalar-subquery columns.
+    One row per evaluated cutoff (rounded as the simulation endpoint does) with the optimum: the
+    portfolio is scored once, and one sweep serves the cutoffs and the candidates.
     """
+    ensure_checkpoint_dir(applications.sparkSession)
     portfolio = model.score(applications, keep=("application_id",), out_col="pd",
                             carry=("loan_amount", "interest_rate", "cost_of_funds", "loan_term_months", "lgd"))
+    portfolio = portfolio.drop("predicted_label").checkpoint()  # scored once, for the grid's two scans and the sweep
     enriched = enrich_portfolio(portfolio, EconomicParameters(), mode="default")
-    evals = sw.round_policy(sw.policy_sweep(enriched, cutoffs))
-    opt = sw.optimize_threshold(enriched, grid_size)
-    best = opt.select(F.struct(
-        F.col("optimal_threshold").alias("t"), F.col("optimal_policy.expected_pnl").alias("p"),
-        F.col("baseline_policy_05.expected_pnl").alias("b"), F.col("incremental_pnl_vs_baseline").alias("i"))).scalar()
-    return evals.select(
-        "*",
-        F.bround(best.getField("t"), 4).alias("optimal_threshold"),
-        sw.round_money(best.getField("p")).alias("max_expected_pnl"),
-        sw.round_money(best.getField("b")).alias("baseline_05_pnl"),
-        sw.round_money(best.getField("i")).alias("incremental_pnl_vs_baseline"),
+    grid = sorted({*sw.candidate_grid(enriched, grid_size), 0.5})
+    asked = sw.validate_cutoffs(cutoffs)
+    swept = sw.policy_sweep(enriched, sorted({*grid, *asked}))
+    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # cutoffs: a bounded table
+    candidate, pnl = F.col("threshold").isin(grid), F.col("expected_pnl")
+    best = F.max(F.when(candidate, F.struct(pnl.alias("p"), (-F.col("threshold")).alias("t")))).over(whole)
+    naive = F.max(F.when(F.col("threshold") == 0.5, pnl)).over(whole)
+    swept = swept.withColumn("_best", best).withColumn("_naive", naive).where(F.col("threshold").isin(asked))
+    return sw.round_policy(swept).select(
+        *sw.POLICY_COLUMNS,
+        F.bround(-F.col("_best.t"), 4).alias("optimal_threshold"),
+        sw.round_money("_best.p").alias("max_expected_pnl"),
+        sw.round_money("_naive").alias("baseline_05_pnl"),
+        sw.round_money(F.col("_best.p") - F.col("_naive")).alias("incremental_pnl_vs_baseline"),
     )
 
 
