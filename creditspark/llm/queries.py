@@ -168,4 +168,5 @@ ORACLES = {
     "op6_jaccard_join": sql.OP6,
     "op9_itq_neardup": sql.OP9,
     "op10_preference_chat": sql.OP10,
+    "op12_viterbi_repair": sql.OP12,
 }

@@ -120,3 +120,52 @@ select m.conv_id, cast(m.n_common as int) as n_common, coalesce(p.shown, '') as
 from same m left join texts p on p.conv_id = m.conv_id and p.side = 0 and p.common
      left join texts a on a.conv_id = m.conv_id and a.side = 0 and not a.common left join texts b on b.conv_id = m.conv_id and b.side = 1 and not b.common
 """
+
+OP12 = r"""
+with recursive src as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), '') as letters from conversations),
+hashed as (
+  select *, xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), flatten(list_transform(letters, lambda c: [cast(ascii(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+         lambda a, x: case when x >= 0 then xor(a, x) else xor(a // 2, 3988292384 * (a % 2)) end)) % 20 as fault from src),
+turns as (
+  select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+         case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from hashed, unnest(range(case when fault = 3 then 2 else 1 end)) as t(copy) where fault <> 0),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') as said from turns),
+known as (
+  select *, lag(role) over (partition by conv_id order by i) as before, row_number() over (partition by conv_id, role, text order by i) as seen from placed),
+named as (
+  select *, case when said = '' then 'blank' when seen > 1 then 'duplicate' when right(said, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from known),
+counts as (
+  select conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+         count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (i > 1 and left(before, 1) || left(role, 1) not in ('su', 'ua', 'au')) as illegal from named group by conv_id),
+inserts as (select * from (values (0, 0, 0, '', cast([] as varchar[])), (0, 5, 2, 'I', ['user:']), (0, 10, 3, 'II', ['user:', 'assistant:']),
+  (1, 0, 1, '', []), (1, 5, 2, 'I', ['user:']), (1, 10, 3, 'II', ['user:', 'assistant:']), (2, 0, 2, '', []), (2, 5, 3, 'I', ['assistant:']),
+  (2, 10, 2, 'II', ['assistant:', 'user:']), (3, 0, 3, '', []), (3, 5, 2, 'I', ['user:']), (3, 10, 3, 'II', ['user:', 'assistant:'])) as t(state, price, opened, letters, lines)),
+moves as (select * from (values (0, 'K', 's', 1), (0, 'K', 'u', 2), (1, 'K', 'u', 2), (2, 'K', 'a', 3), (3, 'K', 'u', 2),
+  (0, 'R', '', 2), (1, 'R', '', 2), (2, 'R', '', 3), (3, 'R', '', 2), (0, 'D', '', 0), (1, 'D', '', 1), (2, 'D', '', 2), (3, 'D', '', 3)) as t(opened, edit, initial, state)),
+search as (
+  select conv_id, 0 as i, 0 as state, {'cost': 0, 'audit': '', 'lines': cast([] as varchar[])} as best from counts
+  union all
+  select conv_id, i, state, min(found) from (
+    select s.conv_id, r.i, m.state, {'cost': s.best.cost + g.price + case m.edit when 'D' then 2 when 'R' then 1 else 0 end
+             + case when m.edit <> 'D' and r.fault = 'truncated' then 5 else 0 end,
+           'audit': s.best.audit || g.letters || m.edit,
+           'lines': s.best.lines || g.lines || case m.edit when 'D' then [] when 'K' then [r.role || ':' || r.text]
+             else [case m.state when 2 then 'user:' else 'assistant:' end || r.text] end} as found
+    from search s join named r on r.conv_id is not distinct from s.conv_id and r.i = s.i + 1 join inserts g on g.state = s.state
+         join moves m on m.opened = g.opened and (m.edit = 'D' or r.fault in ('', 'truncated')) and (m.edit <> 'K' or m.initial = left(r.role, 1)))
+  group by conv_id, i, state),
+ended as (
+  select c.conv_id, min({'cost': s.best.cost + g.price, 'audit': s.best.audit || g.letters, 'lines': s.best.lines || g.lines}) as best
+  from counts c join search s on s.conv_id is not distinct from c.conv_id and s.i = c.n join inserts g on g.state = s.state and g.opened in (0, 3) group by c.conv_id)
+select o.conv_id, coalesce(c.gaps, 0) as gaps, coalesce(c.blank, 0) as blank, coalesce(c.duplicate, 0) as duplicate, coalesce(c.truncated, 0) as truncated,
+       coalesce(c.illegal, 0) as illegal, cast(coalesce(e.best.cost, 0) as bigint) as cost, coalesce(e.best.audit, '') as audit,
+       sha256(coalesce(array_to_string(e.best.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on c.conv_id is not distinct from o.conv_id
+     left join ended e on e.conv_id is not distinct from o.conv_id
+"""
