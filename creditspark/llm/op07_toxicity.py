@@ -1,21 +1,27 @@
 """Operator 7: toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 1. A bounded sample of labelled training rows (``EXAMPLES_PER_CLASS`` each, by hash of doc_id)
-   gives the vocabulary: words and word beginnings whose documents lean to one class beyond doubt
-   (Wilson bound), at most ``VOCABULARY`` of them.
-2. One pass over all documents writes each one's vocabulary terms with counts; document
-   frequencies for the IDF are counted over all of them.
-3. The examples' unit TF-IDF vectors form an inverted index whose postings are grouped in blocks of
+   spans the vector space: every word of every example is a term, none is left out. (Words of no
+   example can't be shared with one and have no weight.)
+2. One pass over all documents writes each one's terms with counts; document frequencies for the
+   IDF are counted over all of them.
+3. A term weighs ``(1 + ln tf) * idf * relevance``. The relevance is ``FLOOR`` plus what the z-score of
+   the term's log odds between the classes exceeds 2, so telling words weigh more; without it the
+   random words of long documents decide who is near (README has figures).
+4. The examples' unit vectors form an inverted index whose postings are grouped in blocks of
    examples with the block's largest weight per term. A query sums those maxima into a bound per
    block, scores blocks from the largest bound down and stops when no block can beat its k-th
    neighbour: exact results.
-4. Neighbours vote with weight ``1 / (distance + 0.05)``. The votes become probabilities by isotonic
-   regression on the examples' leave-one-out votes, weighted to the classes' true shares;
-   documents that share no term with an example get the share of such examples.
+5. Neighbours vote with weight ``1 / (distance + 0.05)``. The votes become probabilities by isotonic
+   regression, weighted to the classes' true shares. The votes it learns from are cross-fitted: each
+   half of the examples is searched for its own neighbours under a relevance that the other half
+   gave, so no label has a say in its own vote. Documents that share no term with an example get the
+   share of such examples.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -28,12 +34,10 @@ from pyspark.sql import functions as F
 
 from creditspark.llm.scratch import Scratch
 
-EXAMPLES_PER_CLASS = 6000
-VOCABULARY = 4096
+EXAMPLES_PER_CLASS = 2500  # labelled rows of each class to learn from
 NEIGHBOURS = 10
 BLOCK = 512  # examples in a block of the index
-LEAN = 0.78  # least share of a term's documents that its class must have, by its lower Wilson bound
-PREFIXES = (4, 5)  # lengths of word beginnings that count as terms
+FLOOR = 0.1  # relevance of a term that both classes use alike
 _WORDS = re.compile(r"\w+")
 
 
@@ -41,8 +45,13 @@ def words_of(text: str | None) -> Counter:
     return Counter(_WORDS.findall(text.lower())) if text else Counter()
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
+def relevance(vectors: list, toxic: np.ndarray, n_terms: int) -> np.ndarray:
+    """``FLOOR`` plus the excess over 2 of each term's absolute z-score (log odds of its document shares)."""
+    found = [np.bincount(np.concatenate([np.empty(0, np.int64), *(np.asarray(t, np.int64) for (t, _), y in zip(vectors, toxic) if y == side)]),
+                         minlength=n_terms) + 0.5 for side in (0, 1)]
+    size = [float((toxic == side).sum()) + 1 for side in (0, 1)]
+    z = np.log(found[1] / size[1] * size[0] / found[0]) / np.sqrt(1 / found[1] + 1 / found[0])
+    return FLOOR + np.maximum(0, np.abs(z) - 2)
 
 
 def is_held_out(doc_id) -> F.col:
@@ -77,10 +86,10 @@ class BlockMaxIndex:
             first = block * BLOCK
             if len(best) == k and bound[block] <= best[-1] + 1e-9 and first > at[-1]:
                 continue
-            score = np.zeros(BLOCK)
-            for cell, w in zip((cells + block).tolist(), weights.tolist()):
-                a, b = self.start[cell], self.start[cell + 1]
-                score[self.row[a:b] - first] += w * self.weight[a:b]
+            begin = self.start[cells + block]
+            n = self.start[cells + block + 1] - begin
+            at_posting = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            score = np.bincount(self.row[at_posting] - first, np.repeat(weights, n) * self.weight[at_posting], minlength=BLOCK)
             if first <= skip < first + BLOCK:
                 score[skip - first] = 0
             found = np.flatnonzero(score > (best[-1] - 1e-9 if len(best) == k else 0))
@@ -91,27 +100,40 @@ class BlockMaxIndex:
 
 
 class ToxicityModel:
-    """Vocabulary, IDF, index and calibration; plain arrays, broadcast to the tasks."""
+    """Term weights, index and calibration; plain arrays, broadcast to the tasks."""
 
     def __init__(self, ids: list, toxic: np.ndarray, vectors: list, idf: np.ndarray, class_weight: dict[int, float]):
-        self.idf, self.ids, self.toxic = idf, ids, toxic
-        units = [self.unit(t, c) for t, c in vectors]
-        used = [i for i, (t, _) in enumerate(units) if len(t)]
-        self.ids, self.toxic = [ids[i] for i in used], toxic[used]
-        units = [units[i] for i in used]
         weight = np.array([class_weight.get(int(y), 0.0) for y in toxic])
+        base = (weight[toxic == 1].sum() + 0.5) / (weight.sum() + 1.0)
+        half = np.arange(len(toxic)) % 2
+        votes = np.full(len(toxic), np.nan)
+        for side in (0, 1):
+            other = np.flatnonzero(half != side)
+            self._span(np.flatnonzero(half == side), toxic, vectors, idf * relevance([vectors[i] for i in other], toxic[other], len(idf)))
+            for at, (i, unit) in enumerate(self.members):
+                vote = self._vote(self.index.nearest(*unit, NEIGHBOURS, skip=at))
+                votes[i] = np.nan if vote is None else vote
+        known = ~np.isnan(votes)
+        self.knots = _isotonic(votes[known], toxic[known], weight[known], base)
+        self._span(np.arange(len(toxic)), toxic, vectors, idf * relevance(vectors, toxic, len(idf)))
+        used = [i for i, _ in self.members]
         rest = np.ones(len(toxic), bool)
         rest[used] = False
-        self.index = BlockMaxIndex(units, len(idf))
-        base = (weight[toxic == 1].sum() + 0.5) / (weight.sum() + 1.0)
+        self.ids = [ids[i] for i in used]
         self.alone = float((weight[rest & (toxic == 1)].sum() + base) / (weight[rest].sum() + 1.0))
-        votes = [self._vote(self.index.nearest(t, w, NEIGHBOURS, skip=i)) for i, (t, w) in enumerate(units)]
-        known = [i for i, v in enumerate(votes) if v is not None]
-        self.knots = _isotonic(np.array([votes[i] for i in known]), self.toxic[known], weight[used][known], base)
+        del self.members
+
+    def _span(self, rows: np.ndarray, toxic: np.ndarray, vectors: list, scale: np.ndarray) -> None:
+        """Index the given examples under term weights ``scale``; those without a weighing term stay out."""
+        self.scale = scale
+        units = [(i, self.unit(*vectors[i])) for i in rows.tolist()]
+        self.members = [(i, u) for i, u in units if len(u[0])]
+        self.toxic = toxic[[i for i, _ in self.members]]
+        self.index = BlockMaxIndex([u for _, u in self.members], len(scale))
 
     def unit(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
         terms = np.asarray(terms, np.int64)
-        weight = (1 + np.log(np.asarray(counts, float))) * self.idf[terms] if len(terms) else np.empty(0)
+        weight = (1 + np.log(np.asarray(counts, float))) * self.scale[terms] if len(terms) else np.empty(0)
         length = math.sqrt(float(weight @ weight))
         return (terms, weight / length) if length > 0 else (terms[:0], weight[:0])
 
@@ -143,14 +165,15 @@ def _isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, base:
     return np.array([p[0] / p[3] for p in pools]), np.array([min(1.0, max(0.0, p[1] / p[2])) for p in pools])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str | None = None) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str | None = None, *, examples_per_class: int = EXAMPLES_PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted, neighbours) for every row of ``docs``.
 
     ``docs``: doc_id, text; ``labels``: doc_id, toxic (0/1; null rows are ignored, a doc_id labelled
-    both ways is toxic, one without a document doesn't count). Labels are learned only from rows
+    both ways is toxic, one without a document doesn't count; a repeated doc_id's first text in order
+    is the example). At most ``examples_per_class`` rows of each class are examples. Labels are learned only from rows
     that aren't held out (crc32 of the id's digits, mod 5). ``neighbours`` is the evidence: the
-    nearest examples' doc_id, label and cosine. Null or empty texts, or such without vocabulary
-    terms, get the score of examples without terms; with no labels at all every score is 0.5.
+    nearest examples' doc_id, label and cosine. Null or empty texts, or such without a word of any
+    example, get the score of examples without terms; with no labels at all every score is 0.5.
     Repeated rows are scored alike; other columns are ignored; no documents give no rows. With
     ``key``, a long column of ``docs`` by which the caller knows its rows, the result has it too.
     """
@@ -164,84 +187,59 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str | None = None)
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     sample = None
     for value in (0, 1):
-        part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES_PER_CLASS)
+        part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples_per_class)
         sample = part if sample is None else sample.unionByName(part)
-    sample = scratch.table(sample, "sample")  # at most 2 * EXAMPLES_PER_CLASS rows, so it may be broadcast
-    examples = rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    examples = scratch.table(examples, "examples")
-
-    vocabulary = _vocabulary(examples)
+    sample = scratch.table(sample, "sample")  # at most 2 * examples_per_class rows, so it may be broadcast
+    chosen = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    chosen = scratch.table(chosen, "examples")
+    terms = scratch.table(chosen.select("text").mapInArrow(_distinct_words, "term string").distinct(), "terms")
+    vocabulary = sorted(terms.toArrow().column("term").to_pylist())  # the words of the sample
     number = spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, known_words = number.value, {}
+        place = number.value
         for batch in batches:
-            terms_col, counts_col = [], []
-            for text in batch.column("text"):
-                found: Counter = Counter()
-                for word, times in words_of(text.as_py()).items():
-                    at = known_words.get(word)
-                    if at is None:
-                        if len(known_words) > 200_000:
-                            known_words.clear()
-                        at = known_words[word] = tuple(place[t] for t in terms_of(word) if t in place)
-                    for t in at:
-                        found[t] += times
-                terms_col.append(sorted(found))
-                counts_col.append([found[t] for t in terms_col[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(terms_col, pa.list_(pa.int32())), pa.array(counts_col, pa.list_(pa.int32()))], ["row_key", "doc_id", "terms", "counts"])
+            found = [sorted((place[w], n) for w, n in words_of(text.as_py()).items() if w in place) for text in batch.column("text")]
+            rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
+            names = [n for n in batch.schema.names if n != "text"]
+            lists = [pa.array([[pair[k] for pair in row] for row in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*rest, *lists], [*names, "terms", "counts"])
 
     table = scratch.table(rows.mapInArrow(vectors, "row_key long, doc_id long, terms array<int>, counts array<int>"), "vectors")
     total = table.count()
     df = np.zeros(len(vocabulary))
-    for r in table.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        df[r["t"]] = r["count"]
+    counted = table.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # a row per word of the sample
+    df[counted.column("t").to_numpy()] = counted.column("count").to_numpy()
     idf = np.log((1 + total) / (1 + df)) + 1e-6
-    seen = table.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    seen = chosen.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").orderBy("doc_id").toPandas()
     had = seen["toxic"].value_counts().to_dict()
     weight = {y: totals[y] / had[y] for y in had}
     model = ToxicityModel(seen["doc_id"].tolist(), seen["toxic"].to_numpy(int), list(zip(seen["terms"], seen["counts"])), idf, weight)
+    scratch.drop("known", "examples", "terms")
     shared = spark.sparkContext.broadcast(model)
-    scratch.drop("known", "examples")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memory = shared.value, {}
         near_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
             scores, evidence = [], []
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-                key = (tuple(terms), tuple(counts))
-                if key not in memory:
-                    if len(memory) > 50_000:
+            for terms, counts in zip(batch.column("terms"), batch.column("counts")):
+                terms, counts = terms.values.to_numpy(zero_copy_only=False), counts.values.to_numpy(zero_copy_only=False)
+                seen_as = hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
+                if seen_as not in memory:
+                    if len(memory) > 5_000:
                         memory.clear()
                     value, near = m.score(terms, counts)
-                    memory[key] = value, [{"doc_id": m.ids[i], "toxic": int(m.toxic[i]), "cosine": s} for s, i in near]
-                scores.append(memory[key][0])
-                evidence.append(memory[key][1])
+                    memory[seen_as] = value, [{"doc_id": m.ids[i], "toxic": int(m.toxic[i]), "cosine": s} for s, i in near]
+                scores.append(memory[seen_as][0])
+                evidence.append(memory[seen_as][1])
             yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, near_type)], ["row_key", "doc_id", "score", "neighbours"])
 
     result = table.mapInArrow(scored, "row_key long, doc_id long, score double, neighbours array<struct<doc_id: long, toxic: int, cosine: double>>")
     return result.select(*([F.col("row_key").alias(key)] if key else []), "doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours")
 
 
-def _vocabulary(examples: DataFrame) -> list[str]:
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = (Counter(), Counter())
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                both[toxic].update({t for word in words_of(text) for t in terms_of(word)})
-            names = list(both[0].keys() | both[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in both)], ["term", "clean", "toxic"])
-
-    sizes = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
-    terms = (examples.select("text", "toxic").mapInArrow(counted, "term string, clean long, toxic long")
-             .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("clean + toxic >= 5"))
-    # rates per class stand for counts of equally large classes, so that a lean means something
-    even = {y: max(sizes.values()) / n for y, n in sizes.items()}
-    hits = F.greatest(F.col("clean") * even.get(0, 1.0), F.col("toxic") * even.get(1, 1.0))
-    n = F.col("clean") + F.col("toxic")
-    share = hits / (F.col("clean") * even.get(0, 1.0) + F.col("toxic") * even.get(1, 1.0))
-    z = 1.7
-    low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    kept = terms.withColumn("low", low).where(F.col("low") >= LEAN).orderBy(F.desc(F.col("low") * F.sqrt(n)), "term").limit(VOCABULARY)
-    return [r["term"] for r in kept.select("term").collect()]
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = {w for text in batch.column("text") for w in words_of(text.as_py())}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["term"])

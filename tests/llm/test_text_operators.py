@@ -1,9 +1,11 @@
 """Operators on documents against brute force, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -292,6 +294,53 @@ def test_toxicity_held_out_accuracy(spark):
     assert all(n.cosine > 0 for n in got[0].neighbours)
 
 
+def plain_neighbours(docs, labels):
+    """Ten nearest examples of each document, term weights and cosines by plain dictionaries."""
+    words = {i: Counter(re.findall(r"\w+", t.lower())) for i, t in docs}
+    df = Counter(w for found in words.values() for w in found)
+    examples = {i: t for i, t in labels.items() if zlib.crc32(str(i).encode()) % 5}
+    size = Counter(examples.values())
+    had = {y: Counter(w for i, t in examples.items() if t == y for w in words[i]) for y in (0, 1)}
+    scale = {}
+    for w in set(had[0]) | set(had[1]):
+        clean, toxic = had[0][w] + 0.5, had[1][w] + 0.5
+        z = math.log(toxic / (size[1] + 1) * (size[0] + 1) / clean) / math.sqrt(1 / toxic + 1 / clean)
+        scale[w] = (math.log((1 + len(docs)) / (1 + df[w])) + 1e-6) * (0.1 + max(0, abs(z) - 2))
+    units = {}
+    for i, found in words.items():
+        weight = {w: (1 + math.log(n)) * scale[w] for w, n in found.items() if w in scale}
+        length = math.sqrt(sum(v * v for v in weight.values()))
+        units[i] = {w: v / length for w, v in weight.items()}
+    near = {}
+    for i, unit in units.items():
+        cosines = {e: sum(v * units[e].get(w, 0) for w, v in unit.items()) for e in sorted(examples)}
+        near[i] = sorted(((c, e) for e, c in cosines.items() if c > 0), key=lambda pair: (-round(pair[0], 9), pair[1]))[:10]
+    return near, examples
+
+
+def test_toxicity_neighbours_by_brute_force(spark):
+    rows = toxic_rows(300)
+    labels = {i: t for i, _, t in rows if i % 3}
+    # a rare text of one toxic example, met again by a document without label
+    rows += [(1001, "Qwzx vbnm plok jhgf", 1), (1002, "qwzx vbnm plok jhgf", 1)]
+    labels[1001] = 1
+    assert zlib.crc32(b"1001") % 5
+    docs = [(i, t) for i, t, _ in rows]
+    got = {r.doc_id: r for r in toxicity_scores(frame(spark, [(i, t, "s") for i, t in docs]), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()}
+    want, examples = plain_neighbours(docs, labels)
+    assert set(got) == set(want)
+    for i, near in want.items():
+        have = [(n.cosine, n.doc_id) for n in got[i].neighbours]
+        assert np.allclose([c for c, _ in have], [c for c, _ in near], atol=1e-9)
+        last = near[-1][0] if near else 0
+        assert {e for c, e in have if c > last + 1e-9} == {e for c, e in near if c > last + 1e-9}
+        assert all(n.toxic == examples[n.doc_id] for n in got[i].neighbours)
+    assert got[1002].neighbours[0].doc_id == 1001 and abs(got[1002].neighbours[0].cosine - 1) < 1e-9
+    assert got[1002].score > min(r.score for r in got.values())
+    few = toxicity_scores(frame(spark, [(i, t, "s") for i, t in docs]), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), examples_per_class=5).collect()
+    assert len(few) == len(docs) and len({n.doc_id for r in few for n in r.neighbours}) <= 10
+
+
 def test_toxicity_edge_cases(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (999, 1), (6, 0)], "doc_id long, toxic int")
     got = toxicity_scores(frame(spark, odd_rows()), labels).collect()
