@@ -36,7 +36,9 @@ from creditspark.llm.scratch import Scratch
 
 EXAMPLES_PER_CLASS = 2500  # labelled rows of each class to learn from
 NEIGHBOURS = 10
-BLOCK = 512  # examples in a block of the index
+BLOCK = 1024  # examples in a block of the index
+FREQUENT = 16  # terms of at least one in so many examples are scored densely
+TOGETHER = 128  # documents whose frequent terms are scored at once
 FLOOR = 0.1  # relevance of a term that both classes use alike
 _WORDS = re.compile(r"\w+")
 
@@ -59,7 +61,12 @@ def is_held_out(doc_id) -> F.col:
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over sparse unit vectors of a bounded set of examples."""
+    """Exact top-k cosine over sparse unit vectors of a bounded set of examples.
+
+    Terms that at least one in ``FREQUENT`` examples has are kept as dense rows, whose part of the
+    cosines is found for many queries at once; a block's bound is the best of that part in the
+    block plus the largest weights of the other terms.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.size = len(vectors)
@@ -67,6 +74,12 @@ class BlockMaxIndex:
         term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int64)
         weight = np.concatenate([w for _, w in vectors] or [np.empty(0)])
         row = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
+        many = np.bincount(term, minlength=n_terms) * FREQUENT >= max(1, self.size)
+        self.place = np.where(many, np.cumsum(many) - 1, -1)  # a frequent term's dense row
+        self.dense = np.zeros((int(many.sum()), self.blocks * BLOCK))
+        of = many[term]
+        self.dense[self.place[term[of]], row[of]] = weight[of]
+        term, weight, row = term[~of], weight[~of], row[~of]
         order = np.lexsort((row, term))
         self.row, self.weight = row[order], weight[order]
         cell = term[order] * self.blocks + self.row // BLOCK
@@ -75,12 +88,26 @@ class BlockMaxIndex:
         np.maximum.at(self.peak, cell, self.weight)
         self.peak = self.peak.reshape(n_terms, self.blocks)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a cosine above 0; ties to the lower number."""
-        bound = weights @ self.peak[terms]
+    def frequent_part(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(queries, examples): what the frequent terms add to the cosines."""
+        q = np.zeros((len(queries), len(self.dense)))
+        for i, (terms, weights) in enumerate(queries):
+            place = self.place[terms]
+            q[i, place[place >= 0]] = weights[place >= 0]
+        return q @ self.dense
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, frequent: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """(cosine, example) of the k nearest with a cosine above 0; ties to the lower number.
+        ``frequent`` is the query's row of ``frequent_part``, if the caller has it."""
+        if frequent is None:
+            frequent = self.frequent_part([(terms, weights)])[0]
+        rare = self.place[terms] < 0
+        terms, weights = terms[rare], weights[rare]
+        base = frequent.reshape(self.blocks, BLOCK)
+        bound = weights @ self.peak[terms] + base.max(axis=1)
         best, at = np.empty(0), np.empty(0, np.int64)  # cosines and examples, nearest first
         cells = terms * self.blocks
-        for block in np.lexsort((np.arange(self.blocks), -bound)).tolist():
+        for block in np.argsort(-bound, kind="stable").tolist():
             if bound[block] <= 0 or len(best) == k and bound[block] < best[-1] - 1e-9:
                 break
             first = block * BLOCK
@@ -88,11 +115,19 @@ class BlockMaxIndex:
                 continue
             begin = self.start[cells + block]
             n = self.start[cells + block + 1] - begin
+            some = np.flatnonzero(n)
+            begin, n = begin[some], n[some]
             at_posting = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-            score = np.bincount(self.row[at_posting] - first, np.repeat(weights, n) * self.weight[at_posting], minlength=BLOCK)
+            score = base[block] + np.bincount(self.row[at_posting] - first, np.repeat(weights[some], n) * self.weight[at_posting], minlength=BLOCK)
             if first <= skip < first + BLOCK:
                 score[skip - first] = 0
-            found = np.flatnonzero(score > (best[-1] - 1e-9 if len(best) == k else 0))
+            if len(best) < k and BLOCK > 2 * k:  # what can't be among this block's own k first needn't be sorted
+                least = max(0.0, np.partition(score, -k)[-k] - 1e-9)
+            else:
+                least = best[-1] - 1e-9 if len(best) == k else 0
+            found = np.flatnonzero(score > least)
+            if not len(found):
+                continue
             best, at = np.concatenate((best, np.round(score[found], 12))), np.concatenate((at, first + found))
             keep = np.lexsort((at, -best))[:k]
             best, at = best[keep], at[keep]
@@ -143,10 +178,14 @@ class ToxicityModel:
         weight = np.array([1 / (1.05 - s) for s, _ in near])
         return float(weight @ self.toxic[[i for _, i in near]] / weight.sum())
 
-    def score(self, terms, counts) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(*self.unit(terms, counts), NEIGHBOURS)
-        vote = self._vote(near)
-        return (self.alone if vote is None else float(np.interp(vote, *self.knots))), near
+    def scores(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """(score, nearest examples) of each (terms, counts)."""
+        for i in range(0, len(counted), TOGETHER):
+            units = [self.unit(terms, counts) for terms, counts in counted[i:i + TOGETHER]]
+            for unit, frequent in zip(units, self.index.frequent_part(units)):
+                near = self.index.nearest(*unit, NEIGHBOURS, frequent=frequent)
+                vote = self._vote(near)
+                yield (self.alone if vote is None else float(np.interp(vote, *self.knots))), near
 
 
 def _isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
@@ -222,17 +261,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str | None = None,
         m, memory = shared.value, {}
         near_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
-            scores, evidence = [], []
+            if len(memory) > 5_000:
+                memory.clear()
+            asked, new = [], {}
             for terms, counts in zip(batch.column("terms"), batch.column("counts")):
                 terms, counts = terms.values.to_numpy(zero_copy_only=False), counts.values.to_numpy(zero_copy_only=False)
-                seen_as = hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
-                if seen_as not in memory:
-                    if len(memory) > 5_000:
-                        memory.clear()
-                    value, near = m.score(terms, counts)
-                    memory[seen_as] = value, [{"doc_id": m.ids[i], "toxic": int(m.toxic[i]), "cosine": s} for s, i in near]
-                scores.append(memory[seen_as][0])
-                evidence.append(memory[seen_as][1])
+                asked.append(hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest())
+                if asked[-1] not in memory:
+                    new[asked[-1]] = terms, counts
+            for name, (value, near) in zip(new, m.scores(list(new.values()))):
+                memory[name] = value, [{"doc_id": m.ids[i], "toxic": int(m.toxic[i]), "cosine": s} for s, i in near]
+            scores, evidence = [memory[name][0] for name in asked], [memory[name][1] for name in asked]
             yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, near_type)], ["row_key", "doc_id", "score", "neighbours"])
 
     result = table.mapInArrow(scored, "row_key long, doc_id long, score double, neighbours array<struct<doc_id: long, toxic: int, cosine: double>>")
