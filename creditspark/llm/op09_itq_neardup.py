@@ -5,12 +5,16 @@ the orthogonal Procrustes rotation); every vector gets a balanced binary code pe
 code is cut into substrings, one hash table per substring; vectors of a label that share a key are
 candidates, reranked by the cosine of the original vectors in double precision. A bucket is
 verified in blocks, so a cluster with a third of all vectors is many tasks; a pair that meets in
-several tables counts in the first only. Each vector length has its own rotations and buckets; of a
-length with at most ``BLOCK`` vectors all pairs of a label are compared. Tasks emit link counts and a spanning forest, no pairs.
+several tables counts in the first only. Each vector length has its own rotations and buckets. Keys
+grow with log2 of the largest label's vectors, so a bucket's chance members stay few at any size, and
+there are as many tables as the wanted recall takes with such keys. Tasks emit link counts and a
+spanning forest, no pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,15 +25,34 @@ from creditspark.llm.components import connected_components
 from creditspark.llm.scratch import Scratch
 
 SAMPLE_VECTORS = 20_000  # vectors that the rotations of a length are learned on, by hash of vec_id
-ROTATIONS = 3  # independent codes
-TABLES = 4  # substrings of each code; 64 bits in 4 keys of 16
+CODE_BITS = 64
+SPARE_BITS = 2  # key bits beyond log2 of the vectors: chance members of a bucket, a quarter of a vector
+LEAST_BITS = 8
+RECALL = 0.995  # share of the pairs at the threshold that some table is to find
+PRIOR = 256  # vectors at the origin that a sample's mean is drawn towards
 ITERATIONS = 30
 BLOCK = 512  # vectors of one side of a block
 
 
-def learn_rotations(sample: np.ndarray, bits: int, rotations: int = ROTATIONS, iterations: int = ITERATIONS):
-    """(mean, [projection]) with ``bits`` columns each: PCA, then iterative quantisation per seed."""
-    mean = sample.mean(axis=0)
+def table_plan(vectors: int, bits: int, cosine: float, recall: float = RECALL) -> tuple[int, int, int]:
+    """(key width, substrings of a code, rotations) for the largest number of vectors of one label.
+
+    Two vectors at angle a agree in a bit with probability 1 - a / pi, in a key with that to the width.
+    """
+    width = min(bits, max(LEAST_BITS, math.ceil(math.log2(max(2, vectors))) + SPARE_BITS))
+    meet = (1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi) ** width
+    tables = max(1, math.ceil(math.log(1 - recall) / math.log1p(-meet))) if meet < 1 else 1
+    parts = max(1, bits // width)
+    return width, parts, max(2, -(-tables // parts))
+
+
+def learn_rotations(sample: np.ndarray, bits: int, rotations: int, iterations: int = ITERATIONS):
+    """(mean, [projection]) with ``bits`` columns each: PCA, then iterative quantisation per seed.
+
+    The mean is drawn to the origin by ``PRIOR``: centred on their own mean, a few vectors that lie
+    close together would get opposite codes.
+    """
+    mean = sample.sum(axis=0) / (len(sample) + PRIOR)
     centred = sample - mean
     _, vectors = np.linalg.eigh(centred.T @ centred)
     basis = vectors[:, ::-1][:, :bits]
@@ -51,22 +74,23 @@ def pack_codes(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) ->
     return (signs.astype(np.uint64) << np.arange(signs.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def table_keys(codes: np.ndarray, bits: int, tables: int = TABLES) -> np.ndarray:
-    """(n, rotations * tables) substring keys of (n, rotations) codes."""
-    width = -(-bits // tables)
+def table_keys(codes: np.ndarray, width: int, parts: int) -> np.ndarray:
+    """(n, rotations * parts) keys of ``width`` bits of (n, rotations) codes."""
     low = np.uint64((1 << width) - 1)
-    parts = [codes[:, [r]] >> np.uint64(t * width) & low for r in range(codes.shape[1]) for t in range(tables)]
-    return np.hstack(parts).astype(np.int64)
+    keys = [codes[:, [r]] >> np.uint64(t * width) & low for r in range(codes.shape[1]) for t in range(parts)]
+    return np.hstack(keys).astype(np.int64)
 
 
-def near_vectors(vectors: DataFrame, *, cosine: float = 0.98) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for a table with ``vec_id``, ``embedding``, ``label``.
 
     Vectors link when their labels are equal and not null and their cosine is at least ``cosine``,
     if a table brings them together. Null, zero or non-finite vectors (or with null components)
-    link with nothing; vectors of different lengths don't link with each other. ``kept`` is true for a component's smallest vec_id. Rows that repeat a vec_id count as
-    one vector (any of its rows) and each gets the result; null vec_ids link with nothing. Empty
-    tables give empty results; other columns are ignored.
+    link with nothing; vectors of different lengths don't link with each other. ``kept`` is true for a
+    component's smallest vec_id. Rows that repeat a vec_id count as one vector (the usable one that is
+    least by label, then embedding) and each gets the result; null vec_ids link with nothing. Empty
+    tables give empty results; other columns are ignored. ``recall`` is the share of pairs just at
+    ``cosine`` that the tables are laid out to find; closer pairs are found more often, equal ones always.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neardup")
@@ -75,15 +99,17 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98) -> DataFrame:
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()
         & (F.size("embedding") > 0)
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        & F.exists("embedding", lambda x: x != 0)).dropDuplicates(["vec_id"])
+        & F.exists("embedding", lambda x: x != 0))
+    usable = usable.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding")
     usable = usable.withColumn("dims", F.size("embedding"))
-    sizes = {r["dims"]: r["count"] for r in usable.groupBy("dims").count().where("count > 1").collect()}
+    sizes = {r["dims"]: r["most"] for r in usable.groupBy("dims", "label").count().groupBy("dims").agg(F.max("count").alias("most")).where("most > 1").collect()}
     if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     models = {}
-    for dims in sorted(d for d, n in sizes.items() if n > BLOCK):
+    for dims, most in sorted(sizes.items()):
         taken = usable.where(F.col("dims") == dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_VECTORS).select("embedding").toPandas()
-        models[dims] = learn_rotations(_unit(np.stack(taken["embedding"].to_list())), min(64, dims))
+        width, parts, rotations = table_plan(most, min(CODE_BITS, dims), cosine, recall)
+        models[dims] = width, parts, *learn_rotations(_unit(np.stack(taken["embedding"].to_list())), min(CODE_BITS, dims), rotations)
         del taken
     model = spark.sparkContext.broadcast(models)
 
@@ -94,11 +120,8 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98) -> DataFrame:
             for dims in np.unique(widths).tolist():
                 at = np.flatnonzero(widths == dims)
                 x = _unit(batch.take(pa.array(at)).column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(at), dims))
-                if dims in model.value:
-                    mean, projections = model.value[dims]
-                    key = table_keys(np.column_stack([pack_codes(x, mean, p) for p in projections]), min(64, dims))
-                else:
-                    key = np.zeros((len(at), 1), np.int64)  # one table, one bucket
+                width, parts, mean, projections = model.value[dims]
+                key = table_keys(np.column_stack([pack_codes(x, mean, p) for p in projections]), width, parts)
                 for i, u, k in zip(at.tolist(), x, key):
                     unit[i], keys[i] = u, k
             yield pa.RecordBatch.from_arrays(

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from creditspark.llm.components import connected_components
-from creditspark.llm.op09_itq_neardup import learn_rotations, near_vectors, pack_codes
+from creditspark.llm.op09_itq_neardup import learn_rotations, near_vectors, pack_codes, table_plan
 from creditspark.llm.op10_preference_chat import preference_pairs
 from creditspark.llm.scratch import Scratch
 from creditspark.llm.queries import ORACLES, QUERIES
@@ -41,6 +41,36 @@ def test_recall_and_counts_against_brute_force(spark):
     assert all(got[got[i].component_id].component_id == got[i].component_id for i in got)
 
 
+@pytest.mark.parametrize("n, dims", [(40, 64), (500, 64), (600, 16), (4000, 64)])
+def test_tables_find_planted_pairs_at_every_size(spark, n, dims):
+    """Pairs just above the threshold, in tables of every size; all sizes go through the tables."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, dims)) + 0.3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, n, 4):  # the next vector at a cosine of 0.982
+        side = rng.normal(size=dims)
+        side -= side @ x[i] * x[i]
+        x[i + 1] = 0.982 * x[i] + np.sqrt(1 - 0.982 ** 2) * side / np.linalg.norm(side)
+    got = {r.vec_id: r for r in near_vectors(vectors(spark, [(i, v.tolist(), 3) for i, v in enumerate(x)])).collect()}
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert all(got[i].n_links <= near[i].sum() for i in range(n))
+    assert sum(r.n_links for r in got.values()) >= 0.95 * near.sum()
+
+
+def test_a_repeated_id_takes_its_least_row(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (2, [1.0, 0.0], 2), (3, [0.0, 1.0], 1), (4, [1.0, 0.0], 2)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(vectors(spark, rows)).collect())
+    assert got == [(1, 0, 1), (2, 1, 2), (2, 1, 2), (3, 1, 2), (4, 0, 4)]
+
+
+def test_keys_grow_with_the_table():
+    widths = [table_plan(n, 64, 0.98)[0] for n in (10, 1000, 10_000, 10**6, 10**9)]
+    assert widths == [8, 12, 16, 22, 32]
+    width, parts, rotations = table_plan(10**6, 64, 0.98)
+    assert width * parts <= 64 and parts * rotations > 12
+
+
 def test_odd_vectors_link_with_nothing(spark):
     one = [1.0] * 8
     rows = [(1, one, 1), (2, one, 1), (3, one, 2), (4, one, None), (5, None, 1), (6, [0.0] * 8, 1), (7, [float("nan")] + one[1:], 1),
