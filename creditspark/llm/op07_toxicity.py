@@ -275,6 +275,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str | None = None,
             yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, near_type)], ["row_key", "doc_id", "score", "neighbours"])
 
     result = table.mapInArrow(scored, "row_key long, doc_id long, score double, neighbours array<struct<doc_id: long, toxic: int, cosine: double>>")
+    result = scratch.table(result, "scores")
+    shared.destroy()  # each executor keeps a file of it
+    number.destroy()
+    scratch.drop("vectors", "sample")
     return result.select(*([F.col("row_key").alias(key)] if key else []), "doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours")
 
 
