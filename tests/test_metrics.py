@@ -230,3 +230,20 @@ def test_comparison_text(spark):
     assert mt.comparison_text(row).first()["summary"].splitlines() == [
         "Brier score: 0.20000 to 0.10000 (-50.00 %)", "Expected calibration error: 0.05000 to 0.04000 (-20.00 %)",
         "Largest calibration error: 0.30000 to 0.20000", "ROC-AUC change: +0.0100"]
+
+
+def test_column_quantiles_equal_exact_ones_in_shared_scans(spark):
+    from creditspark.operators.quantiles import column_quantiles, exact_quantiles
+
+    rng = np.random.default_rng(3)
+    rows = [(float(rng.normal()), float(rng.integers(0, 4)), None if i % 3 else float("nan"), None,
+             [float("-inf"), -0.0, 1.0, float("inf")][i % 4], None if i % 5 == 0 else i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f long").repartition(5)
+    fr = [0.0, 0.25, 0.5, 0.75, 1.0]
+    for cells in (None, 3):
+        got = column_quantiles(df, df.columns, fr, cells)
+        for c in df.columns:
+            want = {r["fraction"]: r["quantile"] for r in exact_quantiles(df.select(F.col(c).cast("double").alias(c)), c, fr).collect()}
+            assert got[c][0] == df.where(F.col(c).isNull()).count()
+            assert {k: repr(v) for k, v in got[c][1].items()} == {k: repr(v) for k, v in want.items()}, c
+    assert column_quantiles(df.limit(0), ["a", "d"], fr) == {"a": (0, {}), "d": (0, {})}
