@@ -157,3 +157,39 @@ def test_split_is_exact_and_keeps_copies_together(spark):
     for y in (0.0, 1.0):
         n = sum(1 for _, v in rows if v == y)
         assert abs(sizes[y, "train"] - int(0.6 * n)) <= 4 and abs(sizes[y, "validation"] - int(0.2 * n)) <= 5
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_benchmark_fits_read_a_written_split_with_statistics_taken_once(spark, monkeypatch):
+    from creditspark.plans import model_queries as mq
+
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def fit(train, spec=None, pre=None):
+        seen.append((_plan(train), pre))
+        raise Stop
+
+    monkeypatch.setattr(mq, "fit_pipeline", fit)
+    monkeypatch.setattr(mq, "_model", lambda *a: None)
+    with pytest.raises(Stop):
+        mq.q_benchmark_models(spark, SF_SMALL)
+    assert seen and all("Join" not in plan and "Window" not in plan and pre is not None for plan, pre in seen)
+
+
+def test_selection_bias_scores_each_row_once(spark, monkeypatch):
+    from creditspark.ml import train as tr
+    from creditspark.operators.audit import historical_rule
+
+    seen = []
+    bundle = tr.mt.metrics_bundle
+    monkeypatch.setattr(tr.mt, "metrics_bundle", lambda long: seen.append(_plan(long)) or bundle(long))
+    portfolio = derive_portfolio(spark, SF_SMALL)
+    rows = tr.selection_bias(portfolio, historical_rule(portfolio), ModelSpec(kind="logistic")).collect()
+    assert sorted(r["score_name"] for r in rows) == ["approved_only", "full_population"] and all(0 <= r["roc_auc"] <= 1 for r in rows)
+    assert "UDF" not in seen[0] and "Join" not in seen[0]
