@@ -1,6 +1,7 @@
 """Model pipeline: outputs, missing input, outliers, persistence, calibration errors."""
 
 import math
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,7 +177,7 @@ def test_benchmark_fits_read_a_written_split_with_statistics_taken_once(spark, m
         raise Stop
 
     monkeypatch.setattr(mq, "fit_pipeline", fit)
-    monkeypatch.setattr(mq, "_model", lambda *a: None)
+    monkeypatch.setattr(mq, "_model", lambda *a: SimpleNamespace(pipeline=None))
     with pytest.raises(Stop):
         mq.q_benchmark_models(spark, SF_SMALL)
     assert seen and all("Join" not in plan and "Window" not in plan and pre is not None for plan, pre in seen)
