@@ -48,12 +48,18 @@ def broken(metrics: dict) -> dict[str, int]:
 
 
 def guarded(df: DataFrame) -> DataFrame:
-    """The same rows; computing one that breaks an invariant raises an error that names it."""
+    """The same rows; computing the first column of one that breaks an invariant raises an error that names it.
+
+    The check is part of a column: a filter would be moved below the projections, and there all that it reads,
+    a model's score for one, would be computed once more for each mention.
+    """
     rules = invariants(df.columns)
     if not rules:
         return df
     names = F.array_join(F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()])), ", ")
-    return df.where(F.when(names == "", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(_MARK), names)).cast("boolean")))
+    first = df.schema[0]
+    error = F.raise_error(F.concat(F.lit(_MARK), names)).cast(first.dataType)
+    return df.withColumn(first.name, F.when(names == "", df[first.name]).otherwise(error))
 
 
 def write_checked(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:

@@ -72,3 +72,11 @@ def test_requests_are_read_once(spark, model, requests):
     plan = scored_decisions(model, requests)._jdf.queryExecution().optimizedPlan().toString()
     above, *below = plan.split("InMemoryRelation")
     assert len(below) == 1 and "Join" not in above and "Union" not in above
+
+
+def test_the_written_check_scores_no_row_again(spark, model, requests):
+    from creditspark.functions.invariants import guarded
+
+    decided = scored_decisions(model, requests)
+    calls = [df._jdf.queryExecution().optimizedPlan().toString().count("UDF(") for df in (decided, guarded(decided))]
+    assert calls[0] == calls[1] > 0
