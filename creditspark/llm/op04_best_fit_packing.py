@@ -26,7 +26,7 @@ from creditspark.llm.scratch import Scratch
 
 CAPACITY, END_ID = 4096, 1
 _CACHE_WORDS = 300_000  # chunks whose ids a worker remembers; more start the memory anew
-_BATCH_CHARS = 3_000_000  # texts encoded together
+_BATCH_CHARS = 1_500_000  # texts encoded together
 _RUN_CUT = r"(?:\A|[^\p{L}\p{N}])[,.][ \n]"  # a stop that does not follow a letter or digit
 _LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _ROWS_PER_SALT, _MOST_SALTS = 5_000, 4096  # rows of a salt where few salts suffice; more rows share the most salts
@@ -53,8 +53,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = "".join(f"|{re.escape(t.content)}" for t in self.tokenizer.get_added_tokens_decoder().values())
         self.odd = r"[^\x00-\x{FF}]|[\x01\x1c-\x1f\x{85}\x{A0}]" + special
-        self.light = Tokenizer.from_file(path)
-        self.light.normalizer = None
+        self.light = Tokenizer(self.tokenizer.model)  # without normalizer or added tokens; both share one model in memory
         self.light.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()

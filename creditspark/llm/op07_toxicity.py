@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditspark.llm.scratch import Scratch
+from creditspark.llm.shingles import text_slices
 
 EXAMPLES_PER_CLASS = 2500  # labelled rows of each class to learn from
 NEIGHBOURS = 10
 BLOCK = 1024  # examples in a block of the index
 FREQUENT = 16  # terms of at least one in so many examples are scored densely
 TOGETHER = 128  # documents whose frequent terms are scored at once
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 1_000  # of texts, of term lists, that a worker holds as Python objects at once
 FLOOR = 0.1  # relevance of a term that both classes use alike
 _WORDS = re.compile(r"\w+")
 
@@ -204,6 +206,23 @@ def _isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, base:
     return np.array([p[0] / p[3] for p in pools]), np.array([min(1.0, max(0.0, p[1] / p[2])) for p in pools])
 
 
+def term_lists(batches: Iterator[pa.RecordBatch], place: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """The batches with terms and counts in place of ``text``, a slice of the texts at a time."""
+    for whole in batches:
+        for batch in text_slices([whole], whole.schema.get_field_index("text"), SLICE_BYTES):
+            found = [sorted((place[w], n) for w, n in words_of(text.as_py()).items() if w in place) for text in batch.column("text")]
+            rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
+            names = [n for n in batch.schema.names if n != "text"]
+            lists = [pa.array([[pair[k] for pair in row] for row in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*rest, *lists], [*names, "terms", "counts"])
+
+
+def row_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str | None = None, *, examples_per_class: int = EXAMPLES_PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted, neighbours) for every row of ``docs``.
 
@@ -236,13 +255,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str | None = None,
     number = spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = number.value
-        for batch in batches:
-            found = [sorted((place[w], n) for w, n in words_of(text.as_py()).items() if w in place) for text in batch.column("text")]
-            rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
-            lists = [pa.array([[pair[k] for pair in row] for row in found], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*rest, *lists], [*names, "terms", "counts"])
+        return term_lists(batches, number.value)
 
     table = scratch.table(rows.mapInArrow(vectors, "row_key long, doc_id long, terms array<int>, counts array<int>"), "vectors")
     total = table.count()
@@ -260,7 +273,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str | None = None,
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memory = shared.value, {}
         near_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-        for batch in batches:
+        for batch in row_slices(batches):
             if len(memory) > 5_000:
                 memory.clear()
             asked, new = [], {}

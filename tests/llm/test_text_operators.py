@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from creditspark.llm import op07_toxicity as op07
 from creditspark.llm.op03_lz_fingerprint import PhraseParse, edited_fingerprints
 from creditspark.llm.op04_best_fit_packing import WordEncoder, pack_documents, packed_sequences, plan_slots, token_pieces
 from creditspark.llm.op05_poisson_mixing import mix_sources, source_rates
@@ -373,3 +374,25 @@ def test_mixing_and_packing_with_clashing_names(spark, tmp_path):
     assert len(placed) == 60 and all(r["block"] == r["doc_id"] * 10 and r["x.y"] == r["doc_id"] * 10 + 8 for r in placed)
     slots = sorted((r["sequence_id"], r["offset"], r["length"]) for r in placed)
     assert all(a[0] != b[0] and b[1] == 0 or a[1] + a[2] == b[1] for a, b in zip(slots, slots[1:]))
+
+
+def test_toxicity_holds_few_texts_at_once():
+    texts = ["word other " * 100] * 3000 + [None, "", "x" * 2_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = list(op07.term_lists(iter([batch]), {"word": 0, "other": 1}))
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert max(p.num_rows for p in parts) <= 1000
+    found = [(t, n) for p in parts for t, n in zip(p.column("terms").to_pylist(), p.column("counts").to_pylist())]
+    assert found == [([0, 1], [100, 100])] * 3000 + [([], [])] * 3
+    assert [p.num_rows for p in op07.row_slices(iter([batch]))] == [1000, 1000, 1000, 3]
+
+
+def test_shingles_are_hashed_in_small_slices(monkeypatch):
+    from creditspark.llm import shingles
+
+    texts = pa.array([f"a{i} b c d e f{i} " * 60 for i in range(3000)] + [None, "", "one two"])
+    alone = [s.tolist() for i in range(0, len(texts), 101) for s in shingle_sets(texts.slice(i, 1))]
+    seen, hashes = [], shingles.word_hashes
+    monkeypatch.setattr(shingles, "word_hashes", lambda data, offsets: seen.append(len(data)) or hashes(data, offsets))
+    assert [s.tolist() for s in shingle_sets(texts)][::101] == alone
+    assert len(seen) > 1 and max(seen) <= 500_000
