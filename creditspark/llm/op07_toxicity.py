@@ -51,8 +51,10 @@ def words_of(text: str | None) -> Counter:
 
 def relevance(vectors: list, toxic: np.ndarray, n_terms: int) -> np.ndarray:
     """``FLOOR`` plus the excess over 2 of each term's absolute z-score (log odds of its document shares)."""
-    found = [np.bincount(np.concatenate([np.empty(0, np.int64), *(np.asarray(t, np.int64) for (t, _), y in zip(vectors, toxic) if y == side)]),
-                         minlength=n_terms) + 0.5 for side in (0, 1)]
+    found = [np.full(n_terms, 0.5) for _ in (0, 1)]
+    for (terms, _), y in zip(vectors, toxic):
+        if y in (0, 1):
+            np.add.at(found[y], np.asarray(terms, np.int64), 1)
     size = [float((toxic == side).sum()) + 1 for side in (0, 1)]
     z = np.log(found[1] / size[1] * size[0] / found[0]) / np.sqrt(1 / found[1] + 1 / found[0])
     return FLOOR + np.maximum(0, np.abs(z) - 2)
@@ -62,6 +64,16 @@ def is_held_out(doc_id) -> F.col:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def _end_to_end(vectors: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """All terms, all weights; four bytes hold a term of a bounded sample."""
+    lengths = [len(t) for t, _ in vectors]
+    term, weight, at = np.empty(sum(lengths), np.int32), np.empty(sum(lengths)), 0
+    for (t, w), n in zip(vectors, lengths):
+        term[at:at + n], weight[at:at + n] = t, w
+        at += n
+    return term, weight
+
+
 class BlockMaxIndex:
     """Exact top-k cosine over sparse unit vectors of a bounded set of examples.
 
@@ -73,18 +85,19 @@ class BlockMaxIndex:
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.size = len(vectors)
         self.blocks = max(1, -(-self.size // BLOCK))
-        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int64)
-        weight = np.concatenate([w for _, w in vectors] or [np.empty(0)])
-        row = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
+        term, weight = _end_to_end(vectors)
+        row = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in vectors])
         many = np.bincount(term, minlength=n_terms) * FREQUENT >= max(1, self.size)
         self.place = np.where(many, np.cumsum(many) - 1, -1)  # a frequent term's dense row
         self.dense = np.zeros((int(many.sum()), self.blocks * BLOCK))
         of = many[term]
         self.dense[self.place[term[of]], row[of]] = weight[of]
-        term, weight, row = term[~of], weight[~of], row[~of]
-        order = np.lexsort((row, term))
+        rare = np.flatnonzero(~of)
+        order = rare[np.argsort(term[rare], kind="stable")]  # rows rise already
+        del of, rare
         self.row, self.weight = row[order], weight[order]
-        cell = term[order] * self.blocks + self.row // BLOCK
+        cell = term[order].astype(np.int64) * self.blocks + self.row // BLOCK
+        del term, weight, row, order
         self.start = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
         self.peak = np.zeros(n_terms * self.blocks)
         np.maximum.at(self.peak, cell, self.weight)
@@ -108,7 +121,7 @@ class BlockMaxIndex:
         base = frequent.reshape(self.blocks, BLOCK)
         bound = weights @ self.peak[terms] + base.max(axis=1)
         best, at = np.empty(0), np.empty(0, np.int64)  # cosines and examples, nearest first
-        cells = terms * self.blocks
+        cells = terms.astype(np.int64) * self.blocks
         for block in np.argsort(-bound, kind="stable").tolist():
             if bound[block] <= 0 or len(best) == k and bound[block] < best[-1] - 1e-9:
                 break
@@ -162,9 +175,11 @@ class ToxicityModel:
 
     def _span(self, rows: np.ndarray, toxic: np.ndarray, vectors: list, scale: np.ndarray) -> None:
         """Index the given examples under term weights ``scale``; those without a weighing term stay out."""
-        self.scale = scale
-        units = [(i, self.unit(*vectors[i])) for i in rows.tolist()]
-        self.members = [(i, u) for i, u in units if len(u[0])]
+        self.scale, self.index, self.members = scale, None, []  # one index at a time: the driver has little memory
+        for i in rows.tolist():
+            terms, weights = self.unit(*vectors[i])
+            if len(terms):
+                self.members.append((i, (terms.astype(np.int32), weights)))
         self.toxic = toxic[[i for i, _ in self.members]]
         self.index = BlockMaxIndex([u for _, u in self.members], len(scale))
 
@@ -217,6 +232,16 @@ def term_lists(batches: Iterator[pa.RecordBatch], place: dict[str, int]) -> Iter
             yield pa.RecordBatch.from_arrays([*rest, *lists], [*names, "terms", "counts"])
 
 
+def list_pairs(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, counts) of each row, as views of the table's own memory."""
+    pairs = []
+    for batch in table.to_batches():
+        lists = [batch.column(name) for name in ("terms", "counts")]
+        flat, offsets = [x.values.to_numpy() for x in lists], [x.offsets.to_numpy() for x in lists]
+        pairs += [tuple(f[o[i]:o[i + 1]] for f, o in zip(flat, offsets)) for i in range(batch.num_rows)]
+    return pairs
+
+
 def row_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, rows):
@@ -252,23 +277,28 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str | None = None,
     chosen = scratch.table(chosen, "examples")
     terms = scratch.table(chosen.select("text").mapInArrow(_distinct_words, "term string").distinct(), "terms")
     vocabulary = sorted(terms.toArrow().column("term").to_pylist())  # the words of the sample
+    n_terms = len(vocabulary)
     number = spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
+    del vocabulary
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return term_lists(batches, number.value)
 
     table = scratch.table(rows.mapInArrow(vectors, "row_key long, doc_id long, terms array<int>, counts array<int>"), "vectors")
     total = table.count()
-    df = np.zeros(len(vocabulary))
+    df = np.zeros(n_terms)
     counted = table.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # a row per word of the sample
     df[counted.column("t").to_numpy()] = counted.column("count").to_numpy()
     idf = np.log((1 + total) / (1 + df)) + 1e-6
-    seen = chosen.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").orderBy("doc_id").toPandas()
-    had = seen["toxic"].value_counts().to_dict()
+    del counted, df
+    seen = chosen.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").orderBy("doc_id").toArrow()
+    ids, toxic = seen.column("doc_id").to_pylist(), seen.column("toxic").to_numpy().astype(int)
+    had = Counter(toxic.tolist())
     weight = {y: totals[y] / had[y] for y in had}
-    model = ToxicityModel(seen["doc_id"].tolist(), seen["toxic"].to_numpy(int), list(zip(seen["terms"], seen["counts"])), idf, weight)
+    model = ToxicityModel(ids, toxic, list_pairs(seen), idf, weight)
     scratch.drop("known", "examples", "terms")
     shared = spark.sparkContext.broadcast(model)
+    del seen, model  # the workers have it; the driver's Python needn't hold it while they score
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memory = shared.value, {}

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -396,3 +397,16 @@ def test_shingles_are_hashed_in_small_slices(monkeypatch):
     monkeypatch.setattr(shingles, "word_hashes", lambda data, offsets: seen.append(len(data)) or hashes(data, offsets))
     assert [s.tolist() for s in shingle_sets(texts)][::101] == alone
     assert len(seen) > 1 and max(seen) <= 500_000
+
+
+def test_toxicity_model_is_built_in_little_memory():
+    rng = np.random.default_rng(5)
+    n_terms, n = 30_000, 2_500
+    vectors = [(np.sort(rng.choice(n_terms, 200, replace=False)).astype(np.int32), rng.integers(1, 4, 200, dtype=np.int32)) for _ in range(n)]
+    toxic = np.arange(n) % 5 // 4
+    tracemalloc.start()
+    model = op07.ToxicityModel(list(range(n)), toxic, vectors, np.ones(n_terms), {0: 1.0, 1: 1.0})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.index.size == n and len(model.index.row) == 200 * n
+    assert peak < 80 * 200 * n  # bytes for each term of each example; the driver builds it
