@@ -26,6 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +38,20 @@ from creditspark.llm.shingles import text_slices
 
 EXAMPLES_PER_CLASS = 2500  # labelled rows of each class to learn from
 NEIGHBOURS = 10
-BLOCK = 1024  # examples in a block of the index
+BLOCK = 5120  # examples in a block of the index, at most; smaller ones seldom spare a document a block (README)
 FREQUENT = 16  # terms of at least one in so many examples are scored densely
 TOGETHER = 128  # documents whose frequent terms are scored at once
 SLICE_BYTES, SLICE_ROWS = 1_000_000, 1_000  # of texts, of term lists, that a worker holds as Python objects at once
 FLOOR = 0.1  # relevance of a term that both classes use alike
 _WORDS = re.compile(r"\w+")
+_ASCII_WORDS = bytes(ord(chr(c).lower()) if c < 128 and re.match(r"\w", chr(c)) else 32 for c in range(256))
 
 
-def words_of(text: str | None) -> Counter:
-    return Counter(_WORDS.findall(text.lower())) if text else Counter()
+def words_of(text: str | None) -> list[str]:
+    """The words of the text in lower case, in order; an ASCII text is translated byte by byte, which finds the same."""
+    if not text:
+        return []
+    return text.encode().translate(_ASCII_WORDS).decode().split() if text.isascii() else _WORDS.findall(text.lower())
 
 
 def relevance(vectors: list, toxic: np.ndarray, n_terms: int) -> np.ndarray:
@@ -84,19 +89,20 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.size = len(vectors)
-        self.blocks = max(1, -(-self.size // BLOCK))
+        self.width = max(1, min(BLOCK, self.size))
+        self.blocks = max(1, -(-self.size // self.width))
         term, weight = _end_to_end(vectors)
         row = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in vectors])
         many = np.bincount(term, minlength=n_terms) * FREQUENT >= max(1, self.size)
         self.place = np.where(many, np.cumsum(many) - 1, -1)  # a frequent term's dense row
-        self.dense = np.zeros((int(many.sum()), self.blocks * BLOCK))
+        self.dense = np.zeros((int(many.sum()), self.blocks * self.width))
         of = many[term]
         self.dense[self.place[term[of]], row[of]] = weight[of]
         rare = np.flatnonzero(~of)
         order = rare[np.argsort(term[rare], kind="stable")]  # rows rise already
         del of, rare
         self.row, self.weight = row[order], weight[order]
-        cell = term[order].astype(np.int64) * self.blocks + self.row // BLOCK
+        cell = term[order].astype(np.int64) * self.blocks + self.row // self.width
         del term, weight, row, order
         self.start = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
         self.peak = np.zeros(n_terms * self.blocks)
@@ -118,29 +124,32 @@ class BlockMaxIndex:
             frequent = self.frequent_part([(terms, weights)])[0]
         rare = self.place[terms] < 0
         terms, weights = terms[rare], weights[rare]
-        base = frequent.reshape(self.blocks, BLOCK)
+        base = frequent.reshape(self.blocks, self.width)
         bound = weights @ self.peak[terms] + base.max(axis=1)
         best, at = np.empty(0), np.empty(0, np.int64)  # cosines and examples, nearest first
         cells = terms.astype(np.int64) * self.blocks
         for block in np.argsort(-bound, kind="stable").tolist():
             if bound[block] <= 0 or len(best) == k and bound[block] < best[-1] - 1e-9:
                 break
-            first = block * BLOCK
+            first = block * self.width
             if len(best) == k and bound[block] <= best[-1] + 1e-9 and first > at[-1]:
                 continue
             begin = self.start[cells + block]
             n = self.start[cells + block + 1] - begin
-            some = np.flatnonzero(n)
-            begin, n = begin[some], n[some]
-            at_posting = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-            score = base[block] + np.bincount(self.row[at_posting] - first, np.repeat(weights[some], n) * self.weight[at_posting], minlength=BLOCK)
-            if first <= skip < first + BLOCK:
+            end = n.cumsum()
+            posting = (begin - end + n).repeat(n)
+            posting += np.arange(len(posting))
+            added = weights.repeat(n)
+            added *= self.weight.take(posting)
+            row = self.row.take(posting)
+            score = base[block] + np.bincount(row - first if first else row, added, minlength=self.width)
+            if first <= skip < first + self.width:
                 score[skip - first] = 0
-            if len(best) < k and BLOCK > 2 * k:  # what can't be among this block's own k first needn't be sorted
+            if len(best) < k and self.width > 2 * k:  # what can't be among this block's own k first needn't be sorted
                 least = max(0.0, np.partition(score, -k)[-k] - 1e-9)
             else:
                 least = best[-1] - 1e-9 if len(best) == k else 0
-            found = np.flatnonzero(score > least)
+            found = (score > least).nonzero()[0]
             if not len(found):
                 continue
             best, at = np.concatenate((best, np.round(score[found], 12))), np.concatenate((at, first + found))
@@ -225,10 +234,17 @@ def term_lists(batches: Iterator[pa.RecordBatch], place: dict[str, int]) -> Iter
     """The batches with terms and counts in place of ``text``, a slice of the texts at a time."""
     for whole in batches:
         for batch in text_slices([whole], whole.schema.get_field_index("text"), SLICE_BYTES):
-            found = [sorted((place[w], n) for w, n in words_of(text.as_py()).items() if w in place) for text in batch.column("text")]
+            words = [words_of(text) for text in batch.column("text").to_pylist()]
+            many = np.fromiter(map(len, words), np.int64, len(words))
+            known = map(place.get, chain.from_iterable(words), repeat(-1))
+            term = np.fromiter(known, np.int64, int(many.sum()))
+            of = np.arange(len(words)).repeat(many)[term >= 0]
+            cell, counts = np.unique(of * max(1, len(place)) + term[term >= 0], return_counts=True)  # by row, then term
+            row, term = np.divmod(cell, max(1, len(place)))
+            offsets = pa.array(np.searchsorted(row, np.arange(len(words) + 1)), pa.int32())
             rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
             names = [n for n in batch.schema.names if n != "text"]
-            lists = [pa.array([[pair[k] for pair in row] for row in found], pa.list_(pa.int32())) for k in (0, 1)]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32())) for values in (term, counts)]
             yield pa.RecordBatch.from_arrays([*rest, *lists], [*names, "terms", "counts"])
 
 

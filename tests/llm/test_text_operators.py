@@ -410,3 +410,37 @@ def test_toxicity_model_is_built_in_little_memory():
     tracemalloc.stop()
     assert model.index.size == n and len(model.index.row) == 200 * n
     assert peak < 80 * 200 * n  # bytes for each term of each example; the driver builds it
+
+
+def test_toxicity_words_are_the_same_by_bytes_and_by_pattern():
+    text = "".join(f"Ab{chr(c)}9_" for c in range(128))
+    assert text.isascii() and op07.words_of(text) == re.findall(r"\w+", text.lower())
+    for other in ("Größe\u2028İI ça_va ١٢ Ǆ.x", "\x85a\xa0B", None, ""):
+        assert op07.words_of(other) == re.findall(r"\w+", (other or "").lower())
+
+
+def test_toxicity_terms_are_counted_for_a_slice_at_once(monkeypatch):
+    texts = ["b a B c", None, "x", "", "C c. a"] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(250)), pa.array(texts)], ["doc_id", "text"])
+    calls, unique = [], np.unique
+    monkeypatch.setattr(op07.np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    part, = op07.term_lists(iter([batch]), {"a": 0, "b": 1, "c": 2})
+    assert part.column("terms").to_pylist() == [[0, 1, 2], [], [], [], [0, 2]] * 50 and len(calls) == 1
+    assert part.column("counts").to_pylist() == [[1, 2, 1], [], [], [], [1, 2]] * 50
+    bare, = op07.term_lists(iter([batch]), {})
+    assert bare.column("terms").to_pylist() == [[]] * 250
+
+
+def test_toxicity_index_scores_all_examples_of_a_sample_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = []
+    for _ in range(3000):
+        weight = rng.random(6) + 0.1
+        vectors.append((np.sort(rng.choice(4000, 6, replace=False)), weight / np.linalg.norm(weight)))
+    whole, calls, count = BlockMaxIndex(vectors, 4000), [], np.bincount
+    monkeypatch.setattr(op07.np, "bincount", lambda *a, **k: calls.append(1) or count(*a, **k))
+    found = [whole.nearest(*v, 10, skip=i) for i, v in enumerate(vectors[:200])]
+    assert len(calls) == 200 and sum(map(len, found)) > 200
+    monkeypatch.setattr(op07, "BLOCK", 128)
+    cut = BlockMaxIndex(vectors, 4000)
+    assert cut.blocks == 24 and [cut.nearest(*v, 10, skip=i) for i, v in enumerate(vectors[:200])] == found
