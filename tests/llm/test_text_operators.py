@@ -4,15 +4,18 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from creditspark.llm import op06_jaccard_join as op06
 from creditspark.llm import op07_toxicity as op07
 from creditspark.llm.op03_lz_fingerprint import PhraseParse, edited_fingerprints
 from creditspark.llm.op04_best_fit_packing import WordEncoder, pack_documents, packed_sequences, plan_slots, token_pieces
@@ -20,6 +23,7 @@ from creditspark.llm.op05_poisson_mixing import mix_sources, source_rates
 from creditspark.llm.op06_jaccard_join import jaccard_components
 from creditspark.llm.op07_toxicity import BlockMaxIndex, is_held_out, toxicity_scores
 from creditspark.llm.queries import tokenizer_path
+from creditspark.llm.scratch import Scratch
 from creditspark.llm.shingles import shingle_sets
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, list string, sig long, token string"
@@ -444,3 +448,39 @@ def test_toxicity_index_scores_all_examples_of_a_sample_at_once(monkeypatch):
     monkeypatch.setattr(op07, "BLOCK", 128)
     cut = BlockMaxIndex(vectors, 4000)
     assert cut.blocks == 24 and [cut.nearest(*v, 10, skip=i) for i, v in enumerate(vectors[:200])] == found
+
+
+def test_jaccard_tokens_of_one_set_go_no_further(spark, monkeypatch):
+    counts, table = {}, Scratch.table
+
+    def counted(self, df, name, *rest):
+        got = table(self, df, name, *rest)
+        counts[name] = got.count()
+        return got
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    copies = [(k * 100 + i, " ".join(f"w{k}x{j}" for j in range(200)), "s") for i in range(40) for k in range(3)]
+    docs = frame(spark, copies).repartition(16, "doc_id")
+    assert {(r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()} == {(196, 0), (196, 100), (196, 200)}
+    assert counts["postings"] == 0  # copies of a set are one set, and no two sets share a token
+
+
+def test_jaccard_postings_of_a_range():
+    rows = np.array([(7, 1, 5), (7, 1, 5), (9, 2, 6), (2**64 - 1, 4, 8), (2**64 - 1, -3, 9), (9, 2, 6), (2**64 - 1, -3, 9)], op06.POSTING)
+    got = op06._range_postings(pd.DataFrame({"range": 0, "postings": [rows[:2].tobytes(), rows[2:].tobytes()]}))
+    assert got.values.tolist() == [[-1, -3, 9], [-1, 4, 8]]
+    assert op06._range_postings(pd.DataFrame({"range": [], "postings": []})).empty
+
+
+def test_shuffle_files_of_finished_queries_go(spark, tmp_path):
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()))
+    scratch = Scratch(spark, "released")
+    scratch.table(spark.range(1000).repartition(37, "id"), "rows")
+    before, waited = files(), 0
+    assert before >= 1
+    while files() >= before and waited < 20:
+        scratch.release()
+        time.sleep(0.5)
+        waited += 1
+    assert files() < before
