@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from creditspark.llm import op06_jaccard_join as op06
 from creditspark.llm import op07_toxicity as op07
 from creditspark.llm.op03_lz_fingerprint import PhraseParse, edited_fingerprints
@@ -484,3 +485,12 @@ def test_shuffle_files_of_finished_queries_go(spark, tmp_path):
         time.sleep(0.5)
         waited += 1
     assert files() < before
+
+
+def test_numbered_texts_are_compressed(spark):
+    import pyarrow.parquet as pq
+
+    rows, key = corpus_pipeline.numbered(frame(spark, odd_rows()), "numbered")
+    assert rows.count() == len(odd_rows()) == rows.select(key).distinct().count()
+    for path in rows.inputFiles():
+        assert pq.ParquetFile(path.removeprefix("file://")).metadata.row_group(0).column(1).compression == "ZSTD"
